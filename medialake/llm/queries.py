@@ -92,25 +92,25 @@ WITH conv AS (
   SELECT conv_id, list(struct_pack(role := coalesce(role, ''), text := coalesce(text, '')) ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS turns
   FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
 cut AS (
-  SELECT conv_id, turns, list_max(list_transform(range(1, len(turns) + 1), i -> CASE WHEN turns[i].role = 'assistant' THEN i ELSE 0 END)) AS at FROM conv),
-replies AS (SELECT xor(conv_id, 1) AS conv_id, turns[at] AS other FROM cut WHERE at > 0),
+  SELECT conv_id, turns, list_max(list_transform(range(1, len(turns) + 1), lambda i: CASE WHEN turns[i].role = 'assistant' THEN i ELSE 0 END)) AS pos FROM conv),
+replies AS (SELECT xor(conv_id, 1) AS conv_id, turns[pos] AS other FROM cut WHERE pos > 0),
 pairs AS (
-  SELECT c.conv_id AS pair_id, c.turns[1:c.at] AS a, list_append(c.turns[1:c.at - 1], r.other) AS b
-  FROM cut c JOIN replies r ON c.conv_id = r.conv_id WHERE c.at > 0),
+  SELECT c.conv_id AS pair_id, c.turns[1:c.pos] AS a, list_append(c.turns[1:c.pos - 1], r.other) AS b
+  FROM cut c JOIN replies r ON c.conv_id = r.conv_id WHERE c.pos > 0),
 lcp AS (
-  SELECT *, coalesce(list_min(list_filter(range(1, least(len(a), len(b)) + 1), i -> a[i] <> b[i])) - 1, least(len(a), len(b))) AS n FROM pairs),
+  SELECT *, coalesce(list_min(list_filter(range(1, least(len(a), len(b)) + 1), lambda i: a[i] <> b[i])) - 1, least(len(a), len(b))) AS n FROM pairs),
 parts AS (SELECT pair_id, n, a[1:n] AS p, a[n + 1:len(a)] AS c, b[n + 1:len(b)] AS r FROM lcp),
 done AS (
   SELECT *,
-    list_transform(range(1, len(c) + 1), i -> coalesce(list_sum(list_transform(c[1:i - 1], t -> length(t.role) + length(t.text) + 6)), 0)) AS co,
-    list_transform(range(1, len(r) + 1), i -> coalesce(list_sum(list_transform(r[1:i - 1], t -> length(t.role) + length(t.text) + 6)), 0)) AS ro
+    list_transform(range(1, len(c) + 1), lambda i: coalesce(list_sum(list_transform(c[1:i - 1], lambda t: length(t.role) + length(t.text) + 6)), 0)) AS co,
+    list_transform(range(1, len(r) + 1), lambda i: coalesce(list_sum(list_transform(r[1:i - 1], lambda t: length(t.role) + length(t.text) + 6)), 0)) AS ro
   FROM parts)
 SELECT pair_id, CAST(n AS INTEGER) AS prompt_turns,
-  coalesce(list_aggregate(list_transform(p, t -> '<|' || t.role || '|>' || chr(10) || t.text || chr(10)), 'string_agg', ''), '') AS prompt,
-  coalesce(list_aggregate(list_transform(c, t -> '<|' || t.role || '|>' || chr(10) || t.text || chr(10)), 'string_agg', ''), '') AS chosen_completion,
-  coalesce(list_aggregate(list_transform(r, t -> '<|' || t.role || '|>' || chr(10) || t.text || chr(10)), 'string_agg', ''), '') AS rejected_completion,
-  coalesce(list_aggregate(list_transform(list_filter(range(1, len(c) + 1), i -> c[i].role = 'assistant'), i -> CAST(CAST(co[i] + length(c[i].role) + 5 AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(co[i] + length(c[i].role) + 6 + length(c[i].text) AS BIGINT) AS VARCHAR)), 'string_agg', ','), '') AS chosen_loss,
-  coalesce(list_aggregate(list_transform(list_filter(range(1, len(r) + 1), i -> r[i].role = 'assistant'), i -> CAST(CAST(ro[i] + length(r[i].role) + 5 AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(ro[i] + length(r[i].role) + 6 + length(r[i].text) AS BIGINT) AS VARCHAR)), 'string_agg', ','), '') AS rejected_loss
+  coalesce(list_aggregate(list_transform(p, lambda t: '<|' || t.role || '|>' || chr(10) || t.text || chr(10)), 'string_agg', ''), '') AS prompt,
+  coalesce(list_aggregate(list_transform(c, lambda t: '<|' || t.role || '|>' || chr(10) || t.text || chr(10)), 'string_agg', ''), '') AS chosen_completion,
+  coalesce(list_aggregate(list_transform(r, lambda t: '<|' || t.role || '|>' || chr(10) || t.text || chr(10)), 'string_agg', ''), '') AS rejected_completion,
+  coalesce(list_aggregate(list_transform(list_filter(range(1, len(c) + 1), lambda i: c[i].role = 'assistant'), lambda i: CAST(CAST(co[i] + length(c[i].role) + 5 AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(co[i] + length(c[i].role) + 6 + length(c[i].text) AS BIGINT) AS VARCHAR)), 'string_agg', ','), '') AS chosen_loss,
+  coalesce(list_aggregate(list_transform(list_filter(range(1, len(r) + 1), lambda i: r[i].role = 'assistant'), lambda i: CAST(CAST(ro[i] + length(r[i].role) + 5 AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(ro[i] + length(r[i].role) + 6 + length(r[i].text) AS BIGINT) AS VARCHAR)), 'string_agg', ','), '') AS rejected_loss
 FROM done
 """
 

@@ -29,6 +29,8 @@ LEXICON_TERMS = 400
 #: Words before and behind a hit that decide whether it is quoted.
 CONTEXT_WORDS = 6
 MIN_STEM, MAX_STEM = 4, 7
+#: Least log-likelihood ratio of a term, against words that are toxic by chance.
+EVIDENCE = 8.5
 #: Word types whose automaton result a worker remembers.
 CACHE_WORDS = 300_000
 
@@ -176,7 +178,7 @@ class Matcher:
                 quoted = self._quoted(lower, words, spans, k)
                 terms[("quoted " if quoted else "") + kind].add(term)
                 if kind != "misspelled" and not quoted:
-                    strength = max(strength, weight)
+                    strength = max(strength, weight / 5)
         return np.array([1.0, *[np.log1p(len(terms[name])) for name in FEATURES[1:7]], strength])
 
     @staticmethod
@@ -231,8 +233,10 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
     odds = F.log((F.col("a") + 0.5) / F.lit(n1 + 1.0)) - F.log((F.col("b") + 0.5) / F.lit(n0 + 1.0))
     least = max(3, n1 // 200)
     # evidence: the odds' lower bound, so that rare terms need purer counts
-    strong = counted.where(f"a >= {least}").withColumn("w", odds - 1.0 / F.sqrt(F.col("a"))).where("w > 2.0")
-    best = strong.orderBy(F.desc(F.col("w") * F.log1p("a")), "kind", "term").limit(4 * LEXICON_TERMS).collect()
+    share = n1 / (n0 + n1)
+    part = lambda c, p: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / ((F.col("a") + F.col("b")) * p))).otherwise(0.0)
+    strong = counted.where(f"a >= {least}").withColumn("w", odds - 1.0 / F.sqrt(F.col("a"))).withColumn("g", part("a", share) + part("b", 1.0 - share))
+    best = strong.where(f"w > 3.0 AND g > {EVIDENCE}").orderBy(F.desc("g"), "kind", "term").limit(4 * LEXICON_TERMS).collect()
     stems: dict[str, float] = {}
     for r in sorted((r for r in best if r.kind == "s"), key=lambda r: (len(r.term), r.term)):
         if not any(r.term[:n] in stems for n in range(MIN_STEM, len(r.term))):
@@ -282,15 +286,28 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, **columns)
 
     got = sample.mapInArrow(vectors, "x array<double>, y int").toPandas()
     x, y = np.array(got["x"].tolist()), got["y"].to_numpy(dtype=float)
+    return Model(lexicon, _logistic(x, y))
+
+
+def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weights of highest posterior; the prior keeps features that the sample lacks in place."""
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float((np.logaddexp(0, z) - y * z).sum() + 0.25 * ((w - PRIOR) ** 2).sum())
+
     weights = PRIOR.copy()
-    for _ in range(50):  # Newton steps on the posterior; the prior keeps unseen features in place
+    for _ in range(100):
         p = 1.0 / (1.0 + np.exp(-np.clip(x @ weights, -30, 30)))
         gradient = x.T @ (p - y) + 0.5 * (weights - PRIOR)
         step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.5 * np.eye(len(weights)), gradient)
-        weights = weights - step
-        if np.abs(step).max() < 1e-6:
+        rate, now = 1.0, loss(weights)
+        while rate > 1e-6 and loss(weights - rate * step) > now:
+            rate /= 2
+        weights = weights - rate * step
+        if np.abs(rate * step).max() < 1e-6:
             break
-    return Model(lexicon, weights)
+    return weights
 
 
 def _scorer(model: Model):
