@@ -131,3 +131,16 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM docs LEFT JOIN covered USING (r) LEFT JOIN owners USING (r)
 """
+
+ORACLE["op5_substrings"] = r"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (
+  SELECT r, doc_id, i, array_to_string(w[i:i + 12], ' ') AS gram
+  FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM docs WHERE len(w) >= 13)),
+firsts AS (SELECT gram, min(doc_id) AS owner FROM windows GROUP BY gram),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + 13)) AS p FROM windows JOIN firsts USING (gram) WHERE owner < doc_id),
+spots AS (SELECT r, list(p) AS ps FROM gone GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(coalesce(ps, [])) AS BIGINT) AS n_removed,
+  sha256(coalesce(array_to_string(list_filter(w, lambda x, i: NOT list_contains(coalesce(ps, []), i)), ' '), '')) AS kept_sha256
+FROM docs LEFT JOIN spots USING (r)
+"""
