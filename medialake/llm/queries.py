@@ -144,3 +144,21 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(coalesce(ps, [])) AS
   sha256(coalesce(array_to_string(list_filter(w, lambda x, i: NOT list_contains(coalesce(ps, []), i)), ' '), '')) AS kept_sha256
 FROM docs LEFT JOIN spots USING (r)
 """
+
+_SETS = r"""
+docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM docs)"""
+
+ORACLE["op8_neardup"] = f"""
+WITH RECURSIVE {_SETS},
+grams AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+links AS (
+  SELECT a.doc_id AS u, b.doc_id AS v FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))),
+reach AS (SELECT doc_id AS u, doc_id AS v FROM docs UNION SELECT r.u, l.v FROM reach r JOIN links l ON r.v = l.u),
+low AS (SELECT u, min(v) AS root FROM reach GROUP BY u)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, root AS component_id, doc_id = root AS kept FROM sets JOIN low ON doc_id = u
+"""
