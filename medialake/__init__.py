@@ -1,0 +1 @@
+"""Media-archive analytics as Spark DataFrame operators."""
