@@ -143,7 +143,7 @@ def media_ref(c: Column | str) -> Column:
 
 
 def is_self(url: Column | str, item_id: Column | str, link: Column | str) -> Column:
-    ids = F.transform(F.regexp_extract_all(part(url, "query"), F.lit(r"(?:^|&)(?:page_id|p)=([^&]+)"), F.lit(1)), lambda x: x)
+    ids = F.regexp_extract_all(part(url, "query"), F.lit(r"(?:^|&)(?:page_id|p)=([^&]+)"), F.lit(1))
     return (canonical_url(url) == canonical_url(link)) | F.array_contains(ids, text(item_id))
 
 

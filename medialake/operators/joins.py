@@ -109,10 +109,9 @@ def descendants(df: DataFrame, ident: str, parent: str, root: str, depth: int =
     spark = df.sparkSession
     rows = df.select(F.col(ident).alias("id"), F.col(parent).alias("parent"))
     return spark.sql(
-        "WITH RECURSIVE below(id, level) AS (SELECT id, 0 FROM {rows} WHERE id = {root} UNION ALL SELECT r.id, level + 1 FROM {rows} r JOIN below b ON r.parent = b.id WHERE level < {depth} AND r.id <> {root}) SELECT id, min(level) AS level FROM below GROUP BY id",
+        "WITH RECURSIVE below(id, level) AS (SELECT id, 0 FROM {rows} WHERE id = :root UNION ALL SELECT r.id, level + 1 FROM {rows} r JOIN below b ON r.parent = b.id WHERE level < :depth AND r.id <> :root) SELECT id, min(level) AS level FROM below GROUP BY id",
+        args={"root": root, "depth": depth},
         rows=rows,
-        root=F.lit(root),
-        depth=F.lit(depth),
     )
 
 
