@@ -26,6 +26,11 @@ DOCUMENT_HOSTS = ("docs.google.com", "drive.google.com")
 MIME_TYPES = {"mp3": "audio/mpeg", "m4a": "audio/mp4", "wav": "audio/wav", "ogg": "audio/ogg"}
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, where an expression would repeat it many times."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def part(c: Column | str, which: str) -> Column:
     """``scheme``, ``authority``, ``path``, ``query`` or ``fragment`` of a URL; missing parts are empty."""
     return F.regexp_extract(text(c), _SYNTAX, 1 + ("scheme", "authority", "path", "query", "fragment").index(which))
@@ -44,25 +49,34 @@ def query_value(c: Column | str, name: str) -> Column:
 def canonical_url(c: Column | str, site_host: str = "example.org") -> Column:
     """One spelling per resource: https for the site, one form of video links, no www, no fragment, no closing slash."""
     raw = F.regexp_replace(F.trim(unescape(F.trim(text(c)))), r"[.,;]+$", "")
-    raw = F.when(raw.startswith("//"), F.concat(F.lit("https:"), raw)).otherwise(raw)
-    host = F.regexp_replace(F.lower(part(raw, "authority")), r"^www\.", "")
-    path = part(raw, "path")
+    parts = lambda r: F.struct(
+        r.alias("raw"),
+        F.lower(part(r, "scheme")).alias("scheme"),
+        F.regexp_replace(F.lower(part(r, "authority")), r"^www\.", "").alias("host"),
+        part(r, "path").alias("path"),
+        part(r, "query").alias("query"),
+        query_value(r, "v").alias("v"),
+    )
+    return let(let(F.when(raw.startswith("//"), F.concat(F.lit("https:"), raw)).otherwise(raw), parts), lambda p: _joined(p, site_host))
+
+
+def _joined(p: Column, site_host: str) -> Column:
+    host, path, query = p["host"], p["path"], p["query"]
     video = (
         F.when(host == "youtu.be", F.regexp_extract(path, "^/*([^/]+)", 1))
-        .when(host.isin(*VIDEO_HOSTS) & (path == "/watch"), query_value(raw, "v"))
+        .when(host.isin(*VIDEO_HOSTS) & (path == "/watch"), p["v"])
         .when(host.isin(*VIDEO_HOSTS), F.regexp_replace(F.regexp_extract(path, "^/(?:embed|shorts|live)/(.*)$", 1), "/+$", ""))
         .otherwise("")
     )
     clean = F.regexp_replace(unquote(path), "/+$", "")
-    query = part(raw, "query")
     whole = F.concat(
-        F.when(host == site_host, "https").otherwise(F.lower(part(raw, "scheme"))),
+        F.when(host == site_host, "https").otherwise(p["scheme"]),
         F.lit("://"),
         host,
         F.when(clean == "", "/").otherwise(clean),
         F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""),
     )
-    return F.when(host == "", raw).when(video != "", F.concat(F.lit("https://youtube.com/watch?v="), video)).otherwise(whole)
+    return F.when(host == "", p["raw"]).when(video != "", F.concat(F.lit("https://youtube.com/watch?v="), video)).otherwise(whole)
 
 
 def file_name(c: Column | str) -> Column:
@@ -75,16 +89,16 @@ def url_ext(c: Column | str) -> Column:
 
 def resolve_url(c: Column | str, base: Column | str) -> Column:
     """A link on a page as an absolute URL; links without a target are empty."""
-    raw = F.regexp_replace(F.trim(unescape(F.trim(text(c)))), r"[.,;]+$", "")
     scheme, authority = part(base, "scheme"), part(base, "authority")
     folder = F.regexp_extract(part(base, "path"), r"^(.*/)", 1)
-    return (
-        F.when((raw == "") | raw.rlike("^(#|data:|javascript:|mailto:)"), "")
+    return let(
+        F.regexp_replace(F.trim(unescape(F.trim(text(c)))), r"[.,;]+$", ""),
+        lambda raw: F.when((raw == "") | raw.rlike("^(#|data:|javascript:|mailto:)"), "")
         .when(raw.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), raw)
         .when(raw.startswith("//"), F.concat(scheme, F.lit(":"), raw))
         .when(raw.startswith("/"), F.concat(scheme, F.lit("://"), authority, raw))
         .when(raw.startswith("?"), F.concat(scheme, F.lit("://"), authority, part(base, "path"), raw))
-        .otherwise(F.concat(scheme, F.lit("://"), authority, F.when(folder == "", "/").otherwise(folder), raw))
+        .otherwise(F.concat(scheme, F.lit("://"), authority, F.when(folder == "", "/").otherwise(folder), raw)),
     )
 
 
@@ -103,11 +117,16 @@ def is_supported_url(c: Column | str) -> Column:
 
 def resource_type(url: Column | str, tag: Column | str, mime: Column | str, is_known: Column, site_host: str = "example.org") -> Column:
     """What a link leads to, by the first rule that fits: host, extension, media type, tag, site."""
-    host, m = host_of(url, site_host), F.lower(text(mime))
+    found = let(canonical_url(url, site_host), lambda c: F.struct(F.lower(part(c, "authority")).alias("host"), kind_of_extension(url_ext(c)).alias("kind")))
+    return let(found, lambda f: _kind(f["host"], f["kind"], tag, mime, is_known, site_host))
+
+
+def _kind(host: Column, kind: Column, tag: Column | str, mime: Column | str, is_known: Column, site_host: str) -> Column:
+    m = F.lower(text(mime))
     return (
         F.when(host.isin(*VIDEO_HOSTS), "youtube")
         .when(host.isin(*PLATFORM_HOSTS), "video_platform")
-        .when(kind_of_extension(url_ext(canonical_url(url, site_host))).isNotNull(), kind_of_extension(url_ext(canonical_url(url, site_host))))
+        .when(kind.isNotNull(), kind)
         .when(m.startswith("audio/"), "audio")
         .when(m == "application/pdf", "pdf")
         .when(m.startswith("image/") | (col(tag) == "img"), "image")
