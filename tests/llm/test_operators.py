@@ -1,0 +1,306 @@
+"""The operators on small tables with odd rows, against brute force."""
+
+import hashlib
+import random
+import zlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from medialake.llm import bpe, chat, common, decontaminate, media, neardup, secret_scan, sharding, substring, tokens, toxicity
+
+import public_tokenizers
+
+JSON, RANKS = str(public_tokenizers.path("byte_bpe_50k.json")), str(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+SCHEMA = "doc_id long, text string, lang string, mark string, key long"
+
+
+def corpus(seed=0, n=60):
+    rng = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(400)]
+    passage = " ".join(rng.choices(vocabulary, k=60))
+    rows = []
+    for i in range(n):
+        words = rng.choices(vocabulary, k=rng.choice([0, 1, 4, 5, 12, 13, 40, 120]))
+        text = " ".join(words)
+        if i % 6 == 0:
+            text = f"{text} {passage} tail{i}"
+        rows.append([i * 3, text])
+    base = " ".join(rng.choices(vocabulary, k=150)).split()
+    for i in range(12):
+        copy = list(base)
+        for _ in range(i % 4):
+            copy[rng.randrange(len(copy))] = f"edit{i}"
+        rows.append([1000 + i, " ".join(copy)])
+    rows += [[2000, rows[6][1]], [2001, rows[6][1].upper()], [2002, None], [2003, ""], [2004, " \t\n"], [None, rows[6][1]], [2005, "x" * 50_000], [2006, "é " * 4000]]
+    rows.append(list(rows[6]))
+    return [(i, t, "en", "clash", 7) for i, t in rows]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(corpus(), SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def by_row(df, *columns):
+    return sorted(map(tuple, df.select(*columns).collect()), key=repr)
+
+
+def test_media(docs, empty):
+    got = by_row(media.media_column(docs, rangeBytes="2000"), "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "feature")
+    want = []
+    for i, t, *_ in corpus():
+        raw = (t or "").encode()
+        payload = media.pad(raw)
+        counts = [0] * 16
+        for b in payload:
+            counts[b >> 4] += 1
+        want.append((i, len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), ",".join(map(str, counts))))
+    assert got == sorted(want, key=repr)
+    assert media.media_column(empty).count() == 0
+
+
+def test_media_damaged_member(spark, docs):
+    uri = media.write_archives(docs.limit(5).coalesce(1))
+    fs, root = media._filesystem(uri)
+    path = next(f.path for f in fs.get_file_info(media.pafs.FileSelector(root)) if f.path.endswith(".zip"))
+    data = bytearray(open(path, "rb").read())
+    data[60] ^= 255
+    open(path, "wb").write(bytes(data))
+    rows = media.read_archives(spark, uri, retries="1", onError="row").collect()
+    assert len(rows) == 5 and sum(r.error is not None for r in rows) == 1
+    with pytest.raises(Exception, match="checksum"):
+        media.read_archives(spark, uri, retries="0").collect()
+
+
+def test_preferences(spark):
+    turns = spark.createDataFrame(
+        [(0, 0, "user", "a"), (0, 1, "assistant", "b"), (1, 0, "user", "a"), (1, 1, "assistant", "c"), (2, 0, "user", "x"), (3, 0, "user", "y"), (3, 1, "assistant", "z"), (None, 0, "user", "q"), (4, 0, None, None), (5, 0, "assistant", "")],
+        "conv_id long, turn long, role string, text string",
+    )
+    out = {r.pair_id: r for r in chat.preference_format(chat.sampled_pairs(turns)).collect()}
+    assert sorted(out) == [0, 1]
+    assert out[0].prompt == "<|user|>\na\n" and out[0].prompt_turns == 1
+    assert out[0].chosen_completion == "<|assistant|>\nb\n" and out[0].rejected_completion == "<|assistant|>\nc\n"
+    a, b = out[0].chosen_loss[0]
+    assert out[0].chosen_completion[a:b] == "b\n"
+    t = "array<struct<role:string,text:string>>"
+    odd = spark.createDataFrame([(1, [("user", "a")], [("user", "a")], "p"), (2, None, [("assistant", None)], "p"), (3, [], None, "p"), (4, [("user", "a"), ("assistant", "b"), ("user", "c")], [("user", "a")], "p")], f"id long, chosen {t}, rejected {t}, prompt string")
+    rows = {r.id: r for r in chat.preference_format(odd).collect()}
+    assert (rows[1].prompt_turns, rows[1].chosen_completion, rows[1].rejected_completion) == (1, "", "")
+    assert (rows[2].prompt, rows[2].rejected_completion) == ("", "<|assistant|>\n\n") and rows[3].prompt == ""
+    assert rows[4].rejected_completion == "" and len(rows[4].chosen_loss) == 1
+
+
+def brute_contamination(text, items, window=13):
+    words = decontaminate.words_of((text or "").encode())
+    hit, owners = set(), set()
+    for ident, item in items:
+        w = decontaminate.words_of((item or "").encode())
+        k = min(window, len(w))
+        grams = {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if k else set()
+        for i in range(len(words) - k + 1) if k else ():
+            if tuple(words[i : i + k]) in grams:
+                hit |= set(range(i, i + k))
+                owners.add(str(ident))
+    return len(words), len(hit), len(owners), hashlib.sha256(",".join(sorted(owners)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(words)
+
+
+@pytest.mark.parametrize("block", [16 << 20, 300])
+def test_decontamination(spark, docs, empty, monkeypatch, block):
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
+    texts = [t for _, t, *_ in corpus() if t]
+    items = [(1, texts[0]), (2, " ".join(texts[7].split()[:20])), (10, "w1 W2"), (11, ""), (12, None), (13, "w3"), (1, texts[0])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = by_row(decontaminate.contamination(docs, bench, ["doc_id"]), "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    assert got == sorted([(i, *brute_contamination(t, items)) for i, t, *_ in corpus()], key=repr)
+    kept = decontaminate.decontaminate(docs, bench)
+    assert kept.schema == docs.schema
+    assert by_row(kept, "doc_id", "text") == sorted([(i, t) for i, t, *_ in corpus() if not brute_contamination(t, items)[4]], key=repr)
+    cut = decontaminate.decontaminate(docs, bench, mode="spans")
+    assert cut.count() == docs.count()
+    assert decontaminate.contamination(empty, bench, ["doc_id"]).count() == 0
+    none = spark.createDataFrame([], "item_id long, text string")
+    assert decontaminate.decontaminate(docs, none).count() == docs.count()
+
+
+def test_toxicity(spark, empty):
+    rng = random.Random(8)
+    words = [f"word{i}" for i in range(300)]
+    rows, labels = [], []
+    for i in range(600):
+        text = rng.choices(words, k=30)
+        bad = i % 4 == 0
+        if bad:
+            text[rng.randrange(30)] = rng.choice(["grumbold", "snarkle", "blatty"])
+        rows.append((i, " ".join(text), "en", "m", 1))
+        labels.append((i, int(bad)))
+    rows += [(1000, None, "en", "m", 1), (1001, "", "en", "m", 1), (None, "grumbold " * 3, "en", "m", 1), (1002, "a grumbald here", "en", "m", 1)]
+    docs, known = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([*labels, (None, 1), (5, None)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, known)
+    got = {r.doc_id: r for r in toxicity.toxicity_scores(docs, model, ["doc_id"]).collect()}
+    held = [i for i in range(600) if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert all(got[i].predicted == int(i % 4 == 0) for i in held)
+    assert got[None].predicted == 1 and got[1000].predicted == got[1001].predicted == 0
+    assert got[1002].score > got[1001].score
+    assert toxicity.drop_toxic(docs, model).schema == docs.schema
+    assert toxicity.toxicity_scores(empty, model, ["doc_id"]).count() == 0
+    blank = toxicity.fit(empty, known)
+    assert toxicity.toxicity_scores(docs, blank, ["doc_id"]).where("predicted = 1").count() == 0
+
+
+def brute_repeats(rows, window=13):
+    split = [(i, (t or "").translate({c: " " for c in range(9, 14)}).split(" ")) for i, t, *_ in rows]
+    split = [(i, [w for w in words if w]) for i, words in split]
+    first = {}
+    for i, words in split:
+        for k in range(len(words) - window + 1) if i is not None else ():
+            g = tuple(words[k : k + window])
+            first[g] = min(first.get(g, i), i)
+    out = []
+    for i, words in split:
+        gone = set()
+        for k in range(len(words) - window + 1) if i is not None else ():
+            if first[tuple(words[k : k + window])] < i:
+                gone |= set(range(k, k + window))
+        kept = " ".join(w for k, w in enumerate(words) if k not in gone)
+        out.append((i, len(words), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
+    return sorted(out, key=repr)
+
+
+def test_substrings(docs, empty):
+    got = by_row(substring.remove_repeats(docs), "doc_id", "n_words", "n_removed", "kept_sha256")
+    assert got == brute_repeats(corpus())
+    assert substring.remove_repeats(empty).count() == 0
+    assert substring.drop_repeats(docs).count() == docs.count()
+
+
+def test_tokens(spark, docs, empty):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(JSON)
+    library.encode_special_tokens = True
+    got = [tuple(r) for r in tokens.tokenize(docs, JSON).select("doc_id", "start", "n_tokens", "ids_crc32").orderBy("start").collect()]
+    assert [r[0] for r in got] == sorted([i for i, *_ in corpus()], key=lambda i: (i is not None, i))
+    want = {}
+    for i, t, *_ in corpus():
+        ids = library.encode(t or "", add_special_tokens=False).ids + [0]
+        want[i] = (len(ids), zlib.crc32(b"".join(x.to_bytes(4, "little") for x in ids)))
+    at = 0
+    for i, start, n, crc in got:
+        assert start == at and (n, crc) == want[i]
+        at += n
+    assert tokens.tokenize(empty, JSON).count() == 0
+    index = tokens.token_index(spark, tokens.write_token_files(docs, JSON))
+    assert by_row(index, "doc_id", "start", "n_tokens") == sorted([r[:3] for r in got], key=repr)
+
+
+def test_secrets(spark, docs, empty):
+    rng = random.Random(5)
+    hexa = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    rows = [(i, f"some text number{i}x here password={hexa(16)} and id {rng.randrange(10**9, 10**10)} end", "en", "m", 1) for i in range(200)] + [(900, None, "en", "m", 1), (901, "", "en", "m", 1), (902, "café token: '" + hexa(40) + "'", "en", "m", 1)]
+    own = spark.createDataFrame(rows, SCHEMA)
+    scanner = secret_scan.train_scanner(own)
+    assert scanner.network is not None
+    got = {r.doc_id: r for r in secret_scan.scan(own, scanner, ["doc_id"]).collect()}
+    for i, t, *_ in rows:
+        base = secret_scan.base_findings(t or "")
+        assert (got[i].n_assign, got[i].n_access, got[i].n_hex) == tuple(sum(k == kind for k, *_ in base) for kind in ("assign", "access", "hex"))
+        assert got[i].base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base).encode()).hexdigest()
+        assert set(f"{k}:{a}:{b}" for k, a, b in base) <= set(got[i].spans.split(","))
+    clean = secret_scan.redact(own.withColumn("n_chars", F.length("text")), scanner, length_column="n_chars")
+    masked = {r.doc_id: r for r in clean.collect()}
+    assert "password" not in masked[0].text and "[SECRET]" in masked[0].text and masked[0].n_chars == len(masked[0].text)
+    assert masked[900].text is None
+    assert secret_scan.train_scanner(empty).network is None
+    assert secret_scan.scan(docs, secret_scan.Scanner(None), ["doc_id"]).count() == docs.count()
+
+
+def brute_components(rows):
+    sets = {}
+    for i, t, *_ in rows:
+        words = [w for w in "".join(c.lower() if "A" <= c <= "Z" else c for c in (t or "")).translate({c: " " for c in range(9, 14)}).split(" ") if w]
+        own = {tuple(words[k : k + 5]) for k in range(len(words) - 4)} if len(words) >= 5 else {tuple(words)} if words else set()
+        sets[i] = own
+    ids = [i for i in sets if i is not None]
+    root = {i: i for i in ids}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for x in ids:
+        for y in ids:
+            if x < y and sets[x] and sets[y] and 100 * len(sets[x] & sets[y]) >= 85 * len(sets[x] | sets[y]):
+                a, b = sorted((find(x), find(y)))
+                root[b] = a
+    return {i: (len(sets[i]), find(i)) for i in ids}
+
+
+@pytest.mark.parametrize("pairs", [20_000, 3])
+def test_near_duplicates(docs, empty, monkeypatch, pairs):
+    monkeypatch.setattr(neardup, "REGION_PAIRS", pairs)
+    got = neardup.near_duplicates(docs).collect()
+    want = brute_components(corpus())
+    assert len(got) == docs.count()
+    for r in got:
+        if r.doc_id is None:
+            assert r.kept and r.component_id is None
+        else:
+            assert (r.n_shingles, r.component_id) == want[r.doc_id] and r.kept == (r.doc_id == r.component_id)
+    if pairs > 3:
+        kept = neardup.drop_near_duplicates(docs)
+        assert kept.schema == docs.schema
+        assert {r.doc_id for r in kept.collect()} == {i for i, (_, root) in want.items() if root == i} | {None}
+        assert neardup.near_duplicates(empty).count() == 0
+
+
+def test_shards(spark, docs, empty):
+    rows = sharding.shard_documents(docs).collect()
+    assert len(rows) == docs.count()
+    by = {}
+    for r in rows:
+        by.setdefault(r.shard, []).append(r.slot)
+        assert r.grown_shard in (r.shard, 8)
+    assert all(sorted(v) == list(range(len(v))) for v in by.values())
+    texts = {i: t or "" for i, t, *_ in corpus()}
+    for r in rows:
+        assert r["size"] == len(texts[r.doc_id].encode()) + 1 and r.text_crc32 == zlib.crc32(texts[r.doc_id].encode())
+
+    def place(key, n):
+        import math
+
+        score = lambda k: -math.log((int(hashlib.md5(f"{'' if key is None else key}#{k}".encode()).hexdigest()[:12], 16) + 0.5) / 2**48)
+        return min(range(n), key=lambda k: (score(k), k))
+
+    assert all(r.shard == place(r.doc_id, 8) and r.grown_shard == place(r.doc_id, 9) for r in rows)
+    many = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
+    heavy = sharding.shard_documents(many, weights=[1.0, 3.0, 0.0]).groupBy("shard").count().collect()
+    share = {r["shard"]: r["count"] for r in heavy}
+    assert 2 not in share and 2.6 < share[1] / share[0] < 3.4
+    assert sharding.shard_documents(empty).count() == 0
+
+
+def test_bpe(spark, docs, empty):
+    coder = bpe.coder(RANKS, public_tokenizers.PATTERN)
+    got = by_row(bpe.round_trip(docs, RANKS, public_tokenizers.PATTERN), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    want = []
+    for i, t, *_ in corpus():
+        ids = coder.encode([t or ""])[0]
+        want.append((i, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
+    assert got == sorted(want, key=repr)
+    coded = bpe.decode_column(bpe.encode_column(docs, RANKS, public_tokenizers.PATTERN), RANKS, public_tokenizers.PATTERN)
+    assert all(bytes(r.decoded).decode() == (r.text or "") for r in coded.collect())
+    assert bpe.round_trip(empty, RANKS, public_tokenizers.PATTERN).count() == 0
+
+
+def test_components(spark):
+    edges = spark.createDataFrame([(5, 4), (4, 3), (3, 9), (20, 21), (7, 7), (21, 30), (31, 30)], "a long, b long")
+    assert {(r.node, r.root) for r in common.components(edges, "test").collect()} == {(4, 3), (5, 3), (9, 3), (21, 20), (30, 20), (31, 20)}
+    assert common.components(edges.where("false"), "test").count() == 0
