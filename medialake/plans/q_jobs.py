@@ -154,7 +154,7 @@ def _landed_batches(spark, sf_dir, repeat: bool = True) -> str:
     """Events as JSON batches of one visitor each, some sent twice."""
     e = view(spark, sf_dir, "v_events")
     item = F.struct("event_id", "event_type", "content_type", "content_id", F.lit("").alias("resource_id"), "page_path", F.lit(None).cast("string").alias("position_seconds"), F.lit("x").alias("duration_seconds"), F.col("listened_seconds").cast("string").alias("listened_seconds"), F.col("playback_rate").cast("string").alias("playback_rate"), F.lit("https://Ref.example.org/x").alias("referrer"))
-    part = F.floor(F.col("event_id").cast("long") / 2000)
+    part = F.floor(F.col("event_id").cast("long") / 300)
     rows = e.groupBy("visitor_id_hash", part.alias("part")).agg(F.collect_list(item).alias("events"))
     rows = rows.select(F.col("visitor_id_hash").alias("visitor_id"), F.lit("s").alias("session_id"), F.lit(100).cast("long").alias("content_length"), F.lit("Mozilla").alias("user_agent"), F.lit("").alias("origin"), F.lit("example.org").alias("host"), "events", "part")
     rows = rows.unionByName(rows.where("part = 0")) if repeat else rows
