@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 #: Rows that a Python task holds decoded at once; Arrow batches are cut to this.
 SLICE_ROWS = 256
 #: ... or fewer, so that a slice of long texts stays near this many bytes.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 _MASK = (1 << 64) - 1
 
