@@ -7,15 +7,17 @@ and every member is a candidate with it; that takes one candidate a member,
 however large the region. What a pivot did not link is paired within its
 regions in further rounds: a region of moderate size compares its unlinked
 members with all its members, a larger one is followed deeper, to members that
-share a longer prefix; its rarest shingles give what longer prefixes might part.
-Every candidate is confirmed on the full sets.
+share a longer prefix. When those candidates are confirmed and linked, the sets
+of such regions are joined once more by their rarest shingles, which gives every
+pair that is near enough and not linked yet. Every candidate is confirmed on the
+full sets.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Words, column, components, mix, row_slices, seeds, stored, text_bytes
@@ -26,7 +28,7 @@ THRESHOLD = 0.85
 TREES, DEPTH, SHALLOW = 20, 6, 4
 #: A region makes at most this many pairs, or :data:`MEMBER_PAIRS` a member, before it is followed to longer prefixes.
 REGION_PAIRS, MEMBER_PAIRS = 2000, 24
-#: Sets that may have a shingle among their rarest before it counts as common to them.
+#: Sets that may have a shingle among their rarest before these are first tried with the smallest of them, and with each other only where that links them to different parts.
 COMMON_SHINGLE = 32
 #: Candidates of later rounds whose signatures agree in a smaller share are not looked at: five standard errors below the threshold.
 LEAST_AGREEMENT = 0.68
@@ -159,16 +161,13 @@ def _agreeing(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(rows, "a long, b long")
 
 
-def _rare_shingle_pairs(dense: DataFrame, values: DataFrame, labels: DataFrame) -> DataFrame:
-    """All pairs that can be similar enough among the sets of dense regions, by their rarest shingles.
+def _rare_shingles(dense: DataFrame, values: DataFrame) -> DataFrame:
+    """``node, n, shingle, behind``: the rarest shingles of the sets of dense regions, and how many of the set come after each.
 
     Two sets of a similarity of at least the threshold share one of the
     ``n - ceil(threshold * n) + 1`` shingles that are rarest in either, under any
     one order. What the members of a dense region have in common is frequent
-    there, so their rarest shingles tell them apart. A shingle that is the rarest
-    of very many sets is part of such a core, which the smallest of these sets
-    has with the least beside it: what any other of them links for the core's
-    sake, that one links, so it stands for all.
+    there, so their rarest shingles tell them apart.
     """
 
     def exploded(batches):
@@ -184,17 +183,42 @@ def _rare_shingle_pairs(dense: DataFrame, values: DataFrame, labels: DataFrame)
     counted = grams.withColumn("df", F.count("node").over(Window.partitionBy("shingle")))
     ranked = counted.groupBy("node").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("g"))
     take = (F.col("n") - F.ceil(F.col("n") * 85 / 100) + 1).cast("int")
-    rare = ranked.select("node", "n", F.explode(F.slice("g", F.lit(1), take)).alias("g")).where("g.df > 1").select("node", "n", F.col("g.shingle").alias("shingle"))
-    rare = stored(rare.join(labels, "node"), "rare")
-    lists = rare.groupBy("shingle").agg(F.count("*").alias("held"), F.min(F.struct("n", "node", "label")).alias("least"))
-    one = rare.join(lists, "shingle").select("shingle", "held", "least", F.col("node").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"))
-    cold = lists.where(F.col("held") <= COMMON_SHINGLE).select("shingle")
-    two = rare.join(cold, "shingle", "left_semi").select("shingle", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"))
-    near = (F.col("la") != F.col("lb")) & (F.col("na") * 100 >= F.col("nb") * 85) & (F.col("nb") * 100 >= F.col("na") * 85)
-    pairs = one.where(F.col("held") <= COMMON_SHINGLE).join(two, "shingle").where(near & (F.col("a") > F.col("b")))
-    core = one.where(F.col("held") > COMMON_SHINGLE).withColumns({"b": F.col("least.node"), "lb": F.col("least.label"), "nb": F.col("least.n")}).where(near)
-    ends = (F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    return pairs.select(*ends).unionByName(core.select(*ends)).distinct()
+    rare = ranked.select("node", "n", F.posexplode(F.slice("g", F.lit(1), take)).alias("at", "g")).where("g.df > 1")
+    return stored(rare.select("node", "n", F.col("g.shingle").alias("shingle"), (F.col("n") - F.col("at") - 1).alias("behind")), "rare")
+
+
+def _near_sizes() -> Column:
+    """Whether the sets ``a`` and ``b`` are of different parts and of sizes that allow the threshold."""
+    return (F.col("la") != F.col("lb")) & (F.col("na") * 100 >= F.col("nb") * 85) & (F.col("nb") * 100 >= F.col("na") * 85)
+
+
+def _core_pairs(rare: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs with the smallest of the sets that share a common shingle: few candidates that link most of what is near."""
+    tagged = rare.join(labels, "node")
+    lists = tagged.groupBy("shingle").agg(F.count("*").alias("held"), F.min(F.struct("n", "node", "label")).alias("least")).where(F.col("held") > COMMON_SHINGLE)
+    core = tagged.join(lists, "shingle").select(F.col("node").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("least.node").alias("b"), F.col("least.label").alias("lb"), F.col("least.n").alias("nb"))
+    return core.where(_near_sizes()).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def _rare_pairs(rare: DataFrame, labels: DataFrame) -> DataFrame:
+    """All pairs of different parts that share a rarest shingle and can be similar enough.
+
+    ``labels`` are the parts that all links so far make. The largest part among
+    the sets that have a shingle needs no pairs of its own, so only the others
+    are paired, with every set of another part, however many have the shingle.
+    The first shingle that two sets share in the common order leaves room for
+    one more than come after it in either; where that stays below the overlap
+    that the threshold asks for, the pair cannot be near by this shingle.
+    """
+    tagged = stored(rare.join(labels, "node"), "rare")
+    parts = tagged.groupBy("shingle", "label").agg(F.count("*").alias("n"))
+    open_ = parts.groupBy("shingle").agg(F.max(F.struct("n", "label")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("shingle", F.col("main.label").alias("main"))
+    shared = tagged.join(open_, "shingle")
+    rest = shared.where("label <> main").select("shingle", F.col("node").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("behind").alias("ra"))
+    every = shared.select("shingle", "main", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("behind").alias("rb"))
+    room = (F.least("ra", "rb") + 1) * 185 >= (F.col("na") + F.col("nb")) * 85
+    pairs = rest.join(every, "shingle").where(_near_sizes() & room & F.expr("lb = main OR a < b"))
+    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
 def _cuts(sizes: np.ndarray, most: int = 200_000):
@@ -209,17 +233,19 @@ def _cuts(sizes: np.ndarray, most: int = 200_000):
         yield at, len(sizes)
 
 
-def _later_pairs(sets: DataFrame, regions: DataFrame, labels: DataFrame, values: DataFrame) -> DataFrame:
-    """Pairs across unlinked parts of regions, at the depth where a region is of moderate size.
+def _later_pairs(sets: DataFrame, regions: DataFrame, labels: DataFrame, values: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Pairs across unlinked parts of regions, at the depth where a region is of moderate size; rarest shingles of the sets of larger ones.
 
     ``labels(node, label)`` names the part that a set is linked into so far. The
     largest part of a region needs no pairs of its own; all other members are
     paired with the members of different parts, as long as that stays in
     proportion to the region's size. Regions beyond are split by longer prefixes,
-    where only nearer sets remain together; as that may part sets that are near
-    enough, the rarest shingles give all pairs of such regions exactly.
+    where only nearer sets remain together. That may part sets that are near
+    enough, and regions that are still large then make no pairs: all sets of a
+    region that was too large once are left to :func:`_rare_pairs`, which needs
+    their rarest shingles (None without such a region).
     """
-    out = None
+    out = rare = None
     now = regions
     for depth in (SHALLOW, DEPTH):
         tagged = now.join(labels, "node").select("node", "region", "label")
@@ -235,9 +261,10 @@ def _later_pairs(sets: DataFrame, regions: DataFrame, labels: DataFrame, values:
         large = open_.where("work > most").select("node").distinct()
         if depth == DEPTH or large.isEmpty():
             break
-        out = out.unionByName(_rare_shingle_pairs(large, values, labels))
+        rare = _rare_shingles(large, values)
+        out = out.unionByName(_core_pairs(rare, labels))
         now = _prefix_rows(sets.join(large, "node", "left_semi"), DEPTH)
-    return out.distinct()
+    return out.distinct(), rare
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -275,11 +302,18 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     above = near.select(F.col("node").alias("label"), F.col("label").alias("upper"))
     linked_up = near.join(above, "label", "left").select("node", F.coalesce("upper", "label").alias("label"))
     labels = stored(wanted.join(linked_up, "node", "left").select("node", F.coalesce("label", "node").alias("label")), "labels")
-    later = stored(_later_pairs(sets, regions.select("node", "region"), labels, values), "pairs")
+    later, rare = _later_pairs(sets, regions.select("node", "region"), labels, values)
+    later = stored(later, "pairs")
     tried = later.join(first, ["a", "b"], "left_anti").join(first.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
     more = stored(_confirmed(_agreeing(tried, sets), values), "links")
 
-    roots = components(links.unionByName(more), "components")
+    links = links.unionByName(more)
+    roots = components(links, "components")
+    if rare is not None:
+        parts = wanted.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("label"))
+        last = stored(_confirmed(stored(_rare_pairs(rare, parts), "pairs"), values), "links")
+        if not last.isEmpty():
+            roots = components(links.unionByName(last), "components")
     linked = copies.join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("component_id"))
     out = described.select("doc_id", "n_shingles").join(linked, "doc_id", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))

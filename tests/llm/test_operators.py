@@ -261,6 +261,22 @@ def test_near_duplicates(docs, empty, monkeypatch, pairs):
         assert neardup.near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_of_a_dense_region_by_common_shingles(spark, monkeypatch):
+    """All that two near sets share rarely, much smaller sets have too, which are near neither and cannot stand for them."""
+    word = lambda name, n: [f"{name}{k}" for k in range(n)]
+    rare, core = word("r", 20), word("c", 100)
+    rows = [(i, " ".join(core + word(f"own{i}x", 30))) for i in range(8)]
+    rows += [(20, " ".join(rare + core + word("x", 3))), (21, " ".join(rare + core + word("y", 3)))]
+    rows += [(30 + k, " ".join((rare + core)[k : k + 5])) for k in range(20)]
+    monkeypatch.setattr(neardup, "_prefix_rows", lambda sets, depth: sets.select("node", F.lit(0).cast("long").alias("region")))
+    for name, value in (("REGION_PAIRS", 0), ("MEMBER_PAIRS", 0), ("COMMON_SHINGLE", 2)):
+        monkeypatch.setattr(neardup, name, value)
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = brute_components(rows)
+    assert want[21][1] == 20
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+
+
 def test_shards(spark, docs, empty):
     rows = sharding.shard_documents(docs).collect()
     assert len(rows) == docs.count()
