@@ -8,7 +8,9 @@ as one segment. Anchors that only one text has cannot hold a repeat and are left
 behind before any text moves. Each shard indexes its distinct segments in a
 compressed FM-index; backward search over the wavelet matrix gives, for every
 segment position, how far the words before it match, and every interval of at
-least thirteen words reports the smallest document that holds it.
+least thirteen words reports the smallest document that holds it. The windows
+of an anchor with very many words around it are filed one by one under all
+their thirteen words instead, where the smallest document is a plain minimum.
 """
 
 from __future__ import annotations
@@ -17,7 +19,8 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Words, column, gram_hashes, row_slices, stored, text_bytes
@@ -27,6 +30,8 @@ WINDOW = 13
 ANCHOR_WORDS = 4
 #: Words in one FM-index; a shard with more is indexed block by block.
 BLOCK_WORDS = 400_000
+#: Words around one anchor that still make a part of one shard; beyond, its windows are filed singly.
+ANCHOR_LIMIT = 20_000
 #: Windows searched at once.
 SEARCH_WINDOWS = 100_000
 
@@ -224,7 +229,11 @@ def _anchor_rows(base: DataFrame) -> DataFrame:
 
 
 def _segments(found: DataFrame) -> DataFrame:
-    """The segments of texts at given places, with their words as 64-bit hashes."""
+    """The segments of texts at given places, with their words as 64-bit hashes.
+
+    A segment of a hot anchor is given window by window, each named and anchored
+    by the digest of its words, which it does not carry.
+    """
 
     def rows(batches):
         for batch in row_slices(batches):
@@ -234,6 +243,12 @@ def _segments(found: DataFrame) -> DataFrame:
                 own = words.hashes[words.first[k] : words.first[k + 1]]
                 for p in places:
                     at, count = p["place"] >> 32, p["place"] & 0xFFFFFFFF
+                    if p["hot"]:
+                        for i in range(at, at + count):
+                            name = _digest64(own[i : i + WINDOW].tobytes())
+                            for c, v in zip(out, (key, mark, doc_id, i, name, name, b""), strict=True):
+                                c.append(v)
+                        continue
                     raw = own[at : at + count + WINDOW - 1].tobytes()
                     for c, v in zip(out, (key, mark, doc_id, at, p["anchor"], _digest64(raw), raw), strict=True):
                         c.append(v)
@@ -243,7 +258,10 @@ def _segments(found: DataFrame) -> DataFrame:
 
 
 def _search(distinct: DataFrame) -> DataFrame:
-    """Index and search the shards: ``segment, owners`` (64-bit, one per window)."""
+    """Index and search the shards: ``segment, owners`` (64-bit, one per window).
+
+    A single window without words has met all its equals by name already.
+    """
 
     def solve(held):
         segments = [np.frombuffer(w, dtype=np.uint64) for _, _, w in held]
@@ -253,6 +271,11 @@ def _search(distinct: DataFrame) -> DataFrame:
     def rows(batches):
         held, size, last = [], 0, None
         for batch in batches:
+            single = pc.equal(pc.binary_length(column(batch, "words")), 0)
+            alone = batch.filter(single)
+            if alone.num_rows:
+                yield pa.RecordBatch.from_arrays([column(alone, "segment"), pa.array([o.tobytes() for o in column(alone, "owner").to_numpy()], pa.binary())], names=["segment", "owners"])
+            batch = batch.filter(pc.invert(single))
             for anchor, segment, owner, words in zip(*(column(batch, c).to_pylist() for c in ("anchor", "segment", "owner", "words")), strict=True):
                 if size >= BLOCK_WORDS and anchor != last:  # equal windows share an anchor, so shards end between anchors
                     yield solve(held)
@@ -295,9 +318,11 @@ def repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     known = base.where("doc_id IS NOT NULL").select("key", "mark", "doc_id")
     first = known.groupBy("mark").agg(F.min("doc_id").alias("first_id"))
     copies = known.join(first, "mark").where("doc_id > first_id").select("key", "mark", F.lit(True).alias("copy")).distinct()
-    marked = Window.partitionBy("anchor")
-    shared = _anchor_rows(base.where("doc_id IS NOT NULL")).withColumn("other", F.min("mark").over(marked) != F.max("mark").over(marked)).where("other")
-    places = shared.groupBy("mark").agg(F.collect_set(F.struct("place", "anchor")).alias("places"))
+    # both uses of the anchors read one exchange; no task gathers the rows of an anchor
+    every = _anchor_rows(base.where("doc_id IS NOT NULL")).repartition("anchor")
+    words = F.sum(F.col("place").bitwiseAND(0xFFFFFFFF) + (WINDOW - 1))
+    shared = every.groupBy("anchor").agg(F.min("mark").alias("low"), F.max("mark").alias("high"), words.alias("words")).where("low <> high").select("anchor", (F.col("words") > ANCHOR_LIMIT).alias("hot"))
+    places = every.join(shared.hint("merge"), "anchor").groupBy("mark").agg(F.collect_set(F.struct("place", "anchor", "hot")).alias("places"))
     places = stored(places.join(first, "mark").select(F.xxhash64("first_id").alias("key"), "mark", "places"), "places")
     segments = _segments(places.join(base, ["key", "mark"]))
     distinct = segments.groupBy("anchor", "segment").agg(F.min("doc_id").alias("owner"), F.first("words").alias("words"))

@@ -180,6 +180,23 @@ def test_substrings(docs, empty):
     assert substring.drop_repeats(docs).count() == docs.count()
 
 
+def test_substrings_around_one_common_passage(docs, monkeypatch):
+    """An anchor with many texts around it fills no shard, and its windows find their owners all the same."""
+    groups = []
+    search = substring._search
+
+    def seen(distinct):
+        sizes = distinct.groupBy("anchor").agg(F.sum(F.length("words") / 8).alias("n"))
+        groups.append(sizes.agg(F.max("n").alias("n")).first().n)
+        return search(distinct)
+
+    monkeypatch.setattr(substring, "ANCHOR_LIMIT", 60, raising=False)
+    monkeypatch.setattr(substring, "_search", seen)
+    got = by_row(substring.remove_repeats(docs), "doc_id", "n_words", "n_removed", "kept_sha256")
+    assert got == brute_repeats(corpus())
+    assert max(groups) <= 60
+
+
 def test_tokens(spark, docs, empty):
     from tokenizers import Tokenizer
 
