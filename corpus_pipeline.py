@@ -24,8 +24,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, the one with the smallest id."""
-    return drop_near_duplicates(docs)
+    """One document of each group of near-duplicates (a similarity of 0.8 or more) stays, the one with the smallest id."""
+    return drop_near_duplicates(docs, threshold=0.8)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,14 +24,24 @@ from .common import Words, column, components, mix, row_slices, seeds, stored, t
 
 SHINGLE = 5
 THRESHOLD = 0.85
-#: Trees of the forest, hashes in each, and the prefix that makes two sets candidates.
-TREES, DEPTH, SHALLOW = 20, 6, 4
+#: Trees of the forest and hashes in each.
+TREES, DEPTH = 20, 6
 #: A region makes at most this many pairs, or :data:`MEMBER_PAIRS` a member, before it is followed to longer prefixes.
 REGION_PAIRS, MEMBER_PAIRS = 2000, 24
 #: Sets that may have a shingle among their rarest before these are first tried with the smallest of them, and with each other only where that links them to different parts.
 COMMON_SHINGLE = 32
-#: Candidates of later rounds whose signatures agree in a smaller share are not looked at: five standard errors below the threshold.
-LEAST_AGREEMENT = 0.68
+
+
+def shallow(percent: int) -> int:
+    """The prefix that makes two sets candidates: the longest that sets at the threshold miss in all trees once in a million."""
+    fits = [d for d in range(1, DEPTH + 1) if (1 - (percent / 100) ** d) ** TREES <= 1e-6]
+    return max(fits, default=1)
+
+
+def least_agreement(percent: int) -> float:
+    """Candidates of later rounds whose signatures agree in a smaller share are not looked at: over five standard errors below the threshold."""
+    t = percent / 100
+    return int(100 * (t - 5.2 * (t * (1 - t) / (TREES * DEPTH)) ** 0.5)) / 100
 
 
 def shingles(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -122,7 +132,7 @@ def _set_bytes(base: DataFrame) -> DataFrame:
     return base.mapInArrow(rows, "node long, values binary")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs ``a, b`` whose full sets are similar enough."""
 
     def rows(batches):
@@ -134,12 +144,12 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                     last, known = b, np.frombuffer(y, dtype=np.uint64)
                 own = np.frombuffer(x, dtype=np.uint64)
                 small, large = (own, known) if len(own) <= len(known) else (known, own)
-                if 100 * len(small) < 85 * len(large):
+                if 100 * len(small) < percent * len(large):
                     keep.append(False)
                     continue
                 at = np.minimum(np.searchsorted(large, small), len(large) - 1)
                 both = int((large[at] == small).sum())
-                keep.append(100 * both >= 85 * (len(own) + len(known) - both))
+                keep.append(100 * both >= percent * (len(own) + len(known) - both))
             yield pa.RecordBatch.from_arrays([column(batch, "a"), column(batch, "b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("values").alias("x")), "a")
@@ -147,13 +157,13 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(rows, "a long, b long")
 
 
-def _agreeing(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose signatures agree in at least :data:`LEAST_AGREEMENT` of their places."""
+def _agreeing(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs whose signatures agree in a share of at least ``least`` of their places."""
 
     def rows(batches):
         for batch in batches:
             x, y = (np.frombuffer(b"".join(column(batch, c).to_pylist()), dtype=np.uint32).reshape(batch.num_rows, TREES * DEPTH) for c in "xy")
-            near = (x == y).mean(axis=1) >= LEAST_AGREEMENT
+            near = (x == y).mean(axis=1) >= least
             yield pa.RecordBatch.from_arrays([column(batch, "a"), column(batch, "b")], names=["a", "b"]).filter(pa.array(near))
 
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("signature").alias("x")), "a")
@@ -161,7 +171,7 @@ def _agreeing(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(rows, "a long, b long")
 
 
-def _rare_shingles(dense: DataFrame, values: DataFrame) -> DataFrame:
+def _rare_shingles(dense: DataFrame, values: DataFrame, percent: int) -> DataFrame:
     """``node, n, shingle, behind``: the rarest shingles of the sets of dense regions, and how many of the set come after each.
 
     Two sets of a similarity of at least the threshold share one of the
@@ -182,25 +192,25 @@ def _rare_shingles(dense: DataFrame, values: DataFrame) -> DataFrame:
     grams = values.join(dense, "node", "left_semi").mapInArrow(exploded, "node long, n long, shingle long")
     counted = grams.withColumn("df", F.count("node").over(Window.partitionBy("shingle")))
     ranked = counted.groupBy("node").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("g"))
-    take = (F.col("n") - F.ceil(F.col("n") * 85 / 100) + 1).cast("int")
+    take = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
     rare = ranked.select("node", "n", F.posexplode(F.slice("g", F.lit(1), take)).alias("at", "g")).where("g.df > 1")
     return stored(rare.select("node", "n", F.col("g.shingle").alias("shingle"), (F.col("n") - F.col("at") - 1).alias("behind")), "rare")
 
 
-def _near_sizes() -> Column:
+def _near_sizes(percent: int) -> Column:
     """Whether the sets ``a`` and ``b`` are of different parts and of sizes that allow the threshold."""
-    return (F.col("la") != F.col("lb")) & (F.col("na") * 100 >= F.col("nb") * 85) & (F.col("nb") * 100 >= F.col("na") * 85)
+    return (F.col("la") != F.col("lb")) & (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
 
 
-def _core_pairs(rare: DataFrame, labels: DataFrame) -> DataFrame:
+def _core_pairs(rare: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Pairs with the smallest of the sets that share a common shingle: few candidates that link most of what is near."""
     tagged = rare.join(labels, "node")
     lists = tagged.groupBy("shingle").agg(F.count("*").alias("held"), F.min(F.struct("n", "node", "label")).alias("least")).where(F.col("held") > COMMON_SHINGLE)
     core = tagged.join(lists, "shingle").select(F.col("node").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("least.node").alias("b"), F.col("least.label").alias("lb"), F.col("least.n").alias("nb"))
-    return core.where(_near_sizes()).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    return core.where(_near_sizes(percent)).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def _rare_pairs(rare: DataFrame, labels: DataFrame) -> DataFrame:
+def _rare_pairs(rare: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """All pairs of different parts that share a rarest shingle and can be similar enough.
 
     ``labels`` are the parts that all links so far make. The largest part among
@@ -216,8 +226,8 @@ def _rare_pairs(rare: DataFrame, labels: DataFrame) -> DataFrame:
     shared = tagged.join(open_, "shingle")
     rest = shared.where("label <> main").select("shingle", F.col("node").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("behind").alias("ra"))
     every = shared.select("shingle", "main", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("behind").alias("rb"))
-    room = (F.least("ra", "rb") + 1) * 185 >= (F.col("na") + F.col("nb")) * 85
-    pairs = rest.join(every, "shingle").where(_near_sizes() & room & F.expr("lb = main OR a < b"))
+    room = (F.least("ra", "rb") + 1) * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
+    pairs = rest.join(every, "shingle").where(_near_sizes(percent) & room & F.expr("lb = main OR a < b"))
     return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
@@ -233,7 +243,7 @@ def _cuts(sizes: np.ndarray, most: int = 200_000):
         yield at, len(sizes)
 
 
-def _later_pairs(sets: DataFrame, regions: DataFrame, labels: DataFrame, values: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+def _later_pairs(sets: DataFrame, regions: DataFrame, labels: DataFrame, values: DataFrame, percent: int) -> tuple[DataFrame, DataFrame | None]:
     """Pairs across unlinked parts of regions, at the depth where a region is of moderate size; rarest shingles of the sets of larger ones.
 
     ``labels(node, label)`` names the part that a set is linked into so far. The
@@ -247,7 +257,7 @@ def _later_pairs(sets: DataFrame, regions: DataFrame, labels: DataFrame, values:
     """
     out = rare = None
     now = regions
-    for depth in (SHALLOW, DEPTH):
+    for depth in (shallow(percent), DEPTH):
         tagged = now.join(labels, "node").select("node", "region", "label")
         parts = tagged.groupBy("region", "label").agg(F.count("*").alias("n"))
         sizes = parts.groupBy("region").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
@@ -261,22 +271,23 @@ def _later_pairs(sets: DataFrame, regions: DataFrame, labels: DataFrame, values:
         large = open_.where("work > most").select("node").distinct()
         if depth == DEPTH or large.isEmpty():
             break
-        rare = _rare_shingles(large, values)
-        out = out.unionByName(_core_pairs(rare, labels))
+        rare = _rare_shingles(large, values, percent)
+        out = out.unionByName(_core_pairs(rare, labels, percent))
         now = _prefix_rows(sets.join(large, "node", "left_semi"), DEPTH)
     return out.distinct(), rare
 
 
-def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Per document ``doc_id, n_shingles, component_id, kept``.
 
     Sets are the distinct five-word shingles of the lower-cased text; shorter
     texts have their whole sequence as the only one. Sets with a Jaccard
-    similarity of 0.85 or more are linked; ``component_id`` is the smallest
+    similarity of ``threshold`` (whole hundredths) or more are linked; ``component_id`` is the smallest
     reachable id. A null or empty text has no shingles and is linked with
     nothing. Repeated rows share a component; a null id is kept and has no
     component. Other columns are not looked at.
     """
+    percent = round(100 * threshold)
     base = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     described = stored(_set_rows(base), "signatures")
     full = described.where("n_shingles > 0 AND doc_id IS NOT NULL")
@@ -285,7 +296,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     copies = full.select("doc_id", "set_a", "set_b").join(names, ["set_a", "set_b"]).select("doc_id", "node").distinct()
     sets = stored(full.select(F.col("doc_id").alias("node"), "set_a", "set_b", "signature", "n_shingles").join(names, ["set_a", "set_b", "node"], "left_semi").dropDuplicates(["node"]).select("node", "signature"), "sets")
 
-    every = _prefix_rows(sets, SHALLOW)
+    every = _prefix_rows(sets, shallow(percent))
     crowded = every.groupBy("region").agg(F.count("*").alias("size")).where("size > 1")
     regions = stored(every.join(crowded, "region"), "regions")
     central = regions.groupBy("node").agg(F.sum(F.log("size")).alias("centre"))
@@ -295,23 +306,23 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     wanted = regions.select("node").distinct()
     texts = base.withColumnRenamed("doc_id", "node").join(wanted, "node", "left_semi").dropDuplicates(["node"])
     values = stored(_set_bytes(texts), "shingles")
-    links = stored(_confirmed(first, values), "links")
+    links = stored(_confirmed(first, values, percent), "links")
 
     # a set is labelled by the smallest pivot that it is linked to, or by that one's own
     near = links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label"))
     above = near.select(F.col("node").alias("label"), F.col("label").alias("upper"))
     linked_up = near.join(above, "label", "left").select("node", F.coalesce("upper", "label").alias("label"))
     labels = stored(wanted.join(linked_up, "node", "left").select("node", F.coalesce("label", "node").alias("label")), "labels")
-    later, rare = _later_pairs(sets, regions.select("node", "region"), labels, values)
+    later, rare = _later_pairs(sets, regions.select("node", "region"), labels, values, percent)
     later = stored(later, "pairs")
     tried = later.join(first, ["a", "b"], "left_anti").join(first.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-    more = stored(_confirmed(_agreeing(tried, sets), values), "links")
+    more = stored(_confirmed(_agreeing(tried, sets, least_agreement(percent)), values, percent), "links")
 
     links = links.unionByName(more)
     roots = components(links, "components")
     if rare is not None:
         parts = wanted.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("label"))
-        last = stored(_confirmed(stored(_rare_pairs(rare, parts), "pairs"), values), "links")
+        last = stored(_confirmed(stored(_rare_pairs(rare, parts, percent), "pairs"), values, percent), "links")
         if not last.isEmpty():
             roots = components(links.unionByName(last), "components")
     linked = copies.join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("component_id"))
@@ -320,11 +331,11 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with one document of each group of near-duplicates, the one with the smallest id; all columns as they are.
 
     Rows that repeat an id stay or go together; rows with a null id stay.
     """
-    judged = near_duplicates(docs, id_column, text_column)
+    judged = near_duplicates(docs, id_column, text_column, threshold)
     gone = judged.where("NOT kept").select("doc_id").distinct()
     return docs.join(gone, docs[id_column] == gone["doc_id"], "left_anti")

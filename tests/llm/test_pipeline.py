@@ -17,6 +17,14 @@ def test_stages(spark, sf_small):
     assert {r.doc_id for r in last.collect()} == {r.doc_id for r in corpus_pipeline.run(spark, sf_small).collect()}
 
 
+def test_near_duplicates_from_four_fifths(spark):
+    words = [f"w{k}" for k in range(104)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:94], *(f"x{k}" for k in range(10))])), (3, " ".join([*words[:84], *(f"y{k}" for k in range(20))]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    # similarities of 90/110 with 1 and of 80/120 beyond
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == {1, 3}
+
+
 def test_queries_are_registered():
     assert [n.split("_")[0] for n in QUERIES] == [f"op{k}" for k in range(1, 11)]
     assert set(ORACLE) <= set(QUERIES)
