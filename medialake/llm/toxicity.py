@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -132,12 +132,14 @@ PRIOR = np.array([-2.0, 2.0, 2.0, 0.3, 0.3, 0.3, 0.0, 1.0])
 class Lexicon:
     words: dict[str, float]
     stems: dict[str, float]
+    #: Words of stem families and their stems, so that their misspellings are found and count as the family.
+    members: dict[str, str] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
-        self.list = list(self.words)
+        self.list = [*self.words, *self.members]
 
     def __getstate__(self):
-        return {"words": self.words, "stems": self.stems, "list": self.list}
+        return {"words": self.words, "stems": self.stems, "members": self.members, "list": self.list}
 
 
 class Matcher:
@@ -155,7 +157,13 @@ class Matcher:
             if word[:n] in self.lexicon.stems and len(word) >= n:
                 return "stem", word[:n], self.lexicon.stems[word[:n]]
         got = self.automaton.match(word)
-        return ("misspelled", self.lexicon.list[got[1]], self.lexicon.words[self.lexicon.list[got[1]]]) if got else None
+        if not got:
+            return None
+        near = self.lexicon.list[got[1]]
+        if near in self.lexicon.members:
+            stem = self.lexicon.members[near]
+            return "misspelled", stem, self.lexicon.stems[stem]
+        return "misspelled", near, self.lexicon.words[near]
 
     def features(self, text: str) -> np.ndarray:
         if len(self.known) > CACHE_WORDS:
@@ -244,6 +252,7 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
     # a stem that one word explains alone is that word; the others are families of words
     words = {r.term: float(r.w) for r in best if r.kind == "w"}
     support = {r.term: r.a for r in best if r.kind == "s"}
+    members: dict[str, str] = {}
     by_word = {r.term: r.a for r in best if r.kind == "w"}
     for stem in list(stems):
         inside = [w for w in words if w.startswith(stem)]
@@ -252,7 +261,9 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
         else:
             for w in inside:
                 del words[w]
-    return Lexicon(dict(list(words.items())[:LEXICON_TERMS]), dict(list(stems.items())[:LEXICON_TERMS]))
+                members[w] = stem
+    stems = dict(list(stems.items())[:LEXICON_TERMS])
+    return Lexicon(dict(list(words.items())[:LEXICON_TERMS]), stems, {w: stem for w, stem in members.items() if stem in stems})
 
 
 @dataclass

@@ -154,6 +154,15 @@ def test_toxicity(spark, empty):
     assert toxicity.toxicity_scores(docs, blank, ["doc_id"]).where("predicted = 1").count() == 0
 
 
+def test_misspelled_words_of_a_stem_family(spark):
+    rows = [(f"{'grumbold grumbler grumbits'.split()[i % 3]} word{i % 50}" if i % 4 == 0 else f"word{i % 50} other", int(i % 4 == 0)) for i in range(600)]
+    lexicon = toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, y int"))
+    assert list(lexicon.stems) == ["grum"] and not lexicon.words
+    matcher = toxicity.Matcher(lexicon)
+    assert matcher.term("grumbler")[:2] == ("stem", "grum")
+    assert [matcher.term(w) for w in ("grzmbler", "rumbold", "gxrumbits")] == [("misspelled", "grum", lexicon.stems["grum"])] * 3
+
+
 def brute_repeats(rows, window=13):
     split = [(i, (t or "").translate({c: " " for c in range(9, 14)}).split(" ")) for i, t, *_ in rows]
     split = [(i, [w for w in words if w]) for i, words in split]
