@@ -48,16 +48,24 @@ def stored(df: DataFrame, label: str, **options) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def row_slices(batches: Iterable[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches so that neither rows nor text bytes pass the bounds."""
+def row_slices(batches: Iterable[pa.RecordBatch], column: str = "text", rows: int = SLICE_ROWS, room: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut Arrow batches so that neither rows nor text bytes (but for one long text) pass the bounds by much."""
     for batch in batches:
         size = max(1, batch.num_rows)
         mean = batch.column(batch.schema.get_field_index(column)).nbytes / size
-        step = int(max(1, min(SLICE_ROWS, SLICE_BYTES // max(1.0, mean))))
+        step = int(max(1, min(rows, room // max(1.0, mean))))
         for at in range(0, batch.num_rows, step):
             yield batch.slice(at, step)
 
 
+def free_name(taken: Iterable[str], wanted: str) -> str:
+    """``wanted``, with underscores before it until no column is called so."""
+    known = {name.lower() for name in taken}
+    while wanted.lower() in known:
+        wanted = f"_{wanted}"
+    return wanted
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
@@ -157,6 +165,15 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def keyed_anew(sums: DataFrame, key: str) -> DataFrame:
+    """``sums``, one row a key, without the partitioning that its aggregate left.
+
+    A join of it with the rows of the keys then exchanges both sides, so that
+    adaptive execution can split the partition of a key with very many rows.
+    """
+    return sums.withColumn(key, -(-F.col(key)))
+
+
 def components(edges: DataFrame, label: str) -> DataFrame:
     """Connected components of ``edges(a, b)``: ``(node, root)`` with the smallest node as root.
 
@@ -170,12 +187,12 @@ def components(edges: DataFrame, label: str) -> DataFrame:
     before = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low2 = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = keyed_anew(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), "u")
+        large = stored(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), label)
+        low2 = keyed_anew(large.groupBy("u").agg(F.min("v").alias("m")), "u")
         small = large.join(low2, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low2.select("u", F.col("m").alias("v"))).distinct()
         now = stored(small, label)
         state = now.agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(u, v))").alias("x"), F.sum("v").alias("s")).first()
-        if state == before:
-            return now.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
+        if state == before or not state.n:
+            return stored(now.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node"), label)
         before = state
