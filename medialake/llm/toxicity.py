@@ -3,16 +3,20 @@
 The lexicon is learned from labelled rows: whole words and word beginnings that
 toxic documents have and others lack. A word is run through the intersection of
 the lexicon trie with the automaton that allows a few edits, built lazily as a
-deterministic automaton. Each hit is weighed by a window of words around it:
-inside quotation marks or beside a verb of reporting it counts as quotation.
-A logistic model over the weighed hits gives the score.
+deterministic automaton. A window of words around each hit is scored in numbers:
+how closely quotation marks enclose it, how near a verb of reporting is, how
+near somebody is addressed. A logistic model over hits and context gives the
+score. It is fitted on the labelled rows and on variants of the toxic ones, with
+their terms misspelled (still toxic) or quoted (not toxic); hits and address
+never lower a score, signs of quotation never raise one.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -20,24 +24,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column, row_slices, texts
+from .common import column, free_name, row_slices, texts
 
 #: Labelled rows of either class that the lexicon and the model are fitted on.
 SAMPLE_ROWS = 5000
-#: Terms in the lexicon at most, those with the strongest evidence first.
-LEXICON_TERMS = 400
+#: Weight of a variant of a labelled row beside the row itself.
+VARIANT_WEIGHT = 0.5
 #: Words before and behind a hit that decide whether it is quoted.
 CONTEXT_WORDS = 6
 MIN_STEM, MAX_STEM = 4, 7
 #: Least log-likelihood ratio of a term, against words that are toxic by chance.
 EVIDENCE = 8.5
+#: A word near a term says nothing if clean documents have such words more often than toxic ones have the term.
+LEAST_TRUST = 0.5
 #: Word types whose automaton result a worker remembers.
 CACHE_WORDS = 300_000
 
 _WORD = re.compile(r"[^\W_]+(?:['’*@$!][^\W_]+)*")
-_OPEN, _CLOSE = "\"“„«‘'", "\"”“»’'"
-# Verbs of reporting in the four languages of the corpus (fixed values).
+_OPEN, _CLOSE, _EVEN = "“„«‘", "”»’", "\"“"  # the last ones open and close
+# Verbs of reporting and words of address in the four languages of the corpus (fixed values).
 REPORTING = frozenset("said says wrote writes quoted called reported claims sagte schrieb zitierte nannte dit écrit cite appelé dijo escribió citó llamó".split())
+ADDRESS = frozenset("you your yours du dich dir dein deine ihr euch tu toi te ton ta tes vous votre tú ti tus usted ustedes".split())
 
 
 def edits_allowed(term: str) -> int:
@@ -122,10 +129,13 @@ class LexiconAutomaton:
         return self.accepts[state]
 
 
-#: What the logistic model sees. Hits count once per distinct term, so that long documents are not toxic by length.
-FEATURES = ("bias", "exact", "stem", "misspelled", "quoted exact", "quoted stem", "quoted misspelled", "strength")
-#: Where a labelled sample says nothing of quotation, it is held to weigh less than abuse.
-PRIOR = np.array([-2.0, 2.0, 2.0, 0.3, 0.3, 0.3, 0.0, 1.0])
+#: What the logistic model sees. Hits count once per distinct term, so that long documents are not toxic by length;
+#: a misspelled one counts by its closeness. Marks and report are how far a document's hits are quoted, its least quoted
+#: hit deciding for a term; address is the nearest one.
+FEATURES = ("bias", "exact", "stem", "misspelled", "strength", "address", "marks", "report")
+PRIOR = np.array([-2.0, 2.0, 2.0, 1.5, 1.0, 0.1, -0.5, -0.5])
+#: The sign that a weight may have.
+SIGNS = np.array([0, 1, 1, 1, 1, 1, -1, -1])
 
 
 @dataclass
@@ -134,12 +144,26 @@ class Lexicon:
     stems: dict[str, float]
     #: Words of stem families and their stems, so that their misspellings are found and count as the family.
     members: dict[str, str] = field(default_factory=dict)
+    #: Words near a term that clean documents use: words of their own, no misspellings.
+    own: frozenset[str] = frozenset()
+    #: Those of them that one sampled document alone has; in that one they are judged as in an unseen one.
+    once: frozenset[str] = frozenset()
+    #: How far a word near a term speaks for the term: its toxic documents against clean ones that have a near word (1 where none has).
+    trust: dict[str, float] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         self.list = [*self.words, *self.members]
 
-    def __getstate__(self):
-        return {"words": self.words, "stems": self.stems, "members": self.members, "list": self.list}
+
+@dataclass
+class Hit:
+    """A word that is a term: its place, the kind of hit, the term, its weight and how close the word is to it."""
+
+    at: int
+    kind: str
+    term: str
+    weight: float
+    closeness: float
 
 
 class Matcher:
@@ -147,56 +171,146 @@ class Matcher:
         self.lexicon = lexicon
         self.automaton = LexiconAutomaton(lexicon.list)
         self.lengths = sorted({len(s) for s in lexicon.stems})
-        self.known: dict[str, tuple[str, str, float] | None] = {}
+        self.known: dict[str, tuple[str, str, float, float] | None] = {}
 
-    def term(self, word: str) -> tuple[str, str, float] | None:
-        """(kind of hit, term, weight) of a lower-cased word."""
+    def term(self, word: str) -> tuple[str, str, float, float] | None:
+        """(kind of hit, term, weight, closeness) of a lower-cased word."""
         if word in self.lexicon.words:
-            return "exact", word, self.lexicon.words[word]
+            return "exact", word, self.lexicon.words[word], 1.0
         for n in self.lengths:
             if word[:n] in self.lexicon.stems and len(word) >= n:
-                return "stem", word[:n], self.lexicon.stems[word[:n]]
+                return "stem", word[:n], self.lexicon.stems[word[:n]], 1.0
+        if word in self.lexicon.own:
+            return None
         got = self.automaton.match(word)
         if not got:
             return None
         near = self.lexicon.list[got[1]]
-        if near in self.lexicon.members:
-            stem = self.lexicon.members[near]
-            return "misspelled", stem, self.lexicon.stems[stem]
-        return "misspelled", near, self.lexicon.words[near]
+        term = self.lexicon.members.get(near, near)
+        if self.lexicon.trust.get(term, 1.0) < LEAST_TRUST:
+            return None
+        weight = self.lexicon.stems[term] if near in self.lexicon.members else self.lexicon.words[term]
+        return "misspelled", term, weight, (1.0 - got[0] / (len(near) + 1)) * self.lexicon.trust.get(term, 1.0)
 
-    def features(self, text: str) -> np.ndarray:
+    def hits(self, words: list[str]) -> list[Hit]:
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
-        lower = text.lower()
-        words = _WORD.findall(lower)
-        known, hits = self.known, []
+        known, out = self.known, []
         for k, word in enumerate(words):
             try:
                 got = known[word]
             except KeyError:
                 got = known[word] = self.term(word)
             if got:
-                hits.append((k, got))
-        terms = {"exact": set(), "stem": set(), "misspelled": set(), "quoted exact": set(), "quoted stem": set(), "quoted misspelled": set()}
-        strength = 0.0
-        if hits:
-            spans = [m.span() for m in _WORD.finditer(lower)]
-            for k, (kind, term, weight) in hits:
-                quoted = self._quoted(lower, words, spans, k)
-                terms[("quoted " if quoted else "") + kind].add(term)
-                if kind != "misspelled" and not quoted:
-                    strength = max(strength, weight / 5)
-        return np.array([1.0, *[np.log1p(len(terms[name])) for name in FEATURES[1:7]], strength])
-
-    @staticmethod
-    def _quoted(text: str, words: list[str], spans: list[tuple[int, int]], k: int) -> bool:
-        """Whether the window around word ``k`` opens a quotation before it and closes it behind, or reports it."""
-        a, b = max(0, k - CONTEXT_WORDS), min(len(words), k + CONTEXT_WORDS + 1)
-        before, behind = text[spans[a][0] : spans[k][0]], text[spans[k][1] : spans[b - 1][1]]
-        opened = any(re.search(rf"(?:^|\s)[{re.escape(c)}]\S|[«„]", before) for c in _OPEN) or bool(re.search(r"[\"“„«]$", before))
-        closed = bool(re.search(r"[\"”“»]", behind)) or text[spans[k][1] : spans[k][1] + 1] in _CLOSE and spans[k][1] < len(text)
-        return bool(opened and closed) or not REPORTING.isdisjoint(words[max(0, k - 3) : k + 4])
+                out.append(Hit(k, *got))
+        return out
+
+    def features(self, text: str) -> np.ndarray:
+        lower = text.lower()
+        words = _WORD.findall(lower)
+        hits = self.hits(words)
+        if not hits:
+            return np.array([1.0, *[0.0] * (len(FEATURES) - 1)])
+        spans = [m.span() for m in _WORD.finditer(lower)]
+        terms: dict[str, dict[str, float]] = {"exact": {}, "stem": {}, "misspelled": {}}
+        marks: dict[str, float] = {}
+        reports: dict[str, float] = {}
+        strength = address = 0.0
+        for h in hits:
+            quoted, reported, addressed = context(lower, words, spans, h.at)
+            terms[h.kind][h.term] = max(h.closeness, terms[h.kind].get(h.term, 0.0))
+            marks[h.term] = min(quoted, marks.get(h.term, 1.0))
+            reports[h.term] = min(reported, reports.get(h.term, 1.0))
+            strength = max(strength, h.weight * h.closeness / 5)
+            address = max(address, addressed)
+        counts = [np.log1p(sum(terms[kind].values())) for kind in ("exact", "stem", "misspelled")]
+        return np.array([1.0, *counts, strength, address, np.mean(list(marks.values())), np.mean(list(reports.values()))])
+
+
+def _nearness(words: list[str], wanted: frozenset[str], at: int) -> float:
+    """1 for a wanted word beside place ``at``, less with distance, 0 beyond the window."""
+    best = 0.0
+    for k in range(max(0, at - CONTEXT_WORDS), min(len(words), at + CONTEXT_WORDS + 1)):
+        if k != at and words[k] in wanted:
+            best = max(best, 1.0 - (abs(k - at) - 1) / CONTEXT_WORDS)
+    return best
+
+
+def context(text: str, words: list[str], spans: list[tuple[int, int]], at: int) -> tuple[float, float, float]:
+    """(marks, report, address) of the window around word ``at``, each from 0 to 1.
+
+    Marks: an open quotation before the word and its end behind, each worth a
+    half, less with the distance in words. Report and address: the nearest verb
+    of reporting and the nearest word of address.
+    """
+    a, b = max(0, at - CONTEXT_WORDS), min(len(words), at + CONTEXT_WORDS + 1)
+    opened = closed = 0.0
+    for k in range(at, a - 1, -1):  # the gaps before word k, nearest first
+        gap = text[spans[k - 1][1] if k else 0 : spans[k][0]]
+        found = _last_mark(gap)
+        if found:
+            opened = 1.0 - (at - k) / (CONTEXT_WORDS + 1) if found == "open" else 0.0
+            break
+    for k in range(at, b):
+        gap = text[spans[k][1] : spans[k + 1][0] if k + 1 < len(words) else len(text)]
+        found = _first_mark(gap)
+        if found:
+            closed = 1.0 - (k - at) / (CONTEXT_WORDS + 1) if found == "close" else 0.0
+            break
+    return (opened + closed) / 2 if opened and closed else 0.0, _nearness(words, REPORTING, at), _nearness(words, ADDRESS, at)
+
+
+def _last_mark(gap: str) -> str | None:
+    """Whether the last quotation mark between two words opens (stands before a word) or closes."""
+    for k in range(len(gap) - 1, -1, -1):
+        c = gap[k]
+        if c in _OPEN or c in _EVEN + "'" and k == len(gap) - 1:
+            return "open"
+        if c in _CLOSE or c in _EVEN:
+            return "close"
+    return None
+
+
+def _first_mark(gap: str) -> str | None:
+    """Whether the first quotation mark behind a word closes (stands behind text) or opens."""
+    for k, c in enumerate(gap):
+        if c in _CLOSE or c in _EVEN + "'" and (k == 0 or gap[:k].strip(".,;:!?") == ""):
+            return "close"
+        if c in _OPEN or c in _EVEN:
+            return "open"
+    return None
+
+
+def misspelled(word: str) -> str:
+    """``word`` with one letter left out, doubled or replaced, by the word itself."""
+    seed = zlib.crc32(word.encode())
+    k, way = 1 + seed % max(1, len(word) - 1), (seed >> 8) % 3
+    if way == 0:
+        return word[:k] + word[k + 1 :]
+    if way == 1:
+        return word[:k] + word[k - 1] + word[k:]
+    return word[:k] + ("x" if word[k : k + 1] != "x" else "z") + word[k + 1 :]
+
+
+def variants(matcher: Matcher, text: str) -> list[tuple[str, int]]:
+    """Variants of a toxic text with their labels: its terms misspelled, in quotation marks, behind a verb of reporting, and both."""
+    lower = text.lower()
+    spans = [m.span() for m in _WORD.finditer(lower)]
+    places = [spans[h.at] for h in matcher.hits([lower[a:b] for a, b in spans]) if h.kind != "misspelled"]
+
+    def rewritten(new) -> str:
+        out, at = [], 0
+        for a, b in places:
+            out += [lower[at:a], new(lower[a:b])]
+            at = b
+        return "".join([*out, lower[at:]])
+
+    if not places:
+        return []
+    verb = sorted(REPORTING)[zlib.crc32(lower.encode()) % len(REPORTING)]
+    made = [(rewritten(lambda w: f'"{w}"'), 0), (rewritten(lambda w: f"{verb} {w}"), 0), (rewritten(lambda w: f'{verb} "{w}"'), 0)]
+    wrong = rewritten(lambda w: misspelled(w) if edits_allowed(w) else w)
+    return [*made, (wrong, 1)] if matcher.hits(_WORD.findall(wrong)) else made
 
 
 def held_out(doc_id: Column) -> Column:
@@ -228,7 +342,7 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
             counts = {y: (Counter(), Counter()) for y in (0, 1)}
             for y, text in zip(column(batch, "y").to_pylist(), texts(batch), strict=True):
                 words = set(_WORD.findall(text.lower()))
-                counts[y][0].update(w for w in words if len(w) <= 24)
+                counts[y][0].update(words)
                 counts[y][1].update({w[:n] for w in words for n in range(MIN_STEM, MAX_STEM + 1) if len(w) > n})
             rows = [(kind, term, n, y) for y, both in counts.items() for kind, c in zip("ws", both, strict=True) for term, n in c.items()]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.int32())], names=["kind", "term", "n", "y"])
@@ -244,7 +358,7 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
     share = n1 / (n0 + n1)
     part = lambda c, p: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / ((F.col("a") + F.col("b")) * p))).otherwise(0.0)
     strong = counted.where(f"a >= {least}").withColumn("w", odds - 1.0 / F.sqrt(F.col("a"))).withColumn("g", part("a", share) + part("b", 1.0 - share))
-    best = strong.where(f"w > 3.0 AND g > {EVIDENCE}").orderBy(F.desc("g"), "kind", "term").limit(4 * LEXICON_TERMS).collect()
+    best = strong.where(f"w > 3.0 AND g > {EVIDENCE}").orderBy(F.desc("g"), "kind", "term").collect()  # terms of the bounded sample
     stems: dict[str, float] = {}
     for r in sorted((r for r in best if r.kind == "s"), key=lambda r: (len(r.term), r.term)):
         if not any(r.term[:n] in stems for n in range(MIN_STEM, len(r.term))):
@@ -262,8 +376,27 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
             for w in inside:
                 del words[w]
                 members[w] = stem
-    stems = dict(list(stems.items())[:LEXICON_TERMS])
-    return Lexicon(dict(list(words.items())[:LEXICON_TERMS]), stems, {w: stem for w, stem in members.items() if stem in stems})
+    return _with_own_words(Lexicon(words, stems, members), counted, by_word | {t: support[t] for t in stems})
+
+
+def _with_own_words(lexicon: Lexicon, counted: DataFrame, toxic: dict[str, int]) -> Lexicon:
+    """``lexicon`` with the words that the automaton takes for misspellings though clean documents of the sample use them.
+
+    ``toxic`` tells how many toxic documents have each term.
+    """
+
+    def near(batches):
+        matcher = Matcher(lexicon)
+        for batch in batches:
+            words, b = column(batch, "term").to_pylist(), column(batch, "b").to_pylist()
+            found = [(w, got[1], n) for w, n in zip(words, b, strict=True) if (got := matcher.term(w)) and got[0] == "misspelled"]
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["word", "term", "b"])
+
+    clean = counted.where("kind = 'w' AND b > 0 AND b >= a").select("term", "b").mapInArrow(near, "word string, term string, b long").collect()  # words of the bounded sample
+    beside = Counter()
+    for r in clean:
+        beside[r.term] += r.b
+    return Lexicon(lexicon.words, lexicon.stems, lexicon.members, frozenset(r.word for r in clean), frozenset(r.word for r in clean if r.b == 1), {t: toxic[t] / (toxic[t] + n) for t, n in beside.items()})
 
 
 @dataclass
@@ -289,34 +422,49 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, **columns)
     if not lexicon.words and not lexicon.stems:
         return Model(lexicon, PRIOR)
 
+    unseen = replace(lexicon, own=lexicon.own - lexicon.once)
+
     def vectors(batches):
-        matcher = Matcher(lexicon)
+        matcher = Matcher(unseen)
         for batch in row_slices(batches):
-            rows = [matcher.features(t).tolist() for t in texts(batch)]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), column(batch, "y")], names=["x", "y"])
+            out = []
+            for text, label in zip(texts(batch), column(batch, "y").to_pylist(), strict=True):
+                out.append((matcher.features(text).tolist(), label, 1.0))
+                if label:
+                    out += [(matcher.features(t).tolist(), y, VARIANT_WEIGHT) for t, y in variants(matcher, text)]
+            kinds = (pa.list_(pa.float64()), pa.int32(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=["x", "y", "w"])
 
-    got = sample.mapInArrow(vectors, "x array<double>, y int").toPandas()
-    x, y = np.array(got["x"].tolist()), got["y"].to_numpy(dtype=float)
-    return Model(lexicon, _logistic(x, y))
+    got = sample.mapInArrow(vectors, "x array<double>, y int, w double").toPandas()
+    x, y, w = np.array(got["x"].tolist()), got["y"].to_numpy(dtype=float), got["w"].to_numpy(dtype=float)
+    return Model(lexicon, _logistic(x, y, w))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Weights of highest posterior; the prior keeps features that the sample lacks in place."""
+def _logistic(x: np.ndarray, y: np.ndarray, row_weights: np.ndarray) -> np.ndarray:
+    """Weights of highest posterior within :data:`SIGNS`, by Newton steps on the weights that are free to move."""
+    low, high = np.where(SIGNS > 0, 0.0, -np.inf), np.where(SIGNS < 0, 0.0, np.inf)
 
     def loss(w: np.ndarray) -> float:
         z = x @ w
-        return float((np.logaddexp(0, z) - y * z).sum() + 0.25 * ((w - PRIOR) ** 2).sum())
+        return float((row_weights * (np.logaddexp(0, z) - y * z)).sum() + 0.25 * ((w - PRIOR) ** 2).sum())
 
     weights = PRIOR.copy()
-    for _ in range(100):
+    for _ in range(200):
         p = 1.0 / (1.0 + np.exp(-np.clip(x @ weights, -30, 30)))
-        gradient = x.T @ (p - y) + 0.5 * (weights - PRIOR)
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.5 * np.eye(len(weights)), gradient)
+        gradient = x.T @ (row_weights * (p - y)) + 0.5 * (weights - PRIOR)
+        free = ~(((weights <= low) & (gradient > 0)) | ((weights >= high) & (gradient < 0)))
+        if not free.any():
+            break
+        own = x[:, free]
+        step = np.zeros_like(weights)
+        step[free] = np.linalg.solve((own * (row_weights * p * (1 - p))[:, None]).T @ own + 0.5 * np.eye(int(free.sum())), gradient[free])
         rate, now = 1.0, loss(weights)
-        while rate > 1e-6 and loss(weights - rate * step) > now:
+        while rate > 1e-6 and loss(np.clip(weights - rate * step, low, high)) > now:
             rate /= 2
-        weights = weights - rate * step
-        if np.abs(rate * step).max() < 1e-6:
+        moved = np.clip(weights - rate * step, low, high)
+        done = np.abs(moved - weights).max() < 1e-6
+        weights = moved
+        if done:
             break
     return weights
 
@@ -335,25 +483,30 @@ def _scorer(model: Model):
 def toxicity_scores(docs: DataFrame, model: Model, keep: list[str], text_column: str = "text") -> DataFrame:
     """Columns ``keep`` of every document, ``score`` (0 to 1) and ``predicted`` (1 from 0.5 on).
 
-    A null or empty text has no hits and gets the model's lowest score. Repeated
-    rows give repeated rows.
+    A null or empty text has no hits and gets the score of the bias alone.
+    Repeated rows give repeated rows, equal texts equal scores. An empty table
+    gives no rows. Other columns are not looked at, whatever their names.
     """
-    rows = docs.select(*keep, F.col(text_column).alias("__text"))
-    fields = [f for f in rows.schema.fields if f.name != "__text"]
+    own_text = free_name(keep, "text")
+    rows = docs.select(*keep, F.col(text_column).alias(own_text))
+    fields = rows.schema.fields[:-1]
     schema = T.StructType([*fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches):
         own = _scorer(shared.value)
-        for batch in row_slices(batches, "__text"):
-            got = own(texts(batch, "__text"))
+        for batch in row_slices(batches, own_text):
+            got = own(texts(batch, own_text))
             yield pa.RecordBatch.from_arrays([*[column(batch, f.name) for f in fields], pa.array(got, pa.float64()), pa.array((got >= 0.5).astype(np.int32))], names=schema.names)
 
     return rows.mapInArrow(score, schema)
 
 
 def drop_toxic(docs: DataFrame, model: Model, text_column: str = "text", threshold: float = 0.5) -> DataFrame:
-    """``docs`` without documents that score ``threshold`` or more; all columns as they are."""
+    """``docs`` without documents that score ``threshold`` or more; all columns as they are.
+
+    Null and empty texts stay, repeated rows go or stay together, an empty table stays empty.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def clean(batches):
