@@ -16,6 +16,7 @@ their thirteen words instead, where the smallest document is a plain minimum.
 from __future__ import annotations
 
 import hashlib
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, column, gram_hashes, row_slices, stored, text_bytes
+from .common import Words, column, gram_hashes, keyed_anew, row_slices, stored, text_bytes
 
 WINDOW = 13
 #: Words in the k-grams whose smallest hash is a window's anchor.
@@ -202,8 +203,13 @@ def anchors(words: Words, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray,
     return doc[starts], value[starts], at[starts] - words.first[doc[starts]], np.diff(np.append(starts, len(at)))
 
 
-def _digest64(raw: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little", signed=True)
+def _digest(raw: bytes) -> tuple[int, int]:
+    """A 128-bit name as two signed halves."""
+    return struct.unpack("<qq", hashlib.blake2b(raw, digest_size=16).digest())
+
+
+#: The halves of a text's and of a segment's 128-bit name.
+TEXT, SEGMENT = ["mark", "mark2"], ["segment", "segment2"]
 
 
 #: Marks of texts that a task remembers, so that copies beside each other send their anchors once.
@@ -211,21 +217,21 @@ SEEN_TEXTS = 200_000
 
 
 def _anchor_rows(base: DataFrame) -> DataFrame:
-    """``anchor, mark, place`` of the texts; ``place`` packs the first window and the number of windows."""
+    """``anchor, mark, mark2, place`` of the texts; ``place`` packs the first window and the number of windows."""
 
     def rows(batches):
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         for batch in row_slices(batches):
-            marks = column(batch, "mark").to_numpy()
+            marks = [column(batch, c).to_numpy() for c in TEXT]
             raw = text_bytes(batch)
-            new = [k for k, m in enumerate(marks.tolist()) if not (m in seen or seen.add(m))]
+            new = [k for k, m in enumerate(zip(*(m.tolist() for m in marks), strict=True)) if not (m in seen or seen.add(m))]
             if len(seen) > SEEN_TEXTS:
                 seen.clear()
             doc, anchor, at, count = anchors(Words([raw[k] for k in new])) if new else (np.empty(0, dtype=np.int64),) * 4
-            own = marks[np.array(new, dtype=np.int64)][doc]
-            yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(own), pa.array(at << 32 | count)], names=["anchor", "mark", "place"])
+            own = [m[np.array(new, dtype=np.int64)][doc] for m in marks]
+            yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), *map(pa.array, own), pa.array(at << 32 | count)], names=["anchor", *TEXT, "place"])
 
-    return base.select("mark", "text").mapInArrow(rows, "anchor long, mark long, place long")
+    return base.select(*TEXT, "text").mapInArrow(rows, "anchor long, mark long, mark2 long, place long")
 
 
 def _segments(found: DataFrame) -> DataFrame:
@@ -238,35 +244,35 @@ def _segments(found: DataFrame) -> DataFrame:
     def rows(batches):
         for batch in row_slices(batches):
             words = Words(text_bytes(batch))
-            out: tuple[list, ...] = ([], [], [], [], [], [], [])
-            for k, (key, mark, doc_id, places) in enumerate(zip(*(column(batch, c).to_pylist() for c in ("key", "mark", "doc_id", "places")), strict=True)):
+            out: tuple[list, ...] = ([], [], [], [], [], [], [], [], [])
+            for k, (*whose, places) in enumerate(zip(*(column(batch, c).to_pylist() for c in ("key", *TEXT, "doc_id", "places")), strict=True)):
                 own = words.hashes[words.first[k] : words.first[k + 1]]
                 for p in places:
                     at, count = p["place"] >> 32, p["place"] & 0xFFFFFFFF
                     if p["hot"]:
                         for i in range(at, at + count):
-                            name = _digest64(own[i : i + WINDOW].tobytes())
-                            for c, v in zip(out, (key, mark, doc_id, i, name, name, b""), strict=True):
+                            name = _digest(own[i : i + WINDOW].tobytes())
+                            for c, v in zip(out, (*whose, i, name[0], *name, b""), strict=True):
                                 c.append(v)
                         continue
                     raw = own[at : at + count + WINDOW - 1].tobytes()
-                    for c, v in zip(out, (key, mark, doc_id, at, p["anchor"], _digest64(raw), raw), strict=True):
+                    for c, v in zip(out, (*whose, at, p["anchor"], *_digest(raw), raw), strict=True):
                         c.append(v)
-            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in out[:6]], pa.array(out[6], pa.binary())], names=["key", "mark", "doc_id", "at", "anchor", "segment", "words"])
+            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in out[:8]], pa.array(out[8], pa.binary())], names=["key", *TEXT, "doc_id", "at", "anchor", *SEGMENT, "words"])
 
-    return found.select("key", "mark", "doc_id", "places", "text").mapInArrow(rows, "key long, mark long, doc_id long, at long, anchor long, segment long, words binary")
+    return found.select("key", *TEXT, "doc_id", "places", "text").mapInArrow(rows, "key long, mark long, mark2 long, doc_id long, at long, anchor long, segment long, segment2 long, words binary")
 
 
 def _search(distinct: DataFrame) -> DataFrame:
-    """Index and search the shards: ``segment, owners`` (64-bit, one per window).
+    """Index and search the shards: ``segment, segment2, owners`` (64-bit, one per window).
 
     A single window without words has met all its equals by name already.
     """
 
     def solve(held):
-        segments = [np.frombuffer(w, dtype=np.uint64) for _, _, w in held]
-        owners = window_owners(segments, np.array([o for _, o, _ in held], dtype=np.int64))
-        return pa.RecordBatch.from_arrays([pa.array([s for s, _, _ in held], pa.int64()), pa.array([x.tobytes() for x in owners], pa.binary())], names=["segment", "owners"])
+        *names, ids, words = zip(*held, strict=True)
+        owners = window_owners([np.frombuffer(w, dtype=np.uint64) for w in words], np.array(ids, dtype=np.int64))
+        return pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in names], pa.array([x.tobytes() for x in owners], pa.binary())], names=[*SEGMENT, "owners"])
 
     def rows(batches):
         held, size, last = [], 0, None
@@ -274,19 +280,19 @@ def _search(distinct: DataFrame) -> DataFrame:
             single = pc.equal(pc.binary_length(column(batch, "words")), 0)
             alone = batch.filter(single)
             if alone.num_rows:
-                yield pa.RecordBatch.from_arrays([column(alone, "segment"), pa.array([o.tobytes() for o in column(alone, "owner").to_numpy()], pa.binary())], names=["segment", "owners"])
+                yield pa.RecordBatch.from_arrays([*[column(alone, c) for c in SEGMENT], pa.array([o.tobytes() for o in column(alone, "owner").to_numpy()], pa.binary())], names=[*SEGMENT, "owners"])
             batch = batch.filter(pc.invert(single))
-            for anchor, segment, owner, words in zip(*(column(batch, c).to_pylist() for c in ("anchor", "segment", "owner", "words")), strict=True):
+            for anchor, *names, owner, words in zip(*(column(batch, c).to_pylist() for c in ("anchor", *SEGMENT, "owner", "words")), strict=True):
                 if size >= BLOCK_WORDS and anchor != last:  # equal windows share an anchor, so shards end between anchors
                     yield solve(held)
                     held, size = [], 0
-                held.append((segment, owner, words))
+                held.append((*names, owner, words))
                 size += len(words) // 8
                 last = anchor
         if held:
             yield solve(held)
 
-    return distinct.select("anchor", "segment", "owner", "words").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(rows, "segment long, owners binary")
+    return distinct.select("anchor", *SEGMENT, "owner", "words").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(rows, "segment long, segment2 long, owners binary")
 
 
 def _repeated(placed: DataFrame) -> DataFrame:
@@ -294,16 +300,15 @@ def _repeated(placed: DataFrame) -> DataFrame:
 
     def rows(batches):
         for batch in batches:
-            out: tuple[list, list, list] = ([], [], [])
-            for key, mark, doc_id, at, owners in zip(*(column(batch, c).to_pylist() for c in ("key", "mark", "doc_id", "at", "owners")), strict=True):
+            out: tuple[list, ...] = ([], [], [], [])
+            for *whose, doc_id, at, owners in zip(*(column(batch, c).to_pylist() for c in ("key", *TEXT, "doc_id", "at", "owners")), strict=True):
                 gone = np.flatnonzero(np.frombuffer(owners, dtype=np.int64) < doc_id)
                 if len(gone):
-                    out[0].append(key)
-                    out[1].append(mark)
-                    out[2].append((gone + at).astype(np.int32).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())], names=["key", "mark", "gone"])
+                    for c, v in zip(out, (*whose, (gone + at).astype(np.int32).tobytes()), strict=True):
+                        c.append(v)
+            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in out[:3]], pa.array(out[3], pa.binary())], names=["key", *TEXT, "gone"])
 
-    return placed.select("key", "mark", "doc_id", "at", "owners").mapInArrow(rows, "key long, mark long, gone binary")
+    return placed.select("key", *TEXT, "doc_id", "at", "owners").mapInArrow(rows, "key long, mark long, mark2 long, gone binary")
 
 
 def repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -314,21 +319,23 @@ def repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     text moves once: both uses of it read the same exchange.
     """
     base = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
-    base = base.select(F.xxhash64("doc_id").alias("key"), F.xxhash64("text").alias("mark"), "doc_id", "text")
-    known = base.where("doc_id IS NOT NULL").select("key", "mark", "doc_id")
-    first = known.groupBy("mark").agg(F.min("doc_id").alias("first_id"))
-    copies = known.join(first, "mark").where("doc_id > first_id").select("key", "mark", F.lit(True).alias("copy")).distinct()
+    base = base.select(F.xxhash64("doc_id").alias("key"), F.xxhash64("text").alias("mark"), F.xxhash64(F.lit(7), "text").alias("mark2"), "doc_id", "text")
+    known = base.where("doc_id IS NOT NULL").select("key", *TEXT, "doc_id")
+    first = known.groupBy(*TEXT).agg(F.min("doc_id").alias("first_id"))
+    # keyed anew, so that adaptive execution can split the partition of a text with very many copies
+    copies = known.join(keyed_anew(first, "mark"), TEXT).where("doc_id > first_id").select("key", *TEXT, F.lit(True).alias("copy")).distinct()
     # both uses of the anchors read one exchange; no task gathers the rows of an anchor
     every = _anchor_rows(base.where("doc_id IS NOT NULL")).repartition("anchor")
     words = F.sum(F.col("place").bitwiseAND(0xFFFFFFFF) + (WINDOW - 1))
-    shared = every.groupBy("anchor").agg(F.min("mark").alias("low"), F.max("mark").alias("high"), words.alias("words")).where("low <> high").select("anchor", (F.col("words") > ANCHOR_LIMIT).alias("hot"))
-    places = every.join(shared.hint("merge"), "anchor").groupBy("mark").agg(F.collect_set(F.struct("place", "anchor", "hot")).alias("places"))
-    places = stored(places.join(first, "mark").select(F.xxhash64("first_id").alias("key"), "mark", "places"), "places")
-    segments = _segments(places.join(base, ["key", "mark"]))
-    distinct = segments.groupBy("anchor", "segment").agg(F.min("doc_id").alias("owner"), F.first("words").alias("words"))
-    gone = _repeated(segments.select("key", "mark", "doc_id", "at", "segment").join(_search(distinct), "segment"))
-    gone = gone.groupBy("key", "mark").agg(F.collect_list("gone").alias("gone"))
-    return base.join(gone, ["key", "mark"], "left").join(copies, ["key", "mark"], "left").select("doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "gone")
+    ends = [f(c).alias(f"{f.__name__}_{c}") for c in TEXT for f in (F.min, F.max)]
+    shared = every.groupBy("anchor").agg(*ends, words.alias("words")).where("min_mark <> max_mark OR min_mark2 <> max_mark2").select("anchor", (F.col("words") > ANCHOR_LIMIT).alias("hot"))
+    places = every.join(shared.hint("merge"), "anchor").groupBy(*TEXT).agg(F.collect_set(F.struct("place", "anchor", "hot")).alias("places"))
+    places = stored(places.join(first, TEXT).select(F.xxhash64("first_id").alias("key"), *TEXT, "places"), "places")
+    segments = _segments(places.join(base, ["key", *TEXT]))
+    distinct = segments.groupBy("anchor", *SEGMENT).agg(F.min("doc_id").alias("owner"), F.first("words").alias("words"))
+    gone = _repeated(segments.select("key", *TEXT, "doc_id", "at", *SEGMENT).join(_search(distinct), SEGMENT))
+    gone = gone.groupBy("key", *TEXT).agg(F.collect_list("gone").alias("gone"))
+    return base.join(gone, ["key", *TEXT], "left").join(copies, ["key", *TEXT], "left").select("doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "gone")
 
 
 def kept_words(raw: bytes, copy: bool, gone: list[bytes] | None, window: int = WINDOW) -> tuple[int, list[bytes]]:
