@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from medialake.functions.text import is_blank, text
 from medialake.functions.urls import canonical_url, query_value
 from medialake.operators.pick import latest, rows_by
+from medialake.sources.scratch import fresh_path
 
 
 def with_parent(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:
@@ -84,11 +85,18 @@ def replace_titles(resources: DataFrame, titles: DataFrame) -> DataFrame:
 
 
 def match_books(titles: DataFrame, books: DataFrame, key: str, title: str) -> DataFrame:
-    """Titles with the first book, in canon order, that they hold as a word. ``books(position, folded, book)`` has 66 rows at most."""
-    assert books.count() <= 100
-    hit = F.concat(F.lit(" "), F.regexp_replace(F.col(title), "[^a-z0-9]+", " "), F.lit(" ")).contains(F.concat(F.lit(" "), F.col("folded"), F.lit(" ")))
-    found = titles.join(F.broadcast(books), hit, "left")
-    return found.groupBy(*titles.columns).agg(F.min_by("book", "position").alias("book"), F.min_by("folded", "position").alias("folded"))
+    """Titles with the first book, in canon order, that they hold as a word; every row stays a row.
+
+    ``books(position, folded, book)`` has 66 rows; more than 100 raise. They
+    travel as one array, in which each title looks for itself.
+    """
+    if books.count() > 100:
+        raise ValueError("more than 100 books")
+    listed = books.agg(F.array_sort(F.collect_list(F.struct("position", "folded", "book"))).alias("__books"))
+    words = F.concat(F.lit(" "), F.regexp_replace(F.col(title), "[^a-z0-9]+", " "), F.lit(" "))
+    held = F.filter("__books", lambda b: words.contains(F.concat(F.lit(" "), b["folded"], F.lit(" "))))
+    found = titles.crossJoin(F.broadcast(listed)).withColumn("__first", F.get(held, F.lit(0)))  # one row
+    return found.select(*[titles[c] for c in titles.columns], F.col("__first.book").alias("book"), F.col("__first.folded").alias("folded"))
 
 
 def calendar_gaps(expected: DataFrame, actual: DataFrame, exceptions: DataFrame, key: str = "day") -> DataFrame:
@@ -104,15 +112,28 @@ def resolve_links(links: DataFrame, pages: DataFrame, url: str = "url") -> DataF
     return out.withColumn("page_id", F.coalesce("__a", "__b")).drop("__id", "__link", "__a", "__b")
 
 
-def descendants(df: DataFrame, ident: str, parent: str, root: str, depth: int = 50) -> DataFrame:
-    """Ids at or below a root. Works outwards level by level; ids already found stop cycles."""
+def descendants(df: DataFrame, ident: str, parent: str, root: str, depth: int | None = None) -> DataFrame:
+    """Ids at or below a root with their least ``level``, down to ``depth`` or to the end.
+
+    Works outwards level by level, each stored in the shared folder; ids that
+    were found before are not followed again, so cycles end.
+    """
     spark = df.sparkSession
-    rows = df.select(F.col(ident).alias("id"), F.col(parent).alias("parent"))
-    return spark.sql(
-        "WITH RECURSIVE below(id, level) AS (SELECT id, 0 FROM {rows} WHERE id = :root UNION ALL SELECT r.id, level + 1 FROM {rows} r JOIN below b ON r.parent = b.id WHERE level < :depth AND r.id <> :root) SELECT id, min(level) AS level FROM below GROUP BY id",
-        args={"root": root, "depth": depth},
-        rows=rows,
-    )
+
+    def kept(level: DataFrame) -> DataFrame:
+        path = fresh_path(spark, "level")
+        level.write.parquet(path)
+        return spark.read.schema(level.schema).parquet(path)
+
+    rows = df.select(F.col(ident).alias("id"), F.col(parent).alias("__parent"))
+    found = last = kept(rows.where(F.col("id") == F.lit(root)).select("id").distinct().withColumn("level", F.lit(0)))
+    level = 0
+    while (depth is None or level < depth) and not last.isEmpty():
+        level += 1
+        below = rows.join(last.select(F.col("id").alias("__parent")), "__parent").select("id").distinct()
+        last = kept(below.join(found, "id", "left_anti").withColumn("level", F.lit(level)))
+        found = found.unionByName(last)
+    return found
 
 
 def reparent(children: DataFrame, mapping: DataFrame, key: str = "study_key") -> DataFrame:

@@ -208,9 +208,9 @@ def a19_metric_rows(spark, sf_dir):
     return aggs.metric_rows(issues, [("toxic", True), ("none", False)], table(spark, sf_dir, "documents"))
 
 
-@query("SELECT p_partkey AS study_id, (SELECT count(*) FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 48) AS resource_count FROM part")
+@query("SELECT p_partkey AS study_id, (SELECT count(*) FROM lineitem WHERE l_partkey = p_partkey) AS resource_count FROM part")
 def a20_resource_counts(spark, sf_dir):
-    return aggs.resource_counts(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("study_id")), table(spark, sf_dir, "lineitem").where("l_quantity > 48").select(F.col("l_partkey").alias("study_id")))
+    return aggs.resource_counts(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("study_id")), table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("study_id")))
 
 
 @query("SELECT o_custkey, min(nullif(CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE strftime(o_orderdate, '%Y-%m-%d') END, '')) AS date, min_by(o_orderpriority, struct_pack(a := CAST(o_orderpriority[1] AS INTEGER), b := o_orderpriority)) AS kind FROM orders GROUP BY 1")
@@ -372,9 +372,9 @@ def j08_missing_downstream(spark, sf_dir):
     return joins.missing_downstream(m, m.where("CAST(canonical_sermon_id AS INT) % 3 = 0"), "canonical_sermon_id", ["source_item_id"]).select("canonical_sermon_id", "source_item_id", "sources")
 
 
-@query("SELECT p_partkey AS video_id, coalesce((SELECT string_agg(DISTINCT s_name, ',' ORDER BY s_name) FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_partkey = p_partkey AND l_quantity > 40), '') AS playlists FROM part")
+@query("SELECT p_partkey AS video_id, coalesce((SELECT string_agg(DISTINCT s_name, ',' ORDER BY s_name) FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_partkey = p_partkey), '') AS playlists FROM part")
 def j10_memberships(spark, sf_dir):
-    items = table(spark, sf_dir, "lineitem").where("l_quantity > 40").join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("l_partkey").alias("video_id"), F.col("s_name").alias("playlist_title"))
+    items = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("l_partkey").alias("video_id"), F.col("s_name").alias("playlist_title"))
     return joins.attach_memberships(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("video_id")), items).select("video_id", F.array_join("playlists", ",").alias("playlists"))
 
 
@@ -443,17 +443,17 @@ def ue_require_values(spark, sf_dir):
     return joins.require_values(table(spark, sf_dir, "nation"), "n_regionkey", ["0", "1"]).groupBy("n_regionkey").agg(F.count("*").alias("n"))
 
 
-_SUNDAYS = """CAST(unnest(generate_series(DATE '1999-01-03', DATE '1999-12-26', INTERVAL 7 DAY)) AS DATE)"""
+_SUNDAYS = """CAST(unnest(generate_series(DATE '1999-01-03', DATE '2002-12-29', INTERVAL 7 DAY)) AS DATE)"""
 
 
 @query(
     _GOLD
-    + f"""SELECT CAST(day AS VARCHAR) AS day, day = DATE '1999-07-04' AS justified FROM (SELECT {_SUNDAYS} AS day) s WHERE NOT EXISTS (SELECT 1 FROM v_gold WHERE CAST(canonical_sermon_id AS INTEGER) % 7 = 0 AND preaching_date = CAST(day AS VARCHAR)) OR day = DATE '1999-07-04' AND NOT EXISTS (SELECT 1 FROM v_gold WHERE CAST(canonical_sermon_id AS INTEGER) % 7 = 0 AND preaching_date = '1999-07-04')"""
+    + f"""SELECT CAST(day AS VARCHAR) AS day, day = DATE '2002-07-07' AS justified FROM (SELECT {_SUNDAYS} AS day) s WHERE NOT EXISTS (SELECT 1 FROM v_gold WHERE preaching_date = CAST(day AS VARCHAR)) OR day = DATE '2002-07-07' AND NOT EXISTS (SELECT 1 FROM v_gold WHERE preaching_date = '2002-07-07')"""
 )
 def ts3_j14_missing_sundays(spark, sf_dir):
-    last = dt.date(1999, 12, 30)
-    own = gold(spark, sf_dir).where("CAST(canonical_sermon_id AS INT) % 7 = 0")
-    why = spark.createDataFrame([("1999-07-04", "feriado")], "preaching_date string, reason string")
+    last = dt.date(2002, 12, 31)
+    own = gold(spark, sf_dir)
+    why = spark.createDataFrame([("2002-07-07", "feriado")], "preaching_date string, reason string")
     spine = t.days_between(spark, dt.date(1999, 1, 3), last - dt.timedelta(days=2), 7)
     gaps = joins.calendar_gaps(spine, own.select(F.col("preaching_date").cast("date").alias("day")), why.select(F.col("preaching_date").cast("date").alias("day"), "reason"))
     return gaps.select(F.col("day").cast("string").alias("day"), F.col("reason").isNotNull().alias("justified"))

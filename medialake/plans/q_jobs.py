@@ -124,14 +124,13 @@ def e13_quality_dashboard(spark, sf_dir):
     return serving.quality_dashboard(view(spark, sf_dir, "v_runs"), view(spark, sf_dir, "v_metrics"), issues)["metrics"].select("metric_key", "value")
 
 
-@query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'document' ELSE 'audio' END AS asset_type, CASE WHEN p_partkey % 3 = 2 THEN 'platform' ELSE 'direct' END AS source_kind FROM part WHERE p_partkey % 3 <> 2 OR p_partkey // 3 % 2 = 0")
+@query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 2 OR p_partkey % 3 = 1 AND p_partkey // 3 % 2 = 1 THEN 'audio' ELSE 'document' END AS asset_type, CASE WHEN p_partkey % 3 = 2 THEN 'platform' ELSE 'direct' END AS source_kind FROM part WHERE p_partkey % 3 <> 2 OR p_partkey // 3 % 2 = 0")
 def e10_download_worklist(spark, sf_dir):
     group = F.floor(F.col("p_partkey") / 3)
     kind = F.when(F.col("p_partkey") % 3 == 0, "pdf").when((F.col("p_partkey") % 3 == 1) & (group % 2 == 1), "audio").when(F.col("p_partkey") % 3 == 1, "pdf").otherwise("youtube")
     p = table(spark, sf_dir, "part").select("p_partkey", group.alias("study_id"), kind.alias("resource_type"), x.stable_key(F.col("p_partkey").cast("string")).alias("resource_id"), F.when(kind == "youtube", F.concat(F.lit("https://youtube.com/watch?v=v"), "p_partkey")).otherwise(F.concat(F.lit("https://example.org/f"), "p_partkey", F.when(kind == "pdf", ".pdf").otherwise(".mp3"))).alias("canonical_url"), F.col("p_name").alias("label"), F.lit("").alias("mime_type"))
     work = studies.download_worklist(p, p.select("study_id").distinct().select("study_id", F.lit("t").alias("title"), F.lit("2020").alias("study_date")))
-    shown = F.when((F.col("p_partkey") % 3 == 1) & (F.col("resource_type") == "pdf"), "audio").otherwise(F.col("asset_type"))
-    return work.select("p_partkey", shown.alias("asset_type"), "source_kind")
+    return work.select("p_partkey", "asset_type", "source_kind")
 
 
 @query("SELECT 'duration' AS list, count(*) AS n FROM customer WHERE c_custkey % 4 = 0 UNION ALL SELECT 'transcript', count(*) FROM customer WHERE c_custkey NOT IN (SELECT conv_id FROM conversations)")
@@ -220,5 +219,5 @@ def k01_k17_snapshot(spark, sf_dir):
 def k15_s01_json_round_trip(spark, sf_dir):
     path = fresh_path(spark, "json")
     k.write_json(table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("video_id"), F.col("p_name").alias("title")), path)
-    return spark.read.schema(readers.VIDEO).json(path).select(F.col("video_id").cast("long").alias("p_partkey"), F.col("title").alias("p_name"))
+    return readers.read_videos(spark, path).select(F.col("video_id").cast("long").alias("p_partkey"), F.col("title").alias("p_name"))
 

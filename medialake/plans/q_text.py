@@ -40,10 +40,10 @@ def t04_is_talk(spark, sf_dir):
     return titles(spark, sf_dir).select("p_partkey", x.is_talk("title").alias("is_talk"))
 
 
-@query("SELECT doc_id, trim(regexp_extract('Tema' || chr(10) || 'Pregador - ' || replace(left(text, 40), chr(10), ' ') || chr(10) || 'fim', '(?i)Pregador\\s*-\\s*([^\\r\\n]+)', 1)) AS label FROM documents")
+@query("SELECT doc_id, trim(regexp_extract('Tema' || chr(10) || 'Pregador - ' || coalesce(text, '') || chr(10) || 'fim', '(?i)Pregador\\s*-\\s*([^\\r\\n]+)', 1)) AS label FROM documents")
 def t05_label(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    made = F.concat(F.lit("Tema\nPregador - "), F.replace(F.substring("text", 1, 40), F.lit("\n"), F.lit(" ")), F.lit("\nfim"))
+    made = F.concat(F.lit("Tema\nPregador - "), F.coalesce("text", F.lit("")), F.lit("\nfim"))
     return d.select("doc_id", x.extract_label(made).alias("label"))
 
 

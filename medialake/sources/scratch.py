@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,6 +10,10 @@ from pyspark.sql import SparkSession
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
-    """A new path below ``spark.checkpoint.dir``; without that setting, below a temporary folder of this machine."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    """A new path below ``spark.checkpoint.dir``; without that setting, in local mode only, below a temporary folder."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"

@@ -123,8 +123,26 @@ def raise_on_errors(bad: DataFrame, ident: str, ignore: bool, shown: int = 20) -
     return n
 
 
+#: Rows in one JSON document at most.
+DOCUMENT_ROWS = 10_000
+
+
 def write_json(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").json(path)
+    """Rows as JSON documents, each file one array; what lay at ``path`` is replaced once all files are written.
+
+    The files are written beside it first and take its place by a rename, so a
+    failed run leaves the old ones. No rows give a folder without files.
+    """
+    slices = [F.spark_partition_id(), F.floor(F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) / DOCUMENT_ROWS)]
+    documents = df.select(F.struct(*df.columns).alias("row"), *[s.alias(f"slice{k}") for k, s in enumerate(slices)]).groupBy("slice0", "slice1").agg(F.to_json(F.collect_list("row")).alias("value"))
+    beside = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
+    documents.select("value").write.option("maxRecordsPerFile", 1).text(beside)
+    jvm = df.sparkSession._jvm
+    old, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(beside)
+    fs = new.getFileSystem(df.sparkSession._jsc.hadoopConfiguration())
+    fs.delete(old, True)
+    if not fs.rename(new, old):
+        raise OSError(f"{beside} could not take the place of {path}")
 
 
 CSV_COLUMNS = ("preaching_date", "title", "preacher_name", "source_system", "metric_key", "entity_id", "detail", "link")
