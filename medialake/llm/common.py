@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -22,11 +23,14 @@ _MASK = (1 << 64) - 1
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the setting is missing (tests, a laptop) a temporary local folder is
-    made once and kept in the session's settings.
+    Where the setting is missing in local mode (tests, a laptop) a temporary
+    folder is made once and kept in the session's settings; a cluster without it
+    is an error, as other machines would not see such a folder.
     """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("medialake.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("medialake.checkpoint.dir", root)
         spark.sparkContext.setCheckpointDir(root)

@@ -31,6 +31,8 @@ WIDTH = 64
 ARCHIVE_BYTES = 64 << 20
 #: Bytes of an archive that one task reads.
 RANGE_BYTES = 8 << 20
+#: Ranges of one read about (one more an archive at most); beyond, they grow with the archives.
+MOST_RANGES = 50_000
 #: Payload bytes in one Arrow batch.
 BATCH_BYTES = 4 << 20
 
@@ -154,7 +156,8 @@ class ArchiveReader(DataSourceReader):
             sizes = [(r["archive"], r["bytes"]) for f in found for r in pq.read_table(f, filesystem=fs).to_pylist()]
         else:
             sizes = [(f.base_name, f.size) for f in fs.get_file_info(pafs.FileSelector(root)) if f.extension == "zip"]
-        return [ArchiveRange(name, at, min(size, at + self.range_bytes)) for name, size in sorted(sizes) for at in range(0, size, self.range_bytes)] or [ArchiveRange("", 0, 0)]
+        step = max(self.range_bytes, -(-sum(size for _, size in sizes) // MOST_RANGES))
+        return [ArchiveRange(name, at, min(size, at + step)) for name, size in sorted(sizes) for at in range(0, size, step)] or [ArchiveRange("", 0, 0)]
 
     def read(self, partition: ArchiveRange) -> Iterator[pa.RecordBatch]:
         rows, held = [], 0
@@ -193,7 +196,7 @@ class ArchiveReader(DataSourceReader):
                             media = _member(info, again.read(30 + 65_536 + info.compress_size), info.header_offset)
                     error = None
                     break
-                except (OSError, ValueError, struct.error) as e:
+                except (OSError, ValueError, struct.error, zlib.error) as e:
                     error = f"{type(e).__name__}: {e}"
             if error and self.on_error == "raise":
                 raise OSError(f"member {info.filename} of {path} at {info.header_offset}: {error}")

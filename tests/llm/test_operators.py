@@ -79,6 +79,24 @@ def test_media_damaged_member(spark, docs):
         media.read_archives(spark, uri, retries="0").collect()
 
 
+def test_media_deflated_and_long_members(spark, tmp_path):
+    """Deflated members, one longer than a range, are read by their offsets; a damaged stream is an error of its row alone."""
+    import zipfile
+
+    rng = random.Random(1)
+    items = {"a": b"plain " * 2000, "long": bytes(rng.randrange(256) for _ in range(60_000)), "z": b""}
+    with zipfile.ZipFile(tmp_path / "one.zip", "w", zipfile.ZIP_DEFLATED) as archive:
+        for name, data in items.items():
+            archive.writestr(name, data)
+    rows = media.read_archives(spark, f"file://{tmp_path}", rangeBytes="4096").collect()
+    assert len(rows) == 3 and all(r.error is None for r in rows)
+    raw = bytearray((tmp_path / "one.zip").read_bytes())
+    raw[31:36] = b"\xff\xff\xff\xff\xff"
+    (tmp_path / "one.zip").write_bytes(bytes(raw))
+    rows = media.read_archives(spark, f"file://{tmp_path}", rangeBytes="4096", retries="1", onError="row").collect()
+    assert len(rows) == 3 and sum(r.error is not None for r in rows) == 1
+
+
 def test_preferences(spark):
     turns = spark.createDataFrame(
         [(0, 0, "user", "a"), (0, 1, "assistant", "b"), (1, 0, "user", "a"), (1, 1, "assistant", "c"), (2, 0, "user", "x"), (3, 0, "user", "y"), (3, 1, "assistant", "z"), (None, 0, "user", "q"), (4, 0, None, None), (5, 0, "assistant", "")],
