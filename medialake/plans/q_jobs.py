@@ -168,7 +168,7 @@ _TAKEN = "event_type IN ('page_view', 'youtube_click') OR content_type <> ''"
 @query(cte("v_events") + f"SELECT event_id, event_type, sha256(visitor_id_hash) AS visitor_id_hash, content_type, page_path, listened_seconds, playback_rate, 'ref.example.org' AS referrer_domain FROM v_events WHERE {_TAKEN}")
 def x01_x02_ingest_events(spark, sf_dir):
     root = fresh_path(spark, "events")
-    events, visitors = k.Table(spark, f"{root}/events", stream.EVENTS), k.Table(spark, f"{root}/visitors", stream.VISITORS)
+    events, visitors = stream.event_tables(spark, root)
     stream.ingest_events(readers.event_batches(spark, _landed_batches(spark, sf_dir)), events, visitors, f"{root}/checkpoint")
     return events.read().select("event_id", "event_type", "visitor_id_hash", "content_type", "page_path", "listened_seconds", "playback_rate", "referrer_domain")
 
@@ -176,9 +176,21 @@ def x01_x02_ingest_events(spark, sf_dir):
 @query(cte("v_events") + f"SELECT DISTINCT sha256(visitor_id_hash) AS visitor_id_hash FROM v_events WHERE {_TAKEN}")
 def x03_visitors(spark, sf_dir):
     root = fresh_path(spark, "events")
-    events, visitors = k.Table(spark, f"{root}/events", stream.EVENTS), k.Table(spark, f"{root}/visitors", stream.VISITORS)
+    events, visitors = stream.event_tables(spark, root)
     stream.ingest_events(readers.event_batches(spark, _landed_batches(spark, sf_dir)), events, visitors, f"{root}/checkpoint")
-    return visitors.read().where("first_seen_at <= last_seen_at").select("visitor_id_hash")
+    return stream.known_visitors(visitors).where("first_seen_at <= last_seen_at").select("visitor_id_hash")
+
+
+@query(cte("v_events") + "SELECT event_id, occurred_at, event_type FROM v_events WHERE occurred_at >= TIMESTAMP '2024-01-21 06:00:00'")
+def x04_expire(spark, sf_dir):
+    """Two batches, one of them written twice; days before the horizon are dropped and the day it falls on is cut."""
+    now = dt.datetime(2024, 1, 31, 6)
+    store = k.DayTable(spark, fresh_path(spark, "days"), "event_id string, occurred_at timestamp, event_type string", "occurred_at")
+    rows = view(spark, sf_dir, "v_events").select("event_id", "occurred_at", "event_type")
+    for part in (0, 1, 1):
+        store.put(rows.where(F.col("event_id").cast("long") % 2 == part), f"b{part}")
+    store.expire(10, now)
+    return store.read(now - dt.timedelta(days=10))
 
 
 @query(cte("v_events", more=q_analytics._SERIES) + f"SELECT CAST({q_analytics._DAY} AS VARCHAR) AS day, count(*) FILTER (event_type = 'page_view') AS views, count(*) FILTER (event_type = 'audio_play') AS plays, count(*) FILTER (event_type = 'download') AS downloads FROM v_events GROUP BY 1")

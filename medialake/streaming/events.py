@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from medialake.functions.text import anon_hash
 from medialake.functions.times import ZONE
 from medialake.operators.filters import admit, validate_events
-from medialake.sources.tables import Table, insert_absent, retain, touch
+from medialake.sources.tables import DayTable, retain, touch
 
 BATCH_EVENTS = 50
 EVENTS = (
@@ -49,27 +50,50 @@ def live_daily(events: DataFrame, tz: str = ZONE, horizon: str = "2 days") -> Da
     )
 
 
-def store_batch(events: Table, visitors: Table, days: int, now: dt.datetime | None = None):
-    """A ``foreachBatch`` sink: new events, first and last sight of visitors, and what is too old removed.
+def known_visitors(visitors: DayTable, since: dt.datetime | None = None) -> DataFrame:
+    """First and last sight of each visitor; every stored sighting carries the first one before it."""
+    return visitors.read(since).groupBy("visitor_id_hash").agg(F.min("first_seen_at").alias("first_seen_at"), F.max("last_seen_at").alias("last_seen_at"))
 
-    Repeating a batch changes nothing: ids that are there are not added again.
+
+def store_batch(events: DayTable, visitors: DayTable, days: int, writer: str, now: dt.datetime | None = None):
+    """A ``foreachBatch`` sink: new events, sightings of visitors, and days that are too old removed.
+
+    A batch only adds partitions. Of what is stored it reads ids within the
+    horizon, narrowed to its own ones before anything is shuffled by size.
+    Repeating a batch replaces its partitions, so nothing is there twice; events
+    that another batch or writer stored are not added again.
     """
 
-    def write(batch: DataFrame, _epoch: int) -> None:
+    def write(batch: DataFrame, epoch: int) -> None:
         at = now or dt.datetime.now(dt.UTC).replace(tzinfo=None)
+        since, name = at - dt.timedelta(days=days), f"{writer}-{epoch}"
         batch = batch.persist()
         try:
-            events.replace(retain(insert_absent(events.read(), batch, "event_id"), "occurred_at", days, at))
+            again = events.read(since, but=name).select("event_id").join(batch.select("event_id"), "event_id", "left_semi")
+            events.put(retain(batch.dropDuplicates(["event_id"]).join(again, "event_id", "left_anti"), "occurred_at", days, at), name)
             seen = batch.select("visitor_id_hash", F.col("occurred_at").alias("at"))
-            visitors.replace(retain(touch(visitors.read(), seen, "visitor_id_hash"), "last_seen_at", days, at))
+            known = visitors.read(since, but=name).join(seen, "visitor_id_hash", "left_semi")
+            visitors.put(retain(touch(known, seen, "visitor_id_hash"), "last_seen_at", days, at), name)
         finally:
             batch.unpersist()
+        events.expire(days, at)
+        visitors.expire(days, at)
 
     return write
 
 
-def ingest_events(batches: DataFrame, events: Table, visitors: Table, checkpoint: str, days: int = 180, now: dt.datetime | None = None):
-    """Run what has landed through parsing, deduplication and storage; returns the finished query."""
-    query = dedupe_events(parse_events(batches), f"{days} days").writeStream.foreachBatch(store_batch(events, visitors, days, now)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def event_tables(spark: SparkSession, root: str) -> tuple[DayTable, DayTable]:
+    """The stored events and visitors below a folder."""
+    return DayTable(spark, f"{root}/events", EVENTS, "occurred_at"), DayTable(spark, f"{root}/visitors", VISITORS, "last_seen_at")
+
+
+def ingest_events(batches: DataFrame, events: DayTable, visitors: DayTable, checkpoint: str, days: int = 180, now: dt.datetime | None = None):
+    """Run what has landed through parsing, deduplication and storage; returns the finished query.
+
+    The checkpoint's folder names the writer, so that two streams into the same
+    tables keep their batches apart.
+    """
+    writer = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
+    query = dedupe_events(parse_events(batches), f"{days} days").writeStream.foreachBatch(store_batch(events, visitors, days, writer, now)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return query

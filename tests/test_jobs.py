@@ -187,7 +187,7 @@ def test_event_stream(spark, tmp_path):
     ]
     (folder / "a.json").write_text("\n".join(map(json.dumps, lines)))
     root = fresh_path(spark, "events")
-    events, visitors = k.Table(spark, f"{root}/e", stream.EVENTS), k.Table(spark, f"{root}/v", stream.VISITORS)
+    events, visitors = stream.event_tables(spark, root)
     stream.ingest_events(readers.event_batches(spark, str(folder)), events, visitors, f"{root}/c")
     got = {r.event_id: r for r in events.read().collect()}
     assert len(got) == 52 and {"e1", "e2"} <= set(got) and "e9" not in got
@@ -196,6 +196,35 @@ def test_event_stream(spark, tmp_path):
     (folder / "b.json").write_text(json.dumps(lines[1]))
     stream.ingest_events(readers.event_batches(spark, str(folder)), events, visitors, f"{root}/c")
     assert events.read().count() == 52
+    # another stream over the same batches: known ids are not stored again, first sights stay
+    before = {r.visitor_id_hash: r.first_seen_at for r in stream.known_visitors(visitors).collect()}
+    stream.ingest_events(readers.event_batches(spark, str(folder)), events, visitors, f"{root}/other")
+    assert events.read().count() == 52
+    assert {r.visitor_id_hash: r.first_seen_at for r in stream.known_visitors(visitors).collect()} == before
+
+
+def test_repeated_and_old_batches(spark):
+    events, visitors = stream.event_tables(spark, fresh_path(spark, "events"))
+    now = dt.datetime(2024, 3, 10, 12)
+
+    def at(ident, days, visitor="v"):
+        return (ident, now - dt.timedelta(days=days), visitor)
+
+    def batch(*rows):
+        short = spark.createDataFrame(list(rows), "event_id string, occurred_at timestamp, visitor_id_hash string")
+        return short.select(*[c if c in short.columns else F.lit(None).cast(t).alias(c) for c, t in (f.split() for f in stream.EVENTS.split(", "))])
+
+    then = stream.store_batch(events, visitors, 5, "w", now - dt.timedelta(days=4))
+    write = stream.store_batch(events, visitors, 5, "w", now)
+    then(batch(at("a", 8), at("b", 5.4), at("b", 5.4), at("c", 4, "u")), 0)
+    for _ in range(2):  # the second run of a batch replaces the first
+        write(batch(at("c", 1), at("d", 1), at("e", 9)), 1)
+    assert sorted(r.event_id for r in events.read(now - dt.timedelta(days=5)).collect()) == ["c", "d"]
+    assert sorted(r.event_id for r in events.read().collect()) == ["b", "c", "d"]  # b is on the horizon's day
+    seen = {r.visitor_id_hash: (r.first_seen_at, r.last_seen_at) for r in stream.known_visitors(visitors).collect()}
+    assert seen["v"][1] == now - dt.timedelta(days=1) and seen["u"] == (now - dt.timedelta(days=4),) * 2
+    write(batch(), 2)
+    assert events.read().count() == 3
 
 
 def test_picks_do_not_depend_on_order(spark):
