@@ -9,7 +9,7 @@ import operator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from medialake.functions.text import book_name, is_placeholder_content, text
+from medialake.functions.text import book_name, is_blank, is_placeholder_content, text
 from medialake.functions.times import clamp, local_date, to_instant
 from medialake.functions.urls import ref_host
 
@@ -122,6 +122,13 @@ def is_mp3(mime: Column | str, path: Column | str) -> Column:
     return (F.lower(text(mime)) == "audio/mpeg") | F.lower(text(path)).endswith(".mp3")
 
 
+def resource_group(kind: Column | str, mime: Column | str, link: Column | str) -> Column:
+    """Where a resource is shown: audio (also anything fetched as MP3), documents, else its own kind."""
+    kind = F.col(kind) if isinstance(kind, str) else kind
+    fetched = is_mp3(mime, text(link)) & ~is_blank(link)
+    return F.when((kind == "audio") | fetched, "audio").when(kind.isin("pdf", "word", "presentation", "spreadsheet", "document"), "documents").otherwise(kind)
+
+
 def target(df: DataFrame, date: str | None = None, column: str = "preaching_date") -> DataFrame:
     """The talk of a date, or the newest; raises where there is none."""
     out = df.where(F.col(column) == date) if date else df.orderBy(F.desc_nulls_last(column)).limit(1)

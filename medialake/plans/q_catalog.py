@@ -10,9 +10,11 @@ from medialake.bindings import cte, table, view
 from medialake.functions import times as t
 from medialake.functions.text import book_name
 from medialake.operators import aggs, filters, joins, pick
-from medialake.plans import quality
+from medialake.plans import quality, serving
 from medialake.plans.registry import query
+from medialake.sources import readers
 from medialake.sources import tables as k
+from medialake.sources.scratch import fresh_path
 
 _GOLD = cte("v_gold")
 
@@ -123,6 +125,15 @@ def w12_day_report(spark, sf_dir):
     return pick.day_report(view(spark, sf_dir, "v_candidates").withColumn("is_talk", F.col("has_playlists")), "1998-03-10")
 
 
+@query(
+    cte("v_candidates", more="own AS (SELECT *, CASE WHEN duration IN ('', 'P0D') THEN 0.0 ELSE CAST(regexp_extract(duration, '([0-9]+)H', 1) AS DOUBLE) * 3600 + CAST(regexp_extract(duration, '([0-9]+)M', 1) AS DOUBLE) * 60 END AS s FROM v_candidates WHERE CAST(timezone('America/Sao_Paulo', timezone('UTC', published_at)) AS DATE) = DATE '1998-03-10')")
+    + """SELECT count(*) AS n_videos, max_by(video_id, struct_pack(a := published_at, b := video_id)) AS latest_id, max_by(video_id, struct_pack(a := s, b := published_at, c := video_id)) FILTER (has_playlists) AS talk_id,
+  coalesce(max(s) FILTER (has_playlists), 0.0) AS talk_seconds, count(*) > 0 AS latest_found, count(*) FILTER (has_playlists) > 0 AS talk_found, '1998-03-10' AS date FROM own"""
+)
+def e19_day_cut_report(spark, sf_dir):
+    return serving.day_cut_report(view(spark, sf_dir, "v_candidates").withColumn("is_talk", F.col("has_playlists")), "1998-03-10")
+
+
 @query(
     cte("v_metadata")
     + """SELECT source_item_id, CASE WHEN n > 1 THEN source_system || ' ' || substr(processed_at, 1, 4) ELSE source_system END AS label
@@ -479,6 +490,55 @@ def k03_k05_upsert_policies(spark, sf_dir):
     return k.upsert(*_upsert_frames(spark, sf_dir), ["k"], {"name": k.Policy.KEEP, "serie": k.Policy.COALESCE_TRIMMED, "bal": k.Policy.COALESCE})
 
 
+@query(f"WITH {_UP} SELECT coalesce(s.k, t.k) AS k, CASE WHEN s.k IS NULL THEN t.name ELSE s.name END AS name, CASE WHEN s.k IS NULL THEN t.serie WHEN t.k IS NULL THEN trim(s.serie) ELSE coalesce(nullif(trim(s.serie), ''), t.serie) END AS serie, CASE WHEN t.k IS NULL THEN s.bal ELSE coalesce(s.bal, t.bal) END AS bal FROM t FULL JOIN s ON t.k = s.k")
+def k04_upsert_nonempty(spark, sf_dir):
+    t_, s_ = _upsert_frames(spark, sf_dir)
+    return k.upsert(t_, s_.withColumn("serie", F.trim("serie")), ["k"], {"serie": k.Policy.COALESCE_NONEMPTY, "bal": k.Policy.COALESCE})
+
+
+@query("SELECT p_partkey, CASE WHEN kind = 'audio' OR mp3 THEN 'audio' WHEN kind IN ('pdf', 'word') THEN 'documents' ELSE kind END AS grp FROM (SELECT p_partkey, ['audio', 'pdf', 'word', 'youtube', 'link'][p_partkey % 5 + 1] AS kind, p_partkey % 3 = 0 AS mp3 FROM part)")
+def t51_resource_group(spark, sf_dir):
+    kind = F.element_at(F.array(*map(F.lit, ("audio", "pdf", "word", "youtube", "link"))), (F.col("p_partkey") % 5 + 1).cast("int"))
+    p = table(spark, sf_dir, "part").select("p_partkey", kind.alias("kind"), F.lit("").alias("mime"), F.when(F.col("p_partkey") % 3 == 0, "/media/a.mp3").when(F.col("p_partkey") % 3 == 1, "/media/a.pdf").alias("link"))
+    return p.select("p_partkey", filters.resource_group("kind", "mime", "link").alias("grp"))
+
+
+@query("SELECT conv_id, CAST(turn AS VARCHAR) AS video_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS position FROM (SELECT DISTINCT conv_id, turn FROM conversations) WHERE turn % 3 <> 0")
+def s10_memberships(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn").distinct()
+    item = F.struct("turn", F.when(F.col("turn") % 3 == 0, " ").otherwise(F.col("turn").cast("string")).alias("video_id"))
+    pages = c.groupBy(F.col("conv_id").alias("playlist_id"), F.floor(F.col("turn") / 2).alias("page")).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    return readers.memberships(pages).select(F.col("playlist_id").alias("conv_id"), "video_id", "position")
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS ref_id, p_brand AS kind, p_name AS title FROM part WHERE p_partkey % 4 <> 0")
+def s11_flatten_titles(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    item = F.struct(F.col("p_brand").alias("kind"), F.col("p_partkey").cast("string").alias("ref_id"), F.when(F.col("p_partkey") % 4 == 0, " ").otherwise(F.concat(F.lit(" "), "p_name")).alias("title"))
+    return readers.flatten_pages(p.groupBy(F.floor(F.col("p_partkey") / 50)).agg(F.collect_list(item).alias("items")), "titles")
+
+
+@query("SELECT lower(p_name) || ' ' || p_partkey AS alias, p_type AS name FROM part")
+def s06_alias_dimension(spark, sf_dir):
+    path = fresh_path(spark, "alias")
+    p = table(spark, sf_dir, "part")
+    p.select(F.concat(F.lit("  "), F.upper("p_name"), F.lit(" "), "p_partkey", F.lit(': "'), "p_type", F.lit('"')).alias("value")).write.text(path)
+    return readers.load_alias_dim(spark, path)
+
+
+@query("SELECT p_partkey, p_name AS title, '<p>' || p_brand || '</p>' AS content, CASE WHEN p_partkey % 2 = 0 THEN 'page' ELSE 'attachment' END AS post_type, '' AS mime_type FROM part")
+def s04_site_export(spark, sf_dir):
+    path = fresh_path(spark, "export")
+    kind = F.when(F.col("p_partkey") % 2 == 0, "page").otherwise("attachment")
+    cell = lambda tag, value: F.concat(F.lit(f"<{tag}>"), value, F.lit(f"</{tag}>"))
+    content = F.concat(F.lit("<![CDATA[<p>"), "p_brand", F.lit("</p>]]>"))
+    items = F.concat(F.lit("<item>"), cell("title", F.col("p_name")), cell("content:encoded", content), cell("wp:post_id", F.col("p_partkey").cast("string")), cell("wp:post_type", kind), F.lit("</item>"))
+    head, tail = '<rss xmlns:wp="w" xmlns:content="c"><channel>', "</channel></rss>"
+    documents = table(spark, sf_dir, "part").groupBy(F.floor(F.col("p_partkey") / 1000)).agg(F.concat(F.lit(head), F.array_join(F.collect_list(items), ""), F.lit(tail)).alias("value"))
+    documents.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    return readers.read_wxr_pages(spark, path).select(F.col("post_id").cast("long").alias("p_partkey"), "title", "content", "post_type", "mime_type")
+
+
 @query("SELECT c_custkey AS k, CASE WHEN c_custkey % 2 = 0 THEN 'new' ELSE c_name END AS name FROM customer")
 def k09_replace_partial(spark, sf_dir):
     old = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from medialake.bindings import cte, table, view
@@ -31,6 +32,15 @@ def e03_extract_links(spark, sf_dir):
     return links.where("NOT is_raw AND element_tag = 'a'").select("page_id", "url", "position", "label")
 
 
+@query("SELECT page_id, x.url, CAST(x.n AS INTEGER) AS place FROM pages, (VALUES ('https://files.example.net/a.pdf', 1), ('https://files.example.net/b.mp3', 2)) x(url, n) WHERE pages.url LIKE 'https://%' UNION ALL SELECT page_id, x.url, CAST(x.n AS INTEGER) FROM pages, (VALUES ('http://files.example.net/a.pdf', 1), ('https://files.example.net/b.mp3', 2)) x(url, n) WHERE pages.url LIKE 'http://%'")
+def e03_raw_links(spark, sf_dir):
+    """Bare addresses behind each page: without scheme, in brackets, repeated, unsupported, and one that a tag links already."""
+    more = " (//files.example.net/a.pdf) [https://files.example.net/b.mp3], https://files.example.net/b.mp3. https://files.example.net/none <a href='https://files.example.net/c.pdf'>c</a> https://files.example.net/c.pdf"
+    pages = table(spark, sf_dir, "pages").withColumn("html", F.concat("html", F.lit(more)))
+    raw = studies.extract_links(pages).where(F.col("is_raw") & F.col("url").contains("//files.example.net/"))
+    return raw.select("page_id", "url", F.row_number().over(Window.partitionBy("page_id").orderBy("position")).alias("place"))
+
+
 _REAL = "trim(coalesce({c}, '')) <> '' AND lower(trim({c})) <> 'nome sobrenome'"
 
 
@@ -92,10 +102,11 @@ def e16_search(spark, sf_dir):
     return serving.search_talks(view(spark, sf_dir, "v_gold"), "Build").select("canonical_sermon_id", "shown_date", "book")
 
 
-@query("SELECT o_orderstatus AS study_type, count(DISTINCT year(o_orderdate)) AS years, count(*) AS studies FROM orders GROUP BY 1")
+@query("SELECT o_orderstatus AS study_type, strftime(o_orderdate, '%Y') AS year, o_orderpriority AS title, CAST(o_orderkey AS VARCHAR) AS study_id, CAST(dense_rank() OVER (PARTITION BY o_orderstatus ORDER BY year(o_orderdate) DESC) - 1 AS INTEGER) AS year_place, CAST(row_number() OVER (PARTITION BY o_orderstatus, year(o_orderdate) ORDER BY o_orderpriority, CAST(o_orderkey AS VARCHAR)) - 1 AS INTEGER) AS place FROM orders")
 def e17_study_catalog(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("study_id"), F.col("o_orderstatus").alias("study_type"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("study_date"), F.col("o_orderpriority").alias("title"), F.lit(0).alias("resource_count"))
-    return serving.study_catalog(o).select("study_type", F.size("years").cast("long").alias("years"), F.aggregate("years", F.lit(0).cast("long"), lambda a, y: a + F.size(y["studies"])).alias("studies"))
+    years = serving.study_catalog(o).select("study_type", F.posexplode("years").alias("year_place", "y"))
+    return years.select("study_type", "year_place", "y.year", F.posexplode("y.studies").alias("place", "s")).select("study_type", "year", "s.title", "s.study_id", "year_place", "place")
 
 
 @query("SELECT CAST(conv_id AS VARCHAR) AS canonical_sermon_id, CAST(max(turn) + 1 AS INTEGER) AS transcript_version, max_by(text, turn) AS transcript_text FROM conversations WHERE conv_id = 1 GROUP BY 1")
@@ -133,13 +144,13 @@ def e10_download_worklist(spark, sf_dir):
     return work.select("p_partkey", "asset_type", "source_kind")
 
 
-@query("SELECT 'duration' AS list, count(*) AS n FROM customer WHERE c_custkey % 4 = 0 UNION ALL SELECT 'transcript', count(*) FROM customer WHERE c_custkey NOT IN (SELECT conv_id FROM conversations)")
+@query("SELECT 'duration' AS list, CAST(c_custkey AS VARCHAR) AS canonical_sermon_id FROM customer WHERE c_custkey % 4 = 0 UNION ALL SELECT 'transcript', CAST(c_custkey AS VARCHAR) FROM customer WHERE c_custkey NOT IN (SELECT conv_id FROM conversations)")
 def e11_pending(spark, sf_dir):
     key = F.col("c_custkey").cast("string").alias("canonical_sermon_id")
     assets = table(spark, sf_dir, "customer").select(key, F.lit("audio").alias("asset_type"), F.lit("/a.mp3").alias("local_path"), F.when(F.col("c_custkey") % 4 != 0, 1.0).alias("duration_seconds"))
     lists = studies.pending_worklists(assets, assets.select("canonical_sermon_id", F.lit("2020-01-01").alias("preaching_date")), view(spark, sf_dir, "v_versions"))
-    count = lambda n: lists[n].agg(F.lit(n).alias("list"), F.count("*").alias("n"))
-    return count("duration").unionByName(count("transcript"))
+    named = lambda n: lists[n].select(F.lit(n).alias("list"), "canonical_sermon_id")
+    return named("duration").unionByName(named("transcript"))
 
 
 @query("SELECT o_orderkey AS resource_id, CASE WHEN o_orderkey % 2 = 0 THEN '/media/' || o_orderkey || '.mp3' END AS download_link, CASE WHEN o_orderkey % 4 = 0 THEN 1 ELSE 0 END AS transcript_available FROM orders")
@@ -227,6 +238,18 @@ def k01_k17_snapshot(spark, sf_dir):
     return spark.read.parquet(f"{root}/issues").join(good, "run_id").groupBy("metric_key").agg(F.count("*").alias("n"))
 
 
+@query("SELECT 'youtube:' || o_orderkey AS study_key, CAST(o_orderkey AS VARCHAR) AS source_item_id, 'weekly' AS study_type, o_orderpriority AS title, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS study_date FROM orders")
+def s02_e05_study_payload(spark, sf_dir):
+    """One payload a customer, written as JSON documents, scanned and loaded."""
+    path = fresh_path(spark, "payload")
+    none = F.lit("")
+    video = F.struct(F.concat(F.lit("v"), "o_orderkey").alias("video_id"), F.col("o_orderpriority").alias("title"), none.alias("description"), none.alias("description_date"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("effective_date"), none.alias("published_at"), F.lit("https://youtube.com/watch?v=x").alias("url"), F.lit(1).alias("position"))
+    playlist = F.struct(F.col("o_orderkey").cast("string").alias("playlist_id"), F.col("o_orderpriority").alias("title"), F.lit("2030-01-01").alias("published_at"), none.alias("oldest_video_date"), none.alias("oldest_video_published_at"), F.lit("https://youtube.com/playlist?list=x").alias("url"), F.lit("weekly").alias("study_type"), F.array(video).alias("videos"))
+    payloads = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.collect_list(playlist).alias("playlists"))
+    k.write_json(payloads.select(F.lit(2).alias("schema_version"), F.lit("2024-01-01").alias("captured_at"), F.lit(True).alias("complete_snapshot"), "playlists"), path)
+    return studies.load_study_payload(readers.read_study_payload(spark, path))[0].select("study_key", "source_item_id", "study_type", "title", "study_date")
+
+
 @query("SELECT p_partkey, p_name FROM part")
 def k15_s01_json_round_trip(spark, sf_dir):
     path = fresh_path(spark, "json")

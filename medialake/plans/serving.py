@@ -84,8 +84,7 @@ def study_catalog(studies: DataFrame) -> DataFrame:
 
 def study_detail(studies: DataFrame, resources: DataFrame, study_id: str) -> DataFrame:
     """One study with its resources by group: audio, documents, then the rest."""
-    mp3 = filters.is_mp3("mime_type", x.text("download_link")) & ~x.is_blank("download_link")
-    group = F.when((F.col("resource_type") == "audio") | mp3, "audio").when(F.col("resource_type").isin("pdf", "word", "presentation", "spreadsheet", "document"), "documents").otherwise(F.col("resource_type"))
+    group = filters.resource_group("resource_type", "mime_type", "download_link")
     order = F.when(group == "audio", 0).when(group == "documents", 1).otherwise(2)
     own = resources.where(F.col("study_id") == study_id).withColumns({"grp": group, "ord": order, "label": F.regexp_replace(x.text("label"), r" \[[0-9a-f]{12}\]", "")})
     groups = own.groupBy("study_id", "ord", "grp").agg(F.array_sort(F.collect_list(F.struct("position", "label", "canonical_url", x.fmt_duration("duration_seconds").alias("duration")))).alias("items"))

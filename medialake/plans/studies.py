@@ -15,6 +15,9 @@ from medialake.sources.tables import reset_then_set
 
 _TAGS = r"(?is)<a\b[^>]*>.*?</a>|<(?:a|audio|embed|iframe|img|object|source|video)\b[^>]*>"
 
+#: A bare address in visible text, with or without its scheme, up to a space, quote or closing bracket.
+_ADDRESS = r"(?i)(?:\bhttps?:)?//[^\s<>\"')\]]+"
+
 
 def _attribute(tag, name: str):
     return F.coalesce(*[F.nullif(F.regexp_extract(tag, rf"(?is)^<[^>]*?\s{name}\s*=\s*{q}", 1), F.lit("")) for q in (r'"([^"]*)"', r"'([^']*)'", r"([^\s>\"']+)")], F.lit(""))
@@ -25,7 +28,7 @@ def extract_links(pages: DataFrame, ident: str = "page_id", html: str = "html",
 
     Tags first, in document order with the target their kind of tag has; then
     addresses in the visible text that lead to a supported resource and are not
-    linked yet. Works by expressions on each page alone; nothing is shuffled
+    linked yet, each once. Works by expressions on each page alone; nothing is shuffled
     but the numbering of raw addresses.
     """
     fallback = F.col(title) if title else F.lit("")
@@ -36,9 +39,11 @@ def extract_links(pages: DataFrame, ident: str = "page_id", html: str = "html",
     label = x.element_label(F.when(name == "a", visible).otherwise(""), _attribute(F.col("__tag"), "title"), _attribute(F.col("__tag"), "alt"), "__title")
     linked = tags.select(ident, u.resolve_url(target, "__base").alias("url"), label.alias("label"), name.alias("element_tag"), F.lit(False).alias("is_raw"), F.col("__at").alias("__order")).where("url <> ''")
     plain = x.unescape(F.regexp_replace(F.regexp_replace(x.text(html), r"(?is)<(script|style)\b.*?</\1>", " "), r"(?s)<[^>]*>", " "))
-    raw = pages.select(ident, fallback.alias("label"), F.posexplode(F.regexp_extract_all(plain, F.lit(r"https?://[^\s<>\"']+"), F.lit(0))).alias("__order", "url"))
-    raw = raw.select(ident, F.regexp_replace("url", r"[.,;]+$", "").alias("url"), "label", F.lit("").alias("element_tag"), F.lit(True).alias("is_raw"), "__order").where(u.is_supported_url("url"))
-    raw = raw.join(linked.select(ident, u.canonical_url("url").alias("__c")).distinct(), (raw[ident] == linked[ident]) & (u.canonical_url(raw["url"]) == F.col("__c")), "left_anti")
+    found = pages.select(ident, fallback.alias("label"), F.col(link).alias("__base"), F.posexplode(F.regexp_extract_all(plain, F.lit(_ADDRESS), F.lit(0))).alias("__order", "__raw"))
+    raw = found.select(ident, u.resolve_url("__raw", "__base").alias("url"), "label", "__order").withColumn("__c", u.canonical_url("url")).where((F.col("url") != "") & u.is_supported_url("url"))
+    raw = raw.join(linked.select(ident, u.canonical_url("url").alias("__c")).distinct(), [ident, "__c"], "left_anti")
+    raw = raw.groupBy(ident, "__c").agg(F.min_by(F.struct("url", "label"), "__order").alias("__r"), F.min("__order").alias("__order"))
+    raw = raw.select(ident, "__r.url", "__r.label", F.lit("").alias("element_tag"), F.lit(True).alias("is_raw"), "__order")
     both = linked.unionByName(raw)
     return both.withColumn("position", F.row_number().over(Window.partitionBy(ident).orderBy("is_raw", "__order"))).drop("__order")
 

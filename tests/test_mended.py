@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from medialake.functions import text as x
 from medialake.operators import aggs, joins
+from medialake.plans import studies
 from medialake.sources import readers, tables
 
 
@@ -56,3 +57,12 @@ def test_groups_without_rows(spark):
     why = spark.createDataFrame([(dt.date(2024, 1, 21), "feriado")], "day date, reason string")
     gaps = joins.calendar_gaps(days, days.limit(1), why).orderBy("day").collect()
     assert [(r.day.day, r.reason) for r in gaps] == [(14, None), (21, "feriado")]
+
+
+def test_bare_addresses(spark):
+    html = "see (//a.example.net/x.pdf), [HTTPS://a.example.net/y.mp3] https://a.example.net/y.mp3. https://a.example.net/none <a href='/z.pdf'>z</a> https://b.example.net/z.pdf xhttps://a.example.net/w.pdf <b>null</b>"
+    pages = spark.createDataFrame([(1, "https://b.example.net/p", html), (2, "http://b.example.net/", None), (3, "http://b.example.net/", "//a.example.net/x.pdf")], "page_id long, url string, html string")
+    links = sorted((r.page_id, r.position, r.is_raw, r.url) for r in studies.extract_links(pages).collect())
+    assert links[0] == (1, 1, False, "https://b.example.net/z.pdf")
+    assert [u.lower() for _, _, raw, u in links if raw] == ["https://a.example.net/x.pdf", "https://a.example.net/y.mp3", "https://a.example.net/w.pdf", "http://a.example.net/x.pdf"]
+    assert [p for _, p, _, _ in links] == [1, 2, 3, 4, 1]
