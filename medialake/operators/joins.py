@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from medialake.functions.similar import first_alike
 from medialake.functions.text import is_blank, text
 from medialake.functions.urls import canonical_url, query_value
 from medialake.operators.pick import latest, rows_by
@@ -84,11 +85,13 @@ def replace_titles(resources: DataFrame, titles: DataFrame) -> DataFrame:
     return out.withColumn("replaced", F.coalesce(changed, F.lit(False))).withColumn("label", F.when(F.col("replaced"), F.col("__title")).otherwise(F.col("label"))).drop("__title")
 
 
-def match_books(titles: DataFrame, books: DataFrame, key: str, title: str) -> DataFrame:
+def match_books(titles: DataFrame, books: DataFrame, key: str, title: str, alike: bool = False) -> DataFrame:
     """Titles with the first book, in canon order, that they hold as a word; every row stays a row.
 
     ``books(position, folded, book)`` has 66 rows; more than 100 raise. They
-    travel as one array, in which each title looks for itself.
+    travel as one array, in which each title looks for itself. With ``alike`` a
+    book that stands in the title as part of a word counts too where one of the
+    title's words is alike to it; only such titles send anything to Python.
     """
     if books.count() > 100:
         raise ValueError("more than 100 books")
@@ -96,6 +99,11 @@ def match_books(titles: DataFrame, books: DataFrame, key: str, title: str) -> Da
     words = F.concat(F.lit(" "), F.regexp_replace(F.col(title), "[^a-z0-9]+", " "), F.lit(" "))
     held = F.filter("__books", lambda b: words.contains(F.concat(F.lit(" "), b["folded"], F.lit(" "))))
     found = titles.crossJoin(F.broadcast(listed)).withColumn("__first", F.get(held, F.lit(0)))  # one row
+    if alike:
+        before = F.filter("__books", lambda b: F.col(title).contains(b["folded"]) & (F.col("__first").isNull() | (b["position"] < F.col("__first.position"))))
+        near = F.nullif(F.transform(before, lambda b: b["folded"]), F.array().cast("array<string>"))
+        place = F.array_position(F.transform("__books", lambda b: b["folded"]), first_alike(F.when(near.isNotNull(), F.col(title)), near))
+        found = found.withColumn("__place", place).withColumn("__first", F.coalesce(F.get("__books", (F.col("__place") - 1).cast("int")), F.col("__first")))
     return found.select(*[titles[c] for c in titles.columns], F.col("__first.book").alias("book"), F.col("__first.folded").alias("folded"))
 
 

@@ -8,6 +8,7 @@ from medialake.bindings import cte, table, view
 from medialake.functions import text as x
 from medialake.functions import times as t
 from medialake.functions import urls as u
+from medialake.functions.similar import is_similar
 from medialake.plans.registry import query
 
 _FOLD = "trim(lower(strip_accents(coalesce({}, ''))))"
@@ -64,6 +65,14 @@ def t09_title_head(spark, sf_dir):
     return titles(spark, sf_dir).select("p_partkey", x.title_head("title").alias("head"))
 
 
+@query("SELECT p_partkey, regexp_matches(word, '^[^0-9]+$') AND 2.0 * length(word) >= 0.9 * (2 * length(word) + p_partkey % 7) AS alike FROM (SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN p_brand ELSE p_type END AS word FROM part)")
+def t11_similar(spark, sf_dir):
+    """Words against themselves with up to six further letters, some with digits."""
+    p = table(spark, sf_dir, "part").withColumn("word", F.when(F.col("p_partkey") % 5 == 0, F.col("p_brand")).otherwise(F.col("p_type")))
+    longer = F.concat("word", F.repeat(F.lit("~"), (F.col("p_partkey") % 7).cast("int")))
+    return p.select("p_partkey", is_similar("word", longer).alias("alike"))
+
+
 @query("SELECT page_id, 'https://example.org/a' || page_id || '.MP3' AS audio FROM pages")
 def t12_first_audio(spark, sf_dir):
     p = table(spark, sf_dir, "pages")

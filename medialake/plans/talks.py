@@ -82,7 +82,7 @@ def extract_reference(df: DataFrame, title: str, books: DataFrame, name: str = "
         plain = F.regexp_replace(plain, rf"(\d+)\s*{word}\s*(\d+)", "$1-$2")
     keyed = df.withColumn("__folded", x.fold(plain))
     distinct = keyed.select("__folded").distinct()
-    found = joins.match_books(distinct, books, "__folded", "__folded").where("book IS NOT NULL")
+    found = joins.match_books(distinct, books, "__folded", "__folded", alike=True).where("book IS NOT NULL")
     rest = F.substring(F.col("__folded"), F.instr("__folded", F.col("folded")) + F.length("folded"), F.length("__folded"))
     chapter, verse = (F.regexp_extract(rest, r"(\d+)(?::\s*(\d+(?:-\d+)?))?", k) for k in (1, 2))
     shown = F.concat(F.col("book"), F.when(chapter != "", F.concat(F.lit(" "), chapter)).otherwise(""), F.when(verse != "", F.concat(F.lit(":"), verse)).otherwise(""))
