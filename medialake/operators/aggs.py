@@ -215,6 +215,11 @@ def order_by_enum(df: DataFrame, column: str, values: list[str], *more: Column)
     return df.orderBy(F.when(place == 0, len(values) + 1).otherwise(place), *more)
 
 
+def order_issues(issues: DataFrame) -> DataFrame:
+    """Issues from the newest on, undated ones last; on one day by title in any case, then by entity."""
+    return issues.orderBy(F.desc_nulls_last("preaching_date"), F.lower(text("title")), "entity_id")
+
+
 def tail(df: DataFrame, n: int, ts: str, tie: str) -> DataFrame:
     """The last ``n`` rows, oldest first."""
     return df.orderBy(F.desc(ts), F.desc(tie)).limit(n).orderBy(ts, tie)

@@ -123,10 +123,10 @@ def is_mp3(mime: Column | str, path: Column | str) -> Column:
 
 
 def resource_group(kind: Column | str, mime: Column | str, link: Column | str) -> Column:
-    """Where a resource is shown: audio (also anything fetched as MP3), documents, else its own kind."""
-    kind = F.col(kind) if isinstance(kind, str) else kind
+    """Where a resource is shown: audio (also anything fetched as MP3), documents, else its own kind; without one, as a link."""
+    kind = F.coalesce(F.nullif(F.col(kind) if isinstance(kind, str) else kind, F.lit("")), F.lit("external_link"))
     fetched = is_mp3(mime, text(link)) & ~is_blank(link)
-    return F.when((kind == "audio") | fetched, "audio").when(kind.isin("pdf", "word", "presentation", "spreadsheet", "document"), "documents").otherwise(kind)
+    return F.when((kind == "audio") | fetched, "audio").when(kind.isin("pdf", "word", "document", "presentation", "spreadsheet", "archive"), "documents").otherwise(kind)
 
 
 def target(df: DataFrame, date: str | None = None, column: str = "preaching_date") -> DataFrame:

@@ -102,11 +102,16 @@ def e16_search(spark, sf_dir):
     return serving.search_talks(view(spark, sf_dir, "v_gold"), "Build").select("canonical_sermon_id", "shown_date", "book")
 
 
-@query("SELECT o_orderstatus AS study_type, strftime(o_orderdate, '%Y') AS year, o_orderpriority AS title, CAST(o_orderkey AS VARCHAR) AS study_id, CAST(dense_rank() OVER (PARTITION BY o_orderstatus ORDER BY year(o_orderdate) DESC) - 1 AS INTEGER) AS year_place, CAST(row_number() OVER (PARTITION BY o_orderstatus, year(o_orderdate) ORDER BY o_orderpriority, CAST(o_orderkey AS VARCHAR)) - 1 AS INTEGER) AS place FROM orders")
+@query(
+    "WITH s AS (SELECT CASE o_orderstatus WHEN 'F' THEN 'ctb' WHEN 'O' THEN 'pfd' ELSE 'weekly' END AS study_type, CASE o_orderstatus WHEN 'F' THEN 'Centro de Treinamento Bíblico' WHEN 'O' THEN 'Programa de Formação de Discípulos' ELSE 'Estudos Semanais' END AS label,"
+    " strftime(o_orderdate, '%Y') AS year, strftime(o_orderdate, '%Y%m%d') AS day, o_orderpriority AS title, CAST(o_orderkey AS VARCHAR) AS study_id FROM orders) SELECT study_type, label, count(*) OVER (PARTITION BY study_type) AS studies, year, title, study_id,"
+    " CAST(dense_rank() OVER (PARTITION BY study_type ORDER BY year DESC) - 1 AS INTEGER) AS year_place, CAST(row_number() OVER (PARTITION BY study_type, year ORDER BY CASE WHEN study_type = 'pfd' THEN CAST(left(title, 1) AS INTEGER) ELSE -CAST(day AS INTEGER) END, title, study_id) - 1 AS INTEGER) AS place FROM s"
+)
 def e17_study_catalog(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("study_id"), F.col("o_orderstatus").alias("study_type"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("study_date"), F.col("o_orderpriority").alias("title"), F.lit(0).alias("resource_count"))
-    years = serving.study_catalog(o).select("study_type", F.posexplode("years").alias("year_place", "y"))
-    return years.select("study_type", "year_place", "y.year", F.posexplode("y.studies").alias("place", "s")).select("study_type", "year", "s.title", "s.study_id", "year_place", "place")
+    kind = F.when(F.col("o_orderstatus") == "F", "ctb").when(F.col("o_orderstatus") == "O", "pfd").otherwise("weekly")
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("study_id"), kind.alias("study_type"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("study_date"), F.col("o_orderpriority").alias("title"), F.lit(0).alias("resource_count"))
+    years = serving.study_catalog(o).select("study_type", "label", F.col("count").alias("studies"), F.posexplode("years").alias("year_place", "y"))
+    return years.select("study_type", "label", "studies", "year_place", "y.year", F.posexplode("y.studies").alias("place", "s")).select("study_type", "label", "studies", "year", "s.title", "s.study_id", "year_place", "place")
 
 
 @query("SELECT CAST(conv_id AS VARCHAR) AS canonical_sermon_id, CAST(max(turn) + 1 AS INTEGER) AS transcript_version, max_by(text, turn) AS transcript_text FROM conversations WHERE conv_id = 1 GROUP BY 1")

@@ -72,9 +72,12 @@ def e02_load_posts(spark, sf_dir):
     return meta.join(media.select("canonical_sermon_id", "source_url"), "canonical_sermon_id", "left").select("preaching_date", "source_item_id", "title", "preacher_name", "text_reference", "serie", "source_url")
 
 
-@query("SELECT 'wordpress:' || p_partkey AS study_key, CASE WHEN p_partkey = 1 THEN 'weekly' ELSE 'ctb' END AS study_type, p_name AS title, CAST(2000 + p_partkey % 20 AS VARCHAR) AS study_date, 'https://example.org/f' || p_partkey || '.pdf' AS canonical_url FROM part WHERE p_partkey % 5 <> 0")
+@query("SELECT 'wordpress:' || p_partkey AS study_key, CASE WHEN p_partkey = 1 THEN 'weekly' ELSE 'ctb' END AS study_type, p_name AS title, CAST(CASE WHEN p_partkey BETWEEN 1900 AND 2099 THEN p_partkey ELSE 2000 + p_partkey % 20 END AS VARCHAR) AS study_date, 'https://example.org/f' || p_partkey || '.pdf' AS canonical_url FROM part WHERE p_partkey % 5 <> 0")
 def e04_discover_studies(spark, sf_dir):
-    """Root pages that link a hundred pages each, some not public; one weekly root with a page below it and one elsewhere."""
+    """Root pages that link a hundred pages each, some not public; one weekly root with a page below it and one elsewhere.
+
+    A page's date is its post's, but for those whose file name reads as a year.
+    """
     p = table(spark, sf_dir, "part")
     key, none = F.col("p_partkey").cast("string"), F.lit("")
     anchor = lambda target: F.concat(F.lit('<a href="'), target, F.lit('">x</a>'))

@@ -45,7 +45,7 @@ def quality_dashboard(runs: DataFrame, metrics: DataFrame, issues: DataFrame, ru
     own = issues.join(run.select("run_id"), "run_id", "left_semi")
     if metric:
         own = own.where(F.col("metric_key") == metric)
-    shown = filters.filter_issues(own, **filters_).orderBy(F.desc_nulls_last("preaching_date"), F.lower(x.text("title")), "entity_id")
+    shown = aggs.order_issues(filters.filter_issues(own, **filters_))
     return {"run": run, "metrics": pick.metric_delta(metrics, runs).join(run.select("run_id"), "run_id", "left_semi"), "history": t.metric_history(runs, metrics), "facets": aggs.facets(own), "issues": shown}
 
 
@@ -74,19 +74,22 @@ def search_talks(gold: DataFrame, query: str, n: int = 20) -> DataFrame:
 
 
 def study_catalog(studies: DataFrame) -> DataFrame:
-    """Types in their order, with years from the newest on, with their studies."""
+    """The four types in their order, also those without studies, with name, count, and years from the newest on with their studies."""
     year = F.substring(x.text("study_date"), 1, 4)
-    item = F.struct(x.text("title").alias("title"), "study_id", "study_date", F.col("resource_count").alias("resources"))
-    rows = studies.withColumns({"year": year, "back": -F.coalesce(year.try_cast("int"), F.lit(0))})
+    place = x.study_place("study_type", "title", "study_date")
+    item = F.struct(place.alias("ord"), x.text("title").alias("title"), "study_id", "study_date", F.col("resource_count").alias("resources"))
+    rows = studies.withColumns({"year": x.first_filled(year, F.lit("Sem data")), "back": -F.coalesce(year.try_cast("int"), F.lit(0))})
     groups = rows.groupBy("study_type", "back", "year").agg(F.array_sort(F.collect_list(item)).alias("studies"))
-    return groups.groupBy("study_type").agg(F.array_sort(F.collect_list(F.struct("back", "year", "studies"))).alias("years")).orderBy(x.study_type_order("study_type"))
+    nested = groups.groupBy("study_type").agg(F.sum(F.size("studies")).alias("__n"), F.array_sort(F.collect_list(F.struct("back", "year", "studies"))).alias("years"))
+    types = studies.sparkSession.createDataFrame(list(x.STUDY_TYPES.items()), "study_type string, label string")
+    shown = types.join(nested, "study_type", "left").select("study_type", "label", F.coalesce("__n", F.lit(0)).alias("count"), "years")
+    return shown.orderBy(x.place_of("study_type", x.STUDY_TYPES))
 
 
 def study_detail(studies: DataFrame, resources: DataFrame, study_id: str) -> DataFrame:
-    """One study with its resources by group: audio, documents, then the rest."""
+    """One study with its resources by group, in the order of the groups."""
     group = filters.resource_group("resource_type", "mime_type", "download_link")
-    order = F.when(group == "audio", 0).when(group == "documents", 1).otherwise(2)
-    own = resources.where(F.col("study_id") == study_id).withColumns({"grp": group, "ord": order, "label": F.regexp_replace(x.text("label"), r" \[[0-9a-f]{12}\]", "")})
+    own = resources.where(F.col("study_id") == study_id).withColumn("grp", group).withColumns({"ord": x.place_of("grp", x.RESOURCE_GROUPS), "label": F.regexp_replace(x.text("label"), r" \[[0-9a-f]{12}\]", "")})
     groups = own.groupBy("study_id", "ord", "grp").agg(F.array_sort(F.collect_list(F.struct("position", "label", "canonical_url", x.fmt_duration("duration_seconds").alias("duration")))).alias("items"))
     nested = groups.groupBy("study_id").agg(F.array_sort(F.collect_list(F.struct("ord", "grp", "items"))).alias("groups"))
     return studies.where(F.col("study_id") == study_id).join(nested, "study_id", "left")
