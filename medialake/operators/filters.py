@@ -57,7 +57,7 @@ def lookup(df: DataFrame, column: str, value: str, mode: str = "equal") -> DataF
 
 
 def filter_issues(df: DataFrame, year: str | None = None, source: str | None = None, speaker: str | None = None) -> DataFrame:
-    rules = [(year, lambda v: text("preaching_date").startswith(v)), (source, lambda v: text("source_system").contains(v)), (speaker, lambda v: F.col("preacher_name") == v)]
+    rules = [(year, lambda v: text("preaching_date").startswith(v)), (source, lambda v: F.lower(text("source_system")).contains(v.lower())), (speaker, lambda v: F.col("preacher_name") == v)]
     return functools.reduce(lambda d, r: d.where(r[1](r[0])) if r[0] else d, rules, df)
 
 

@@ -85,16 +85,17 @@ def e01_load_videos(spark, sf_dir):
 
 
 @query(
-    cte("v_titles", more="ident AS (SELECT p_partkey, p_name || ' ' || p_brand AS n FROM (SELECT * FROM part))")
-    + "SELECT count(*) AS studies, CAST(sum(c) AS BIGINT) AS resources FROM (SELECT p_name, count(DISTINCT p_partkey % 5) AS c FROM part GROUP BY p_name)"
+    "WITH p AS (SELECT p_name, p_partkey, 'k:' || p_partkey AS k, p_partkey % 2 AS odd FROM part) SELECT p_name AS title, first('https://example.org/' || p_partkey ORDER BY odd, k) AS source_url,"
+    " CASE WHEN min(odd) < max(odd) THEN 'wordpress,youtube' WHEN min(odd) = 0 THEN 'wordpress' ELSE 'youtube' END AS source_system, count(DISTINCT p_partkey % 5) AS resources, count(*) AS origins FROM p GROUP BY p_name"
 )
 def e08_merge_studies(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     base = p.select(F.concat(F.lit("k:"), "p_partkey").alias("study_key"), F.concat(F.when(F.col("p_partkey") % 2 == 0, "Estudo: ").otherwise("CTB "), F.initcap("p_name")).alias("title"), F.lit("weekly").alias("study_type"), F.lit("2020").alias("study_date"), F.concat(F.lit("https://example.org/"), "p_partkey").alias("source_url"))
     res = p.select(F.concat(F.lit("k:"), "p_partkey").alias("study_key"), F.lit("pdf").alias("resource_type"), F.lit("x").alias("label"), F.lit("u").alias("source_url"), F.concat(F.lit("https://example.org/r"), F.col("p_partkey") % 5).alias("canonical_url"), F.lit("").alias("mime_type"), F.lit(1).alias("position"))
     even = F.expr("CAST(substring(study_key, 3) AS INT) % 2 = 0")
-    s, r, _ = studies.merge_studies((base.where(even), res.where(even)), (base.where(~even), res.where(~even)), NOW)
-    return s.agg(F.count("*").alias("studies"), F.sum("resource_count").alias("resources")).select("studies", F.col("resources").cast("long").alias("resources")).crossJoin(r.agg(F.count("*").alias("n"))).where("n = resources").drop("n")
+    s, r, origins = studies.merge_studies((base.where(even), res.where(even)), (base.where(~even), res.where(~even)), NOW)
+    counted = s.join(r.groupBy("study_id").agg(F.count("*").alias("resources")), "study_id").join(origins.groupBy("study_id").agg(F.count("*").alias("origins")), "study_id")
+    return counted.where("resources = resource_count").select(F.lower("title").alias("title"), "source_url", "source_system", "resources", "origins")
 
 
 @query(cte("v_gold") + "SELECT canonical_sermon_id, strftime(CAST(preaching_date AS DATE), '%d/%m/%Y') AS shown_date, split_part(trim(text_reference), ' ', 1) AS book FROM v_gold WHERE lower(coalesce(serie, '')) LIKE '%build%' ORDER BY preaching_date DESC, canonical_sermon_id LIMIT 20")
@@ -120,24 +121,59 @@ def e18_latest_text(spark, sf_dir):
     return serving.latest_text(gold, view(spark, sf_dir, "v_versions"), "1").select("canonical_sermon_id", "transcript_version", "transcript_text")
 
 
-@query(cte("v_events", "v_visitors", more=q_analytics._OWN) + "SELECT 'pages' AS part, count(*) AS rows FROM (SELECT DISTINCT page_path FROM own WHERE event_type = 'page_view' LIMIT 15) UNION ALL SELECT 'daily', 21 UNION ALL SELECT 'clicks', count(DISTINCT event_type) FROM own WHERE event_type LIKE '%click' UNION ALL SELECT 'content', least(25, count(DISTINCT content_type || content_id)) FROM own WHERE content_type <> ''")
+_DASHBOARD = """
+pages AS (SELECT page_path AS name, count(*) AS n FROM own WHERE event_type = 'page_view' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 15),
+clicks AS (SELECT event_type AS name, count(*) AS n FROM own WHERE event_type LIKE '%\\_click' ESCAPE '\\' GROUP BY 1),
+content AS (SELECT content_type || ' ' || content_id AS name, plays AS n FROM stats ORDER BY plays DESC, downloads DESC, completions DESC, content_type, content_id LIMIT 25),
+loads AS (SELECT content_type || ' ' || content_id AS name, downloads AS n FROM stats WHERE downloads > 0 ORDER BY downloads DESC, plays DESC, content_type, content_id LIMIT 15)
+SELECT 'pages' AS part, * FROM pages UNION ALL SELECT 'clicks', * FROM clicks UNION ALL SELECT 'content', * FROM content UNION ALL SELECT 'downloads', * FROM loads
+UNION ALL SELECT 'daily', CAST(day AS VARCHAR), views FROM daily UNION ALL SELECT 'monthly', strftime(day, '%Y-%m'), CAST(sum(views) AS BIGINT) FROM daily GROUP BY 2
+UNION ALL SELECT 'weekly', CAST(CAST(date_trunc('week', day) AS DATE) AS VARCHAR), CAST(sum(views) AS BIGINT) FROM daily GROUP BY 2"""
+
+
+@query(cte("v_events", more=q_analytics._OWN + "," + q_analytics._STATS + "," + q_analytics._SERIES + ",") + _DASHBOARD)
 def e14_dashboard(spark, sf_dir):
+    """What the parts of the dashboard show, as names and counts."""
     gold = view(spark, sf_dir, "v_gold")
     got = serving.analytics_dashboard(view(spark, sf_dir, "v_events"), view(spark, sf_dir, "v_visitors"), gold, gold.select(F.col("canonical_sermon_id").alias("study_id"), "title"), q_analytics.PERIOD)
+    item = F.concat_ws(" ", "content_type", "content_id")
+    shown = {"pages": (F.col("page_path"), "views"), "clicks": (F.col("event_type"), "clicks"), "content": (item, "plays"), "downloads": (item, "downloads"), "daily": (F.col("day").cast("string"), "views"), "weekly": (F.col("bucket"), "views"), "monthly": (F.col("bucket"), "views")}
     out = None
-    for part in ("pages", "daily", "clicks", "content"):
-        one = got[part].agg(F.count("*").alias("rows")).select(F.lit(part).alias("part"), "rows")
+    for part, (name, n) in shown.items():
+        one = got[part].select(F.lit(part).alias("part"), name.cast("string").alias("name"), F.col(n).alias("n"))
         out = one if out is None else out.unionByName(one)
     return out
 
 
+_RUN = "run AS (SELECT run_id FROM v_runs WHERE status = 'success' ORDER BY calculated_at DESC, run_id DESC LIMIT 1)"
+_DAY_OF = "CAST(CAST(occurred_at AS DATE) AS VARCHAR)"
+
+
+def _quality_dashboard(spark, sf_dir, **asked):
+    e = view(spark, sf_dir, "v_events")
+    day = F.to_date("occurred_at").cast("string")
+    issues = e.select(day.alias("run_id"), F.col("event_type").alias("metric_key"), day.alias("preaching_date"), F.col("page_path").alias("title"), F.col("event_id").alias("entity_id"), F.lit("wordpress, youtube").alias("source_system"), F.col("content_type").alias("preacher_name"))
+    return serving.quality_dashboard(view(spark, sf_dir, "v_runs"), view(spark, sf_dir, "v_metrics"), issues, **asked)
+
+
 @query(
-    cte("v_metrics", "v_runs", more="run AS (SELECT run_id FROM v_runs WHERE status = 'success' ORDER BY calculated_at DESC, run_id DESC LIMIT 1)")
-    + "SELECT m.metric_key, m.value FROM v_metrics m JOIN run USING (run_id)"
+    cte("v_metrics", "v_runs", more=_RUN)
+    + """, good AS (SELECT run_id, lag(run_id) OVER (ORDER BY calculated_at, run_id) AS previous FROM v_runs WHERE status = 'success')
+SELECT m.metric_key, m.value, p.value AS previous_value, m.value - p.value AS delta, round_even(m.value * 100.0 / nullif(m.denominator, 0), 1) AS percent
+FROM v_metrics m JOIN run USING (run_id) JOIN good g ON m.run_id = g.run_id LEFT JOIN v_metrics p ON p.run_id = g.previous AND p.metric_key = m.metric_key"""
 )
 def e13_quality_dashboard(spark, sf_dir):
-    issues = view(spark, sf_dir, "v_metrics").select("run_id", "metric_key", F.lit("2024-01-01").alias("preaching_date"), F.lit("").alias("title"), F.lit("e").alias("entity_id"), F.lit("wordpress, youtube").alias("source_system"), F.lit("Ana").alias("preacher_name"))
-    return serving.quality_dashboard(view(spark, sf_dir, "v_runs"), view(spark, sf_dir, "v_metrics"), issues)["metrics"].select("metric_key", "value")
+    return _quality_dashboard(spark, sf_dir)["metrics"].select("metric_key", "value", "previous_value", "delta", "percent")
+
+
+@query(cte("v_events", "v_runs", more=_RUN) + f"SELECT event_id AS entity_id, {_DAY_OF} AS run_id, page_path AS title FROM v_events JOIN run ON run_id = {_DAY_OF} WHERE event_type = 'page_view' AND content_type = 'study'")
+def e13_quality_issues(spark, sf_dir):
+    return _quality_dashboard(spark, sf_dir, metric="page_view", speaker="study", source="YouTube")["issues"].select("entity_id", "run_id", "title")
+
+
+@query(cte("v_events", "v_runs", more=_RUN + f", own AS (SELECT * FROM v_events JOIN run ON run_id = {_DAY_OF})") + "SELECT DISTINCT 'year' AS facet, left(run_id, 4) AS value FROM own UNION ALL SELECT DISTINCT 'speaker', content_type FROM own WHERE content_type <> '' UNION ALL SELECT DISTINCT 'source', s FROM own, (VALUES ('wordpress'), ('youtube')) x(s)")
+def e13_quality_facets(spark, sf_dir):
+    return _quality_dashboard(spark, sf_dir)["facets"]
 
 
 @query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 2 OR p_partkey % 3 = 1 AND p_partkey // 3 % 2 = 1 THEN 'audio' ELSE 'document' END AS asset_type, CASE WHEN p_partkey % 3 = 2 THEN 'platform' ELSE 'direct' END AS source_kind FROM part WHERE p_partkey % 3 <> 2 OR p_partkey // 3 % 2 = 0")
