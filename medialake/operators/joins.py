@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from medialake.functions.similar import first_alike
@@ -107,6 +107,24 @@ def match_books(titles: DataFrame, books: DataFrame, key: str, title: str, alike
     return found.select(*[titles[c] for c in titles.columns], F.col("__first.book").alias("book"), F.col("__first.folded").alias("folded"))
 
 
+def batches(ids: DataFrame, ident: str, n: int = 50) -> DataFrame:
+    """Distinct ids in order, in lists of at most ``n``: ``batch, ids``; null is no id.
+
+    The ids are sorted into ranges, which are stored so that a lost one comes
+    back as it was; only the sizes of the ranges, one row each, meet in one task.
+    """
+    spark = ids.sparkSession
+    path = fresh_path(spark, "ranges")
+    placed = ids.where(F.col(ident).isNotNull()).select(ident).distinct().repartitionByRange(ident).withColumn("__range", F.spark_partition_id())
+    placed.write.parquet(path)
+    placed = spark.read.schema(placed.schema).parquet(path)
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    sizes = placed.groupBy("__range").agg(F.count("*").alias("__n")).select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    number = F.row_number().over(Window.partitionBy("__range").orderBy(ident)) - 1
+    numbered = placed.withColumn("__at", number).join(sizes, "__range").withColumn("batch", F.floor((F.col("__at") + F.col("__before")) / n))
+    return numbered.groupBy("batch").agg(F.array_sort(F.collect_list(ident)).alias("ids"))
+
+
 def calendar_gaps(expected: DataFrame, actual: DataFrame, exceptions: DataFrame, key: str = "day") -> DataFrame:
     return expected.join(actual.select(key).distinct(), key, "left_anti").join(exceptions, key, "left")
 

@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from medialake.bindings import cte, table, view
+from medialake.functions import text as x
 from medialake.functions import times as t
 from medialake.functions.text import book_name
 from medialake.operators import aggs, filters, joins, pick
@@ -503,6 +504,18 @@ def t51_resource_group(spark, sf_dir):
     return p.select("p_partkey", filters.resource_group("kind", "mime", "link").alias("grp"))
 
 
+@query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'Centro de Treinamento Bíblico' WHEN 1 THEN 'Estudos Semanais' WHEN 2 THEN 'other' ELSE '' END AS label, CAST(CASE p_partkey % 4 WHEN 0 THEN 0 WHEN 1 THEN 2 ELSE 4 END AS INTEGER) AS place, CASE WHEN p_partkey % 3 = 0 THEN 'Documentos' ELSE 'Links externos' END AS grp FROM part")
+def t50_labels(spark, sf_dir):
+    kind = F.element_at(F.array(F.lit("ctb"), F.lit("weekly"), F.lit("other"), F.lit(None)), (F.col("p_partkey") % 4 + 1).cast("int"))
+    p = table(spark, sf_dir, "part").select("p_partkey", kind.alias("kind"), filters.resource_group(F.when(F.col("p_partkey") % 3 == 0, "archive"), F.lit(""), F.lit("")).alias("grp"))
+    return p.select("p_partkey", x.label_of("kind", x.STUDY_TYPES).alias("label"), x.place_of("kind", x.STUDY_TYPES).alias("place"), x.label_of("grp", x.RESOURCE_GROUPS).alias("grp"))
+
+
+@query("SELECT (row_number() OVER (ORDER BY user_id) - 1) // 50 AS batch, user_id FROM (SELECT DISTINCT user_id FROM events WHERE user_id IS NOT NULL)")
+def o07_batches(spark, sf_dir):
+    return joins.batches(table(spark, sf_dir, "events"), "user_id").select("batch", F.explode("ids").alias("user_id"))
+
+
 @query("SELECT conv_id, CAST(turn AS VARCHAR) AS video_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS position FROM (SELECT DISTINCT conv_id, turn FROM conversations) WHERE turn % 3 <> 0")
 def s10_memberships(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn").distinct()

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from medialake.functions import text as x
-from medialake.operators import aggs, filters
+from medialake.operators import aggs, filters, joins
 from medialake.plans import serving
 
 
@@ -30,3 +30,10 @@ def test_order_of_issues(spark):
     rows = [("1", "b", None), ("2", "B", "2020-01-02"), ("3", "a", "2020-01-02"), ("4", "b", "2020-01-02"), ("5", "z", "2021-01-01")]
     issues = spark.createDataFrame(rows, "entity_id string, title string, preaching_date string")
     assert [r.entity_id for r in aggs.order_issues(issues).collect()] == ["5", "3", "2", "4", "1"]
+
+
+def test_batches(spark):
+    ids = spark.range(125).unionByName(spark.range(20)).repartition(4).unionByName(spark.createDataFrame([(None,)], "id long"))
+    got = {r.batch: list(r.ids) for r in joins.batches(ids, "id").collect()}
+    assert got == {0: list(range(50)), 1: list(range(50, 100)), 2: list(range(100, 125))}
+    assert joins.batches(ids.limit(0), "id").collect() == []
