@@ -83,7 +83,25 @@ def op10_bpe(spark, sf_dir):
     return round_trip(_documents(spark, sf_dir), str(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_media, op2_preferences, op3_decontaminate, op4_toxicity, op5_substrings, op6_tokens, op7_secrets, op8_neardup, op9_shards, op10_bpe)}
+def op11_ranked(spark, sf_dir):
+    from .ranking import rank_documents
+
+    return rank_documents(_documents(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_repair(spark, sf_dir):
+    from .repair import repair_conversations
+
+    return repair_conversations(_table(spark, sf_dir, "conversations"))
+
+
+def op13_mix(spark, sf_dir):
+    from .mixing import mix_sources, taken_words
+
+    return taken_words(mix_sources(_documents(spark, sf_dir)))
+
+
+QUERIES = {f.__name__: f for f in (op1_media, op2_preferences, op3_decontaminate, op4_toxicity, op5_substrings, op6_tokens, op7_secrets, op8_neardup, op9_shards, op10_bpe, op11_ranked, op12_repair, op13_mix)}
 
 ORACLE: dict[str, str] = {}
 
@@ -162,3 +180,84 @@ reach AS (SELECT doc_id AS u, doc_id AS v FROM docs UNION SELECT r.u, l.v FROM r
 low AS (SELECT u, min(v) AS root FROM reach GROUP BY u)
 SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, root AS component_id, doc_id = root AS kept FROM sets JOIN low ON doc_id = u
 """
+
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+ORACLE["op11_ranked"] = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS w FROM documents),
+corpus AS (SELECT count(*) FILTER (len(w) > 0) AS big_n, CAST(sum(len(w)) AS BIGINT) AS big_l FROM docs),
+items AS (SELECT row_number() OVER () AS q, item_id, {_TERMS} AS w FROM benchmark),
+wanted AS (SELECT q, item_id, term, count(*) AS times FROM (SELECT q, item_id, unnest(w) AS term FROM items) GROUP BY q, item_id, term),
+counts AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM docs) WHERE term IN (SELECT term FROM wanted) GROUP BY r, term),
+weights AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(big_n) + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM counts, corpus GROUP BY term),
+impacts AS (
+  SELECT r, term, (1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * len(w) * big_n) // big_l)) AS impact FROM counts JOIN docs USING (r), corpus),
+scores AS (
+  SELECT q, item_id, r, CAST(sum(times * weight * impact) AS BIGINT) AS score FROM wanted JOIN weights USING (term) JOIN impacts USING (term) GROUP BY q, item_id, r),
+ranked AS (
+  SELECT item_id, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS FIRST) AS rank, doc_id, score FROM scores JOIN docs USING (r) WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+
+def _plus(key: str, cost: str, edit: str) -> str:
+    """A way so far is its cost, in eight digits, and its edits; so the least string is the best way."""
+    return f"lpad(CAST(CAST(substr({key}, 1, 8) AS BIGINT) + {cost} AS VARCHAR), 8, '0') || substr({key}, 9) || '{edit}'"
+
+
+def _taken(state: int) -> str:
+    """The best way to a state behind row ``x``, from the ways to all states before it."""
+    ways = [_plus(f"k{state}", "4", "D")]
+    for before, initial in {1: [(0, "s")], 2: [(0, "u"), (1, "u"), (3, "u")], 3: [(2, "a")]}.get(state, []):
+        ways.append(f"CASE WHEN NOT x.gone AND left(x.role, 1) = '{initial}' THEN {_plus(f'k{before}', 'x.cut', 'K')} END")
+        if initial != "s":
+            ways.append(f"CASE WHEN NOT x.gone THEN {_plus(f'k{before}', '(3 + x.cut)', 'R')} END")
+    return f"least({', '.join(ways)})"
+
+
+_SPACE = r"\x20\x09-\x0D"
+
+ORACLE["op12_repair"] = rf"""
+WITH RECURSIVE crc AS (
+  SELECT list(v ORDER BY i) AS t FROM (
+    SELECT i, list_reduce([CAST(i AS BIGINT), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, CAST(3988292384 AS BIGINT)) ELSE c >> 1 END) AS v FROM range(256) r(i))),
+keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda c: CAST(ord(c) AS BIGINT))) AS bytes
+  FROM conversations),
+kinds AS (SELECT * EXCLUDE (bytes), xor(list_reduce(bytes, lambda c, b: xor(c >> 8, t[CAST((xor(c, b) & 255) + 1 AS INTEGER)])), CAST(4294967295 AS BIGINT)) % 20 AS kind FROM keyed, crc),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy FROM kinds WHERE kind <> 0),
+judged AS (
+  SELECT *, NOT regexp_matches(text, '[^{_SPACE}]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again,
+    NOT regexp_matches(text, '[.!?][{_SPACE}]*$') AS ended_badly FROM damaged),
+marked AS (SELECT *, blank OR again AS gone, CASE WHEN NOT blank AND NOT again AND ended_badly THEN 3 ELSE 0 END AS cut FROM judged),
+convs AS (
+  SELECT conv_id, list(struct_pack(role := role, text := text, gone := gone, cut := cut) ORDER BY turn NULLS FIRST, role, md5(text), copy) AS xs,
+    coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (again AND NOT blank) AS duplicate, count(*) FILTER (cut > 0) AS truncated
+  FROM marked GROUP BY conv_id),
+ways AS (
+  SELECT conv_id, 0 AS i, xs, '00000000' AS k0, CAST(NULL AS VARCHAR) AS k1, '00000003I' AS k2, '00000006II' AS k3 FROM convs
+  UNION ALL
+  SELECT conv_id, i, xs, k0, k1, k2, least(k3, {_plus("k2", "3", "I")}) FROM (
+    SELECT conv_id, i, xs, k0, k1, least(k2, {_plus("k0", "3", "I")}, {_plus("k1", "3", "I")}, {_plus("k3", "3", "I")}) AS k2, k3 FROM (
+      SELECT conv_id, i + 1 AS i, xs, {_taken(0)} AS k0, {_taken(1)} AS k1, {_taken(2)} AS k2, {_taken(3)} AS k3
+      FROM (SELECT *, xs[i + 1] AS x FROM ways WHERE i < len(xs)) a) b) c),
+best AS (SELECT conv_id, least(k0, k3) AS k FROM ways WHERE i = len(xs)),
+scripts AS (SELECT conv_id, CAST(substr(k, 1, 8) AS BIGINT) AS cost, substr(k, 9) AS audit FROM best),
+replay AS (
+  SELECT c.conv_id, xs, audit, 0 AS p, 0 AS j, '' AS last, CAST([] AS VARCHAR[]) AS lines FROM convs c JOIN scripts s ON c.conv_id IS NOT DISTINCT FROM s.conv_id
+  UNION ALL
+  SELECT conv_id, xs, audit, p + 1, j + CASE WHEN e = 'I' THEN 0 ELSE 1 END,
+    CASE e WHEN 'D' THEN last WHEN 'K' THEN left(x.role, 1) ELSE left(named, 1) END,
+    CASE e WHEN 'D' THEN lines WHEN 'K' THEN list_append(lines, x.role || ':' || x.text) WHEN 'R' THEN list_append(lines, named || ':' || x.text) ELSE list_append(lines, named || ':') END
+  FROM (SELECT *, audit[p + 1] AS e, xs[j + 1] AS x, CASE WHEN last = 'u' THEN 'assistant' ELSE 'user' END AS named FROM replay WHERE p < len(audit)) d),
+repaired AS (SELECT conv_id, sha256(coalesce(array_to_string(lines, chr(10)), '')) AS repaired_sha256 FROM replay WHERE p = len(audit)),
+pairs AS (SELECT conv_id, len(list_filter(range(1, len(xs)), lambda i: left(xs[i].role, 1) || left(xs[i + 1].role, 1) NOT IN ('su', 'ua', 'au'))) AS illegal FROM convs)
+SELECT o.conv_id, CAST(coalesce(c.gaps, 0) AS BIGINT) AS gaps, coalesce(c.blank, 0) AS blank, coalesce(c.duplicate, 0) AS duplicate, coalesce(c.truncated, 0) AS truncated,
+  CAST(coalesce(p.illegal, 0) AS BIGINT) AS illegal, coalesce(s.cost, 0) AS cost, coalesce(s.audit, '') AS audit, coalesce(r.repaired_sha256, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN convs c ON o.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN scripts s ON o.conv_id IS NOT DISTINCT FROM s.conv_id
+LEFT JOIN repaired r ON o.conv_id IS NOT DISTINCT FROM r.conv_id LEFT JOIN pairs p ON o.conv_id IS NOT DISTINCT FROM p.conv_id
+"""
