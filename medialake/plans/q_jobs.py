@@ -41,6 +41,24 @@ def e03_raw_links(spark, sf_dir):
     return raw.select("page_id", "url", F.row_number().over(Window.partitionBy("page_id").orderBy("position")).alias("place"))
 
 
+_WALKED = """('video', '/v.mp4', 'old player', 1), ('a', '/1.pdf', 'one', 2), ('a', '/2.pdf?x=a>b', 'two b', 3), ('audio', '/s.mp3', 'T', 4), ('img', '/i.png', 'Alt', 5), ('iframe', '/f', NULL, 6),
+('object', '/o.pdf', 'doc', 7), ('embed', '/e.swf', NULL, 8), ('source', '/q.ogg', NULL, 9), ('a', '/end.pdf', 'endlast', 10), ('', '/bare.pdf', NULL, 11)"""
+
+
+@query(f"SELECT page_id, tag AS element_tag, 'https://files.example.net' || path AS url, coalesce(label, url) AS label, CAST(place AS INTEGER) AS place FROM pages, (VALUES {_WALKED}) x(tag, path, label, place)")
+def e03_element_walk(spark, sf_dir):
+    """All kinds of elements behind each page, malformed: nested and open anchors, markers in quotes, comments and scripts, a weak end tag within a strong element."""
+    host = "https://files.example.net"
+    more = (
+        f"<video src={host}/v.mp4>old <b>player</b></video><a href='{host}/1.pdf'>one <a title='>' href=\"{host}/2.pdf?x=a>b\">two<!-- <a href={host}/no> --> b</a><audio src={host}/s.mp3 title=T></audio>"
+        f"<script>var s = '<a href={host}/no>no</a>';</script><IMG alt=Alt SRC='{host}/i.png'/><iframe src={host}/f></iframe><object data={host}/o.pdf>doc</object><embed src={host}/e.swf><source src={host}/q.ogg>"
+        f"<p>{host}/bare.pdf, {host}/1.pdf <!-- {host}/no.pdf --><a href={host}/end.pdf>end<div></a>last"
+    )
+    pages = table(spark, sf_dir, "pages").withColumn("html", F.concat("html", F.lit(more)))
+    found = studies.extract_links(pages, title="url").where(F.col("url").startswith(host))
+    return found.select("page_id", "element_tag", "url", "label", F.row_number().over(Window.partitionBy("page_id").orderBy("position")).alias("place"))
+
+
 _REAL = "trim(coalesce({c}, '')) <> '' AND lower(trim({c})) <> 'nome sobrenome'"
 
 

@@ -4,48 +4,59 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from medialake.functions import markup
 from medialake.functions import text as x
 from medialake.functions import times as t
 from medialake.functions import urls as u
 from medialake.operators import aggs, joins, pick
+from medialake.sources.scratch import stored
 from medialake.sources.tables import reset_then_set
 
-_TAGS = r"(?is)<a\b[^>]*>.*?</a>|<(?:a|audio|embed|iframe|img|object|source|video)\b[^>]*>"
+#: A bare address in text, with or without its scheme, up to a space, quote or closing bracket (fixed value).
+_ADDRESS = r"(?i)(?:https?:)?//[^\s<>\"')\]]+"
+_LINK = "struct<url:string,label:string,element_tag:string,is_raw:boolean>"
 
-#: A bare address in visible text, with or without its scheme, up to a space, quote or closing bracket.
-_ADDRESS = r"(?i)(?:\bhttps?:)?//[^\s<>\"')\]]+"
 
+def _unlinked(found: Column, linked: Column) -> Column:
+    """Of ``found`` (structs with url) those whose canonical address is not in ``linked`` and was not met before.
 
-def _attribute(tag, name: str):
-    return F.coalesce(*[F.nullif(F.regexp_extract(tag, rf"(?is)^<[^>]*?\s{name}\s*=\s*{q}", 1), F.lit("")) for q in (r'"([^"]*)"', r"'([^']*)'", r"([^\s>\"']+)")], F.lit(""))
+    Both are sorted together by address, links before what was found, so a first occurrence differs from the one before it.
+    """
+    place = F.transform(linked, lambda x: F.struct(u.canonical_url(x["url"]).alias("c"), F.lit(-1).alias("at"), x.alias("link")))
+    place = F.concat(place, F.transform(found, lambda x, i: F.struct(u.canonical_url(x["url"]).alias("c"), i.alias("at"), x.alias("link"))))
+    pairs = F.transform(F.array(F.array_sort(place)), lambda s: F.zip_with(s, F.concat(F.array(F.lit(None).cast("string")), F.transform(s, lambda x: x["c"])), lambda x, before: F.struct(x["at"].alias("at"), x["link"].alias("link"), x["c"].eqNullSafe(before).alias("again"))))
+    return F.transform(F.array_sort(F.filter(pairs[0], lambda x: (x["at"] >= 0) & ~x["again"])), lambda x: x["link"])
 
 
 def extract_links(pages: DataFrame, ident: str = "page_id", html: str = "html", link: str = "url", title: str | None = None) -> DataFrame:
     """Links of pages in order: ``ident, url, label, element_tag, is_raw, position``.
 
-    Tags first, in document order with the target their kind of tag has; then
-    addresses in the visible text that lead to a supported resource and are not
-    linked yet, each once. Works by expressions on each page alone; nothing is shuffled
-    but the numbering of raw addresses.
+    Elements first, in document order with the target their kind has; then
+    addresses in the text that lead to a supported resource and are not linked
+    yet, each once. Everything happens within the row of a page: nothing is
+    shuffled, and a page is read once.
     """
     fallback = F.col(title) if title else F.lit("")
-    tags = pages.select(ident, F.col(link).alias("__base"), fallback.alias("__title"), F.posexplode(F.regexp_extract_all(x.text(html), F.lit(_TAGS), F.lit(0))).alias("__at", "__tag"))
-    name = F.lower(F.regexp_extract("__tag", r"^<(\w+)", 1))
-    target = F.when(name == "a", _attribute(F.col("__tag"), "href")).when(name == "object", _attribute(F.col("__tag"), "data")).otherwise(_attribute(F.col("__tag"), "src"))
-    visible = x.unescape(F.regexp_replace(F.regexp_replace("__tag", r"(?is)^<a\b[^>]*>(.*?)(</a>)?$", "$1"), r"(?s)<[^>]*>", ""))
-    label = x.element_label(F.when(name == "a", visible).otherwise(""), _attribute(F.col("__tag"), "title"), _attribute(F.col("__tag"), "alt"), "__title")
-    linked = tags.select(ident, u.resolve_url(target, "__base").alias("url"), label.alias("label"), name.alias("element_tag"), F.lit(False).alias("is_raw"), F.col("__at").alias("__order")).where("url <> ''")
-    plain = x.unescape(F.regexp_replace(F.regexp_replace(x.text(html), r"(?is)<(script|style)\b.*?</\1>", " "), r"(?s)<[^>]*>", " "))
-    found = pages.select(ident, fallback.alias("label"), F.col(link).alias("__base"), F.posexplode(F.regexp_extract_all(plain, F.lit(_ADDRESS), F.lit(0))).alias("__order", "__raw"))
-    raw = found.select(ident, u.resolve_url("__raw", "__base").alias("url"), "label", "__order").withColumn("__c", u.canonical_url("url")).where((F.col("url") != "") & u.is_supported_url("url"))
-    raw = raw.join(linked.select(ident, u.canonical_url("url").alias("__c")).distinct(), [ident, "__c"], "left_anti")
-    raw = raw.groupBy(ident, "__c").agg(F.min_by(F.struct("url", "label"), "__order").alias("__r"), F.min("__order").alias("__order"))
-    raw = raw.select(ident, "__r.url", "__r.label", F.lit("").alias("element_tag"), F.lit(True).alias("is_raw"), "__order")
-    both = linked.unionByName(raw)
-    return both.withColumn("position", F.row_number().over(Window.partitionBy(ident).orderBy("is_raw", "__order"))).drop("__order")
+    rows = pages.select(F.col(ident).alias("id"), F.col(link).alias("base"), fallback.alias("title"), markup.elements(html).alias("seen"))
+    linked = F.filter(
+        F.transform("seen.found", lambda x: F.struct(u.resolve_url(x["target"], F.col("base")).alias("url"), _label(x, F.col("title")).alias("label"), x["tag"].alias("element_tag"), F.lit(False).alias("is_raw"))),
+        lambda x: x["url"] != "",
+    ).cast(f"array<{_LINK}>")
+    addresses = F.regexp_extract_all(F.coalesce("seen.words", F.lit("")), F.lit(_ADDRESS), F.lit(0))
+    found = F.transform(addresses, lambda a: F.struct(u.resolve_url(a, F.col("base")).alias("url"), F.col("title").alias("label"), F.lit("").alias("element_tag"), F.lit(True).alias("is_raw")))
+    found = F.filter(found, lambda x: (x["url"] != "") & u.is_supported_url(x["url"])).cast(f"array<{_LINK}>")
+    rows = rows.select("id", linked.alias("linked"), found.alias("found"))
+    both = rows.select("id", F.when(F.size("found") == 0, F.col("linked")).otherwise(F.concat("linked", _unlinked(F.col("found"), F.col("linked")))).alias("links"))
+    # the outer form, as the planner guards the other by a filter that computes all of the above once more
+    each = both.select(F.col("id").alias(ident), F.posexplode_outer("links").alias("place", "l")).where("place IS NOT NULL")
+    return each.select(ident, "l.*", (F.col("place") + 1).alias("position"))
+
+
+def _label(found: Column, fallback: Column) -> Column:
+    return x.element_label(found["label"], found["title"], found["alt"], fallback)
 
 
 def page_resources(links: DataFrame, pages: DataFrame, attachments: DataFrame, ident: str = "post_id") -> DataFrame:
@@ -70,7 +81,7 @@ def discover_studies(pages: DataFrame, roots: dict[str, str], weekly_root: str)
     kinds = spark.createDataFrame(list(roots.items()), "slug string, study_type string")
     live = pages.where("post_type = 'page' AND status = 'publish'")
     root_pages = live.join(kinds, "slug")
-    links = extract_links(live, "post_id", "content", "link", "title")
+    links = stored(extract_links(live, "post_id", "content", "link", "title"), "links")  # read three times below
     from_roots = links.where("element_tag = 'a'").join(root_pages.select("post_id", F.col("slug").alias("root_slug"), "study_type"), "post_id").withColumnRenamed("post_id", "root_id")
     reached = joins.resolve_links(from_roots, live.select("post_id", "link")).where("page_id IS NOT NULL AND page_id <> root_id")
     weekly = root_pages.where(F.col("slug") == weekly_root).select("post_id").first()
