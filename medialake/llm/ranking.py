@@ -88,7 +88,7 @@ class Slice:
     def __init__(self, texts: list[bytes], n_docs: int, n_terms: int, places: np.ndarray, width: int) -> None:
         words = Terms(texts)
         self.lengths = np.diff(words.first)
-        place = places[(words.hashes & np.uint64(COORDINATES - 1)).astype(np.int64)]
+        place = places[(words.hashes & np.uint64(len(places) - 1)).astype(np.int64)]
         used = place >= 0
         hashes, docs = words.hashes[used], words.doc[used]
         order = np.lexsort((hashes, docs))
@@ -114,13 +114,13 @@ class Slice:
 class Search:
     """A batch of queries with the weights of their terms, ready to meet documents."""
 
-    def __init__(self, queries: Queries, df: np.ndarray, n_docs: int, n_terms: int) -> None:
+    def __init__(self, queries: Queries, df: np.ndarray, n_docs: int, n_terms: int, size: int = COORDINATES) -> None:
         self.n_docs, self.n_terms = n_docs, n_terms
         each = np.array([weight(n_docs, int(x)) for x in df], dtype=np.int64)
         self.queries = [(queries.hashes[at], each[at] * times) for at, times in queries.terms]
-        coordinates = (queries.hashes & np.uint64(COORDINATES - 1)).astype(np.int64)
+        coordinates = (queries.hashes & np.uint64(size - 1)).astype(np.int64)
         looked_up = np.unique(coordinates)
-        self.places = np.full(COORDINATES, -1, dtype=np.int64)
+        self.places = np.full(size, -1, dtype=np.int64)
         self.places[looked_up] = np.arange(len(looked_up))
         self.width = len(looked_up)
         self.lookups = np.zeros((self.width, len(self.queries)))
@@ -211,7 +211,7 @@ def _batches(items: DataFrame) -> Iterator[list[tuple]]:
         yield held
 
 
-def rank_documents(docs: DataFrame, items: DataFrame, k: int = K, id_column: str = "doc_id", text_column: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def rank_documents(docs: DataFrame, items: DataFrame, k: int = K, coordinates: int = COORDINATES, id_column: str = "doc_id", text_column: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The ``k`` best documents for each item: ``item_id, rank, doc_id, score``, scores above 0 only.
 
     All documents count and are ranked, in whole. Null and empty texts have no
@@ -220,6 +220,8 @@ def rank_documents(docs: DataFrame, items: DataFrame, k: int = K, id_column: str
     item gets its rows again. Terms are told apart by 64-bit hashes. Empty
     tables give no rows; other columns are not looked at.
     """
+    if coordinates < 1 or coordinates & (coordinates - 1):
+        raise ValueError("coordinates is a power of two")
     spark = docs.sparkSession
     texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     path = fresh_path(spark, "ranked")
@@ -230,7 +232,7 @@ def rank_documents(docs: DataFrame, items: DataFrame, k: int = K, id_column: str
     for batch in _batches(items.select(F.col(item_id).alias("id"), F.col(item_text).alias("text"))):
         queries = Queries([text for _, text in batch])
         n_docs, n_terms, df = statistics(texts, queries)
-        best = _best_rows(texts, Search(queries, df, n_docs, n_terms), k)
+        best = _best_rows(texts, Search(queries, df, n_docs, n_terms, coordinates), k)
         named = spark.createDataFrame([(q, ident) for q, (ident, _) in enumerate(batch)], names)
         best.join(named, "query").select(*schema.names).write.mode("append").parquet(path)
     return spark.read.schema(schema).parquet(path)
