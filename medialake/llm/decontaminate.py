@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column, gram_hashes, mix, row_slices, seeds, stored, text_bytes
+from .common import column, free_name, gram_hashes, mix, row_slices, seeds, stored, text_bytes
 
 WINDOW = 13
 #: Benchmark text that is collected and broadcast at once.
@@ -105,18 +105,19 @@ _MEASURES = (("n_words", "bigint"), ("n_hit", "bigint"), ("n_items", "bigint"),
 def _scan(docs: DataFrame, benchmark: DataFrame, text_column: str, id_column: str, item_text: str, window: int, finish, schema: T.StructType) -> DataFrame:
     """Scan ``docs`` against all blocks; ``finish(batch, words, ranges, items)`` makes the rows of the last one."""
     names = docs.columns
-    now = docs
+    at, whose = free_name(names, "__ranges"), free_name(names, "__items")
+    now, first = docs, True
     for last, items in _blocks(benchmark, id_column, item_text):
         grams = docs.sparkSession.sparkContext.broadcast(GramSet(items, window))
 
-        def step(batches, grams=grams, last=last):
+        def step(batches, grams=grams, first=first, last=last):
             for batch in row_slices(batches, text_column):
                 words = [words_of(x) for x in text_bytes(batch, text_column)]
                 found = grams.value.scan(words)
                 ranges = [found[k][0] if k in found else [] for k in range(len(words))]
                 owners = [found[k][1] if k in found else set() for k in range(len(words))]
-                if "__ranges" in batch.schema.names:
-                    for k, (r, o) in enumerate(zip(column(batch, "__ranges").to_pylist(), column(batch, "__items").to_pylist(), strict=True)):
+                if not first:
+                    for k, (r, o) in enumerate(zip(column(batch, at).to_pylist(), column(batch, whose).to_pylist(), strict=True)):
                         ranges[k] = ranges[k] + list(zip(r[::2], r[1::2], strict=True))
                         owners[k] = owners[k] | set(o)
                 rows = batch.select(names)
@@ -125,12 +126,12 @@ def _scan(docs: DataFrame, benchmark: DataFrame, text_column: str, id_column: st
                 else:
                     yield pa.RecordBatch.from_arrays(
                         [*rows.columns, pa.array([[x for ab in r for x in ab] for r in ranges], pa.list_(pa.int32())), pa.array([sorted(o) for o in owners], pa.list_(pa.string()))],
-                        schema=pa.schema([*rows.schema, pa.field("__ranges", pa.list_(pa.int32())), pa.field("__items", pa.list_(pa.string()))]),
+                        schema=pa.schema([*rows.schema, pa.field(at, pa.list_(pa.int32())), pa.field(whose, pa.list_(pa.string()))]),
                     )
 
-        more = T.StructType([*docs.schema.fields, T.StructField("__ranges", T.ArrayType(T.IntegerType())), T.StructField("__items", T.ArrayType(T.StringType()))])
+        more = T.StructType([*docs.schema.fields, T.StructField(at, T.ArrayType(T.IntegerType())), T.StructField(whose, T.ArrayType(T.StringType()))])
         now = now.mapInArrow(step, schema if last else more)
-        now = now if last else stored(now, "decontaminate")
+        now, first = now if last else stored(now, "decontaminate"), False
     return now
 
 
@@ -153,10 +154,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_c
     Adds n_words, n_hit, n_items, items_sha256 and contaminated. A null or empty
     text has no words and is clean. Items without words have no windows; items
     are told apart by their id (null counts as an empty id), so repeated items
-    count once. Repeated documents give repeated rows.
+    count once. Repeated documents give repeated rows. Without documents there
+    are no rows, without items every document is clean. Kept columns may have
+    any names but those that are added.
     """
-    taken = docs.select(*keep, *[F.col(text_column).alias("__text")])
-    fields = [f for f in taken.schema.fields if f.name != "__text"]
+    text = free_name(keep, "__text")
+    taken = docs.select(*keep, F.col(text_column).alias(text))
+    fields = [f for f in taken.schema.fields if f.name != text]
     schema = T.StructType([*fields, *[T.StructField(n, T._parse_datatype_string(t)) for n, t in _MEASURES]])
 
     def finish(batch, words, ranges, owners):
@@ -164,7 +168,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_c
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
         return pa.RecordBatch.from_arrays([*[column(batch, f.name) for f in fields], *[pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)]], names=schema.names)
 
-    return _scan(taken, benchmark, "__text", id_column, item_text, window, finish, schema)
+    return _scan(taken, benchmark, text, id_column, item_text, window, finish, schema)
 
 
 def _without(raw: bytes, ranges: list[tuple[int, int]]) -> str:
@@ -182,7 +186,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents"
     """``docs`` without its contaminated documents, or (``mode="spans"``) without the repeated words.
 
     All columns are kept as they are, whatever their names. Clean documents come
-    back unchanged; null texts stay null.
+    back unchanged; null texts stay null. Without documents there are no rows,
+    without items all documents stay.
     """
 
     def finish(batch, words, ranges, owners):

@@ -218,7 +218,8 @@ def rank_documents(docs: DataFrame, items: DataFrame, k: int = K, coordinates: i
     terms: such items get no rows, such documents are never found. Equal scores
     rank by id, null first; repeated documents rank one by one, and a repeated
     item gets its rows again. Terms are told apart by 64-bit hashes. Empty
-    tables give no rows; other columns are not looked at.
+    tables give no rows; other columns are not looked at. ``coordinates`` is the
+    size of a sketch, a power of two: fewer loosen the bounds, results stay.
     """
     if coordinates < 1 or coordinates & (coordinates - 1):
         raise ValueError("coordinates is a power of two")

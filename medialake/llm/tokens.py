@@ -14,7 +14,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import column, fresh_path, row_slices
@@ -198,10 +198,17 @@ def read_tokens(spark, path: str, ids: bool = True) -> DataFrame:
     return rows.select("*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
 
 
+def file_number(file: Column) -> Column:
+    return F.regexp_extract(file, r"part-(\d+)[^/]*$", 1).try_cast("long")
+
+
 def file_bases(spark, path: str) -> DataFrame:
-    """For each token file the ids of all files before it: one row per file meets in one task."""
+    """For each token file the ids of all files before it: one row per file meets in one task.
+
+    Files come by the number in their names, which has five digits or more.
+    """
     totals = read_tokens(spark, path, ids=False).groupBy("file").agg(F.sum("n_tokens").alias("total"))
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy(file_number(F.col("file")), "file").rowsBetween(Window.unboundedPreceding, -1)
     return totals.select("file", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
 
 

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 import public_tokenizers
 from medialake.llm import common, decontaminate, media, neardup, secret_scan, substring, tokens, toxicity
 from medialake.llm.bpe import ByteBPE
@@ -175,3 +176,27 @@ def test_network_learns_and_keeps_recall():
     network.train(codes[::2], y[::2])
     z = network.logits(codes[1::2])
     assert ((z > 0) == (y[1::2] == 1)).mean() > 0.95
+
+
+def test_token_files_come_by_number(spark):
+    names = [f"part-{n:05d}-abc.c000.parquet" for n in (2, 99_999, 100_000, 100_001, 10)]
+    rows = spark.createDataFrame([(n, f"part-{n}") for n in names], "file string, other string")
+    assert [r.file for r in rows.orderBy(tokens.file_number(F.col("file"))).collect()] == [names[k] for k in (0, 4, 1, 2, 3)]
+
+
+@pytest.mark.parametrize("blocks", [1, 3])
+def test_decontaminate_with_clashing_names(spark, monkeypatch, blocks):
+    words = [f"w{k}" for k in range(60)]
+    docs = spark.createDataFrame([(1, " ".join(words[:20]), "x", [9], "y"), (2, " ".join(words[30:]), "x", None, None), (3, None, None, [], "")], "doc_id long, body string, __text string, __ranges array<int>, __items string")
+    items = spark.createDataFrame([(7, " ".join(words[2:16])), (8, "other words here"), (9, "more of them")], "item_id long, text string")
+    if blocks > 1:
+        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 100)
+    kept = ["doc_id", "__text", "__ranges", "__items"]
+    got = {r.doc_id: r for r in decontaminate.contamination(docs, items, kept, text_column="body").collect()}
+    assert [(got[k].n_hit, got[k].contaminated, got[k]["__text"], got[k]["__ranges"], got[k]["__items"]) for k in (1, 2, 3)] == [(14, True, "x", [9], "y"), (0, False, "x", None, None), (0, False, None, [], "")]
+    left = decontaminate.decontaminate(docs, items, text_column="body")
+    assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect()) == [2, 3]
+    cut = {r.doc_id: r.body for r in decontaminate.decontaminate(docs, items, mode="spans", text_column="body").collect()}
+    assert cut[1].split() == words[:2] + words[16:20] and cut[3] is None
+    assert decontaminate.contamination(docs.limit(0), items, kept, text_column="body").count() == 0
+    assert decontaminate.decontaminate(docs, items.limit(0), text_column="body").count() == 3
