@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from medialake.functions.text import fold, is_blank, is_study_playlist, text
+from medialake.sources import pointer
 
 VIDEO = "video_id string, title string, description string, published_at string, playlist_added_at string, url string, is_live boolean, live_start_time string, duration string, view_count string, playlists array<string>"
 PAYLOAD = (
@@ -22,13 +23,13 @@ SCHEMA_VERSION = 2
 
 
 def read_videos(spark: SparkSession, path: str) -> DataFrame:
-    """Video listings, one JSON array a file; rows without an id are dropped."""
-    return spark.read.schema(VIDEO).option("multiLine", True).json(path).where(~is_blank("video_id"))
+    """Video listings, one JSON array a file; rows without an id are dropped. Documents of ``write_json`` are found by their pointer."""
+    return spark.read.schema(VIDEO).option("multiLine", True).json(pointer.resolve(spark, path)).where(~is_blank("video_id"))
 
 
 def read_study_payload(spark: SparkSession, path: str) -> DataFrame:
     """Playlists of study payloads, one row each with their videos; another schema version fails the job."""
-    payload = spark.read.schema(PAYLOAD).option("multiLine", True).json(path)
+    payload = spark.read.schema(PAYLOAD).option("multiLine", True).json(pointer.resolve(spark, path))
     checked = payload.where(F.when(F.col("schema_version") == SCHEMA_VERSION, True).otherwise(F.raise_error(F.concat(F.lit("schema_version "), F.coalesce(F.col("schema_version").cast("string"), F.lit("missing"))))))
     return checked.select("captured_at", "complete_snapshot", F.inline_outer("playlists"))
 

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from medialake.functions.text import blank_to_null
+from medialake.sources import pointer
 
 
 class Policy(enum.Enum):
@@ -128,21 +129,19 @@ DOCUMENT_ROWS = 10_000
 
 
 def write_json(df: DataFrame, path: str) -> None:
-    """Rows as JSON documents, each file one array; what lay at ``path`` is replaced once all files are written.
+    """Rows as JSON documents, each file one array, in a new folder below ``path`` that one pointer then names.
 
-    The files are written beside it first and take its place by a rename, so a
-    failed run leaves the old ones. No rows give a folder without files.
+    ``pointer.resolve(path)`` leads readers to the documents: to the old ones
+    until the pointer moves, to the new ones after; a failed run leaves the old
+    ones. Those before the last are deleted, so a reader has one write's time to
+    finish. No rows give a folder without files.
     """
+    spark, root = df.sparkSession, path.rstrip("/")
     slices = [F.spark_partition_id(), F.floor(F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) / DOCUMENT_ROWS)]
     documents = df.select(F.struct(*df.columns).alias("row"), *[s.alias(f"slice{k}") for k, s in enumerate(slices)]).groupBy("slice0", "slice1").agg(F.to_json(F.collect_list("row")).alias("value"))
-    beside = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
-    documents.select("value").write.option("maxRecordsPerFile", 1).text(beside)
-    jvm = df.sparkSession._jvm
-    old, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(beside)
-    fs = new.getFileSystem(df.sparkSession._jsc.hadoopConfiguration())
-    fs.delete(old, True)
-    if not fs.rename(new, old):
-        raise OSError(f"{beside} could not take the place of {path}")
+    after, name = pointer.current(spark, root)[0], f"documents-{uuid.uuid4().hex}"
+    documents.select("value").write.option("maxRecordsPerFile", 1).text(f"{root}/{name}")
+    pointer.drop_before(spark, root, pointer.publish(spark, root, name, after) - 1)
 
 
 CSV_COLUMNS = ("preaching_date", "title", "preacher_name", "source_system", "metric_key", "entity_id", "detail", "link")

@@ -22,7 +22,7 @@ def test_json_documents_are_split(spark, tmp_path, monkeypatch):
     path = f"file://{tmp_path}/videos"
     tables.write_json(spark.range(95).select(F.col("id").cast("string").alias("video_id")).coalesce(1), path)
     assert readers.read_videos(spark, path).count() == 95
-    assert len(list((tmp_path / "videos").glob("part-*"))) == 10
+    assert len(list((tmp_path / "videos").glob("documents-*/part-*"))) == 10
 
 
 def test_equal_titles_stay_rows(spark):
