@@ -86,9 +86,11 @@ def t13_speaker(spark, sf_dir):
     return c.select("c_custkey", x.speaker_from_html(F.concat(F.lit("<p>Mensagem Por "), F.col("c_name"), F.lit(" | 2020<br>por outro</p>"))).alias("speaker"))
 
 
-@query("""SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS date, 'Ana' AS speaker FROM orders WHERE o_orderdate >= TIMESTAMP '2000-01-01'""")
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 1 THEN '20' || strftime(o_orderdate, '%y-%m-%d') WHEN o_orderkey % 4 = 0 AND o_orderdate < TIMESTAMP '2000-01-01' THEN '' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS date,
+  CASE WHEN o_orderkey % 4 = 0 AND o_orderdate < TIMESTAMP '2000-01-01' THEN '' ELSE 'Ana' END AS speaker FROM orders""")
 def t14_file_info(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where("o_orderdate >= TIMESTAMP '2000-01-01'")
+    """Years of two digits are of this century, and dates ahead of a word are taken from 2000 on."""
+    o = table(spark, sf_dir, "orders")
     f = lambda p: F.date_format("o_orderdate", p)
     names = F.element_at(
         F.array(F.concat(f("yyyy_MM_dd"), F.lit("_Ana.mp3")), F.concat(F.lit("Ana_"), f("dd_MM_yy"), F.lit(".mp3")), F.concat(F.lit("Ana "), f("dd.MM.yyyy"), F.lit(".mp3")), F.concat(F.lit("Ana "), f("dd-MM-yyyy"), F.lit(".mp3"))),

@@ -70,22 +70,58 @@ def load_videos(videos: DataFrame, aliases: DataFrame, now: dt.datetime, date: s
     return provenance, resolved.select(*METADATA), media
 
 
+#: Numbers of books as titles write them, and the words that join two numbers (fixed values).
+ROMAN = {"I": "1", "II": "2", "III": "3"}
+JOINERS = ("a", "e")
+
+
+def numbered(title: Column) -> Column:
+    """A title with roman book numbers as digits and joined numbers as ranges, by its words, numbers, spaces and signs."""
+    pieces = F.regexp_extract_all(title, F.lit(r"[\p{L}\p{M}]+|[0-9]+|\s+|[^\p{L}\p{M}0-9\s]"), F.lit(0))
+
+    def mapped(given: Column) -> Column:
+        near = lambda k, step: F.get(given, k + step)
+        blank, digits = lambda c: F.coalesce(F.trim(c) == "", F.lit(False)), lambda c: F.coalesce(c.rlike("^[0-9]"), F.lit(False))
+        before = lambda k: F.when(blank(near(k, -1)), near(k, -2)).otherwise(near(k, -1))
+        behind = lambda k: F.when(blank(near(k, 1)), near(k, 2)).otherwise(near(k, 1))
+        joins_ = lambda x, k: x.isin(*JOINERS) & digits(before(k)) & digits(behind(k))
+        roman = F.create_map(*[F.lit(v) for pair in ROMAN.items() for v in pair])
+
+        def piece(x: Column, k: Column) -> Column:
+            counts = x.isin(*ROMAN) & blank(near(k, 1)) & ~F.coalesce(near(k, -1).rlike("^[0-9_]"), F.lit(False))
+            beside = blank(x) & (joins_(near(k, 1), k + 1) | joins_(near(k, -1), k - 1))
+            return F.when(counts, roman[x]).when(joins_(x, k), "-").when(beside, "").when(blank(x), " ").otherwise(x)
+
+        return F.array_join(F.transform(given, piece), "")
+
+    return F.transform(F.array(pieces), mapped)[0]
+
+
+def place_in_book(rest: Column) -> Column:
+    """`` chapter:verses`` by the first number of a text, the verses behind a colon and up to a hyphen's other side; empty without a number."""
+    leading = lambda c: F.regexp_extract(c, "^[0-9]+", 0)
+    after = lambda c, part: F.substring(c, F.length(part) + 1, F.length(c))
+    from_number = F.regexp_extract(rest, "[0-9].*", 0)
+    chapter = leading(from_number)
+    behind = after(from_number, chapter)
+    verses = F.when(behind.startswith(":"), F.ltrim(F.substring(behind, 2, 1 << 20))).otherwise("")
+    verse = leading(verses)
+    to = after(verses, verse)
+    last = F.when(to.startswith("-") & (verse != ""), leading(F.substring(to, 2, 1 << 20))).otherwise("")
+    shown = F.concat(F.when(verse != "", F.concat(F.lit(":"), verse)).otherwise(""), F.when(last != "", F.concat(F.lit("-"), last)).otherwise(""))
+    return F.when(chapter == "", "").otherwise(F.concat(F.lit(" "), chapter, shown))
+
+
 def extract_reference(df: DataFrame, title: str, books: DataFrame, name: str = "text_reference") -> DataFrame:
     """``df`` with the scripture reference of a title: first book in canon order, then chapter and verses behind it.
 
     ``books(position, folded, book)`` has one row per book.
     """
-    plain = x.clean_title(title)
-    for roman, number in (("I", "1"), ("II", "2"), ("III", "3")):
-        plain = F.regexp_replace(plain, rf"\b{roman}\s+", f"{number} ")
-    for word in ("a", "e"):
-        plain = F.regexp_replace(plain, rf"(\d+)\s*{word}\s*(\d+)", "$1-$2")
-    keyed = df.withColumn("__folded", x.fold(plain))
+    keyed = df.withColumn("__folded", x.fold(numbered(x.clean_title(title))))
     distinct = keyed.select("__folded").distinct()
     found = joins.match_books(distinct, books, "__folded", "__folded", alike=True).where("book IS NOT NULL")
     rest = F.substring(F.col("__folded"), F.instr("__folded", F.col("folded")) + F.length("folded"), F.length("__folded"))
-    chapter, verse = (F.regexp_extract(rest, r"(\d+)(?::\s*(\d+(?:-\d+)?))?", k) for k in (1, 2))
-    shown = F.concat(F.col("book"), F.when(chapter != "", F.concat(F.lit(" "), chapter)).otherwise(""), F.when(verse != "", F.concat(F.lit(":"), verse)).otherwise(""))
+    shown = F.concat(F.col("book"), place_in_book(rest))
     return keyed.join(found.select("__folded", shown.alias(name)), "__folded", "left").withColumn(name, x.text(name)).drop("__folded")
 
 

@@ -146,3 +146,53 @@ def test_missing_sundays(spark):
     why = spark.createDataFrame([("2026-10-04", "chuva")], "preaching_date string, reason string")
     got = t.missing_weekdays(have, why, dt.date(2026, 9, 27), dt.date(2026, 10, 22), grace=10).collect()
     assert [(str(r.day), r.justified) for r in sorted(got)] == [("2026-10-04", True), ("2026-10-11", False)]
+
+
+@pytest.mark.parametrize(
+    ("name", "want"),
+    [
+        ("https://h/up/2020_01_02_Ana.mp3", ("2020-01-02", "Ana")), ("12020-01-02-Ana.mp3", ("2020-01-02", "Ana")), ("Ana_02_01_20.mp3", ("2020-01-02", "Ana")), ("Ana-02-01-2019.mp3", ("2020-01-02", "Ana")),
+        ("Ana 02.01.2019.mp3", ("2019-01-02", "Ana")), ("Ana 02-01-2019.mp3", ("2019-01-02", "Ana")), ("Zé-Ana 02-01-2019_1.mp3", ("2019-01-02", "Ana")), ("1999_01_02_Ana.mp3", ("", "")), ("Ana  02-01-2019.mp3", ("", "")),
+        ("Rui_1_01_20.mp3", ("", "")), ("Rui_01_02_20_2021_03_04_Ana.mp3", ("2021-03-04", "Ana")), ("plain.mp3", ("", "")), ("", ("", "")), (None, ("", "")),
+    ],
+)
+def test_file_names(spark, name, want):
+    assert tuple(value(spark, x.file_info("c"), c=name)) == want
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [("<p>por Ana Souza, 2020</p>", "Ana Souza"), ("POR\n Rui<br>", "Rui"), ("por <b>x</b> por Zé - y", "Zé"), ("por Ana\nRui", "Ana"), ("sem nome", ""), ("", ""), (None, ""), ("vapor d'água | x", "d'água")],
+)
+def test_speakers_in_html(spark, html, want):
+    assert value(spark, x.speaker_from_html("c"), c=html) == want
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [('<a href="http://h/a.pdf"><a href=\'x https://h/b.MP3 \'>', "https://h/b.MP3"), ("see http://h/a.ogg", "http://h/a.ogg"), ('"https://h/a.mp3?x"', ""), ("a.mp3", ""), (None, "")],
+)
+def test_audio_addresses(spark, html, want):
+    assert value(spark, x.first_audio_url("c"), c=html) == want
+
+
+@pytest.mark.parametrize(("title", "want"), [("Estudo 12 - x", 12), ("estudo  7", 7), ("12b", 9999), ("3. y", 3), (" 4", 9999), ("Estudo", 9999), ("", 9999), (None, 9999)])
+def test_numbers_of_courses(spark, title, want):
+    assert value(spark, x.study_place(F.lit("pfd"), "c", F.lit("2020")), c=title) == want
+
+
+@pytest.mark.parametrize(
+    ("title", "want"),
+    [("I  João 3: 16 a 18", "1 João 3: 16-18"), ("II Samuel 7 e 8", "2 Samuel 7-8"), ("III x IV", "3 x IV"), ("de 1 a 2 a 3 e 4", "de 1-2-3-4"), ("a e 1 a b", "a e 1 a b"), ("2I x", "2I x"), ("ação  1a2", "ação 1-2"), ("", "")],
+)
+def test_numbers_in_titles(spark, title, want):
+    from medialake.plans import talks
+
+    assert value(spark, talks.numbered(F.col("c")), c=title) == want
+
+
+@pytest.mark.parametrize(("rest", "want"), [(" 3:16-18 b", " 3:16-18"), ("x 3 : 4", " 3"), ("3:  4-b", " 3:4"), (" cap. 12", " 12"), ("-", ""), ("", "")])
+def test_places_in_books(spark, rest, want):
+    from medialake.plans import talks
+
+    assert value(spark, talks.place_in_book(F.col("c")), c=rest) == want
