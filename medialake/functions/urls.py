@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import col, text, unescape
+from .text import col, let, text, unescape
 
 _SYNTAX = r"^(?:([^:/?#]+):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?"
 
@@ -26,11 +26,6 @@ DOCUMENT_HOSTS = ("docs.google.com", "drive.google.com")
 MIME_TYPES = {"mp3": "audio/mpeg", "m4a": "audio/mp4", "wav": "audio/wav", "ogg": "audio/ogg"}
 
 
-def let(value: Column, use) -> Column:
-    """``use(value)`` with the value computed once, where an expression would repeat it many times."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def part(c: Column | str, which: str) -> Column:
     """``scheme``, ``authority``, ``path``, ``query`` or ``fragment`` of a URL; missing parts are empty."""
     return F.regexp_extract(text(c), _SYNTAX, 1 + ("scheme", "authority", "path", "query", "fragment").index(which))
