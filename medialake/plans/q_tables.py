@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from medialake.bindings import table
+from medialake.bindings import cte, table, view
 from medialake.plans.q_catalog import _UP, _upsert_frames
 from medialake.plans.registry import query
 from medialake.sources.buckets import BucketTable
 from medialake.sources.scratch import fresh_path
 from medialake.sources.tables import Policy
+from medialake.streaming import visitors
 
 _CUSTOMER = "k long, name string, serie string, bal double"
 
@@ -93,3 +96,25 @@ def s07_scan(spark, sf_dir):
     for f in found[1:]:
         out = out.unionByName(f)
     return out
+
+
+_VISITS = """seen AS (SELECT visitor_id_hash, occurred_at, CASE WHEN occurred_at - lag(occurred_at) OVER (PARTITION BY visitor_id_hash ORDER BY occurred_at) <= INTERVAL 36 HOUR THEN 0 ELSE 1 END AS fresh FROM v_events),
+visits AS (SELECT *, sum(fresh) OVER (PARTITION BY visitor_id_hash ORDER BY occurred_at ROWS UNBOUNDED PRECEDING) AS visit FROM seen)"""
+
+
+@query(
+    cte("v_events", more=_VISITS)
+    + """SELECT visitor_id_hash, min(occurred_at) AS first_seen_at, max(occurred_at) AS last_seen_at FROM visits
+WHERE visit = (SELECT max(v.visit) FROM visits v WHERE v.visitor_id_hash = visits.visitor_id_hash) GROUP BY visitor_id_hash HAVING max(occurred_at) >= (SELECT max(occurred_at) - INTERVAL 36 HOUR FROM v_events)"""
+)
+def x03_visitor_state(spark, sf_dir):
+    """All events as a stream of ten days a batch; visitors are forgotten after 36 hours, so most come back as new ones."""
+    path, root = fresh_path(spark, "sightings"), fresh_path(spark, "visitors")
+    rows = view(spark, sf_dir, "v_events").select("visitor_id_hash", "occurred_at")
+    end = rows.agg(F.max("occurred_at")).first()[0]
+    for k in range(3):  # files of their own, in order of time
+        rows.where(F.floor(F.datediff(F.lit(end), "occurred_at") / 10) == 2 - k if k else F.datediff(F.lit(end), "occurred_at") >= 20).coalesce(1).write.mode("append").parquet(path)
+    table_ = visitors.visitor_table(spark, f"{root}/table", buckets=8)
+    source = spark.readStream.schema("visitor_id_hash string, occurred_at timestamp").option("maxFilesPerTrigger", 1).parquet(path)
+    visitors.track_visitors(source, table_, f"{root}/checkpoint", days=1.5)
+    return visitors.known_since(table_, end - dt.timedelta(hours=36))
