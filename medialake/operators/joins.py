@@ -9,7 +9,7 @@ from medialake.functions.similar import first_alike
 from medialake.functions.text import is_blank, text
 from medialake.functions.urls import canonical_url, query_value
 from medialake.operators.pick import latest, rows_by
-from medialake.sources.scratch import fresh_path
+from medialake.sources.scratch import stored
 
 
 def with_parent(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:
@@ -141,23 +141,48 @@ def resolve_links(links: DataFrame, pages: DataFrame, url: str = "url") -> DataF
 def descendants(df: DataFrame, ident: str, parent: str, root: str, depth: int | None = None) -> DataFrame:
     """Ids at or below a root with their least ``level``, down to ``depth`` or to the end.
 
-    Works outwards level by level, each stored in the shared folder; ids that
-    were found before are not followed again, so cycles end.
+    Where every id has one parent, pointers are doubled: each round an id looks
+    where the id it points to points, so a path of n steps takes log2(n) rounds,
+    and what has not reached the root by then hangs on a cycle or leads nowhere.
+    Ids with several parents are searched level by level.
     """
-    spark = df.sparkSession
+    rows = df.select(F.col(ident).alias("id"), F.col(parent).alias("parent")).where("id IS NOT NULL").distinct()
+    several = rows.groupBy("id").agg(F.count("parent").alias("n")).where("n > 1")
+    out = _by_levels(rows, root, depth) if not several.isEmpty() else _by_doubling(rows, root)
+    return out if depth is None else out.where(F.col("level") <= depth)
+
+
+def _by_doubling(rows: DataFrame, root: str) -> DataFrame:
+    top = F.lit(root)
+    found = stored(rows.where(F.col("id") == top).select("id").distinct().withColumn("level", F.lit(0)), "found")
+    if found.isEmpty():
+        return found
+    start = rows.where((F.col("id") != top) & F.col("parent").isNotNull()).select("id", F.col("parent").alias("at"), F.lit(1).alias("level"))
+    settled = [stored(start.where(F.col("at") == top), "settled")]
+    going = stored(start.where(F.col("at") != top), "going")
+    for _ in range(max(1, going.count()).bit_length() + 1):
+        if going.isEmpty():
+            break
+        known = going
+        for s in settled:
+            known = known.unionByName(s)
+        ahead = known.select(F.col("id").alias("at"), F.col("at").alias("next"), F.col("level").alias("more"))
+        moved = stored(going.join(ahead, "at").select("id", F.col("next").alias("at"), (F.col("level") + F.col("more")).alias("level")), "moved")
+        settled.append(moved.where(F.col("at") == top))
+        going = moved.where(F.col("at") != top)
+    for s in settled:
+        found = found.unionByName(s.select("id", "level"))
+    return found
 
-    def kept(level: DataFrame) -> DataFrame:
-        path = fresh_path(spark, "level")
-        level.write.parquet(path)
-        return spark.read.schema(level.schema).parquet(path)
 
-    rows = df.select(F.col(ident).alias("id"), F.col(parent).alias("__parent"))
-    found = last = kept(rows.where(F.col("id") == F.lit(root)).select("id").distinct().withColumn("level", F.lit(0)))
+def _by_levels(rows: DataFrame, root: str, depth: int | None) -> DataFrame:
+    """Outwards from the root, each level stored; ids found before are not followed again, so cycles end."""
+    found = last = stored(rows.where(F.col("id") == F.lit(root)).select("id").distinct().withColumn("level", F.lit(0)), "level")
     level = 0
     while (depth is None or level < depth) and not last.isEmpty():
         level += 1
-        below = rows.join(last.select(F.col("id").alias("__parent")), "__parent").select("id").distinct()
-        last = kept(below.join(found, "id", "left_anti").withColumn("level", F.lit(level)))
+        below = rows.join(last.select(F.col("id").alias("parent")), "parent").select("id").distinct()
+        last = stored(below.join(found, "id", "left_anti").withColumn("level", F.lit(level)), "level")
         found = found.unionByName(last)
     return found
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from medialake.bindings import cte, table, view
+from medialake.operators import grams, joins
 from medialake.plans.q_catalog import _UP, _upsert_frames
 from medialake.plans.registry import query
 from medialake.sources.buckets import BucketTable
@@ -118,3 +119,30 @@ def x03_visitor_state(spark, sf_dir):
     source = spark.readStream.schema("visitor_id_hash string, occurred_at timestamp").option("maxFilesPerTrigger", 1).parquet(path)
     visitors.track_visitors(source, table_, f"{root}/checkpoint", days=1.5)
     return visitors.known_since(table_, end - dt.timedelta(hours=36))
+
+
+_SEARCHED = ["title", "preacher_name", "serie", "text_reference"]
+_ASKED = ("Urgent", "e", "build%ing", "FRANCE 1", "er#0000000", "nowhere")
+_FOUND = " OR ".join(f"lower(coalesce({c}, '')) LIKE '%' || lower(q) || '%'" for c in _SEARCHED)
+
+
+@query(cte("v_gold") + f"SELECT q, canonical_sermon_id FROM v_gold, (VALUES {', '.join(f'({a!r})' for a in _ASKED)}) x(q) WHERE {_FOUND}")
+def f05_search_postings(spark, sf_dir):
+    """Questions through stored postings of the whole catalogue: frequent and rare parts, a single letter, a wildcard, nothing to find."""
+    g = view(spark, sf_dir, "v_gold").select("canonical_sermon_id", *_SEARCHED)
+    stored = grams.store_postings(g, "canonical_sermon_id", _SEARCHED, fresh_path(spark, "postings"))
+    found = [grams.search_postings(g, "canonical_sermon_id", _SEARCHED, a, stored).select(F.lit(a).alias("q"), "canonical_sermon_id") for a in _ASKED]
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+@query("SELECT p_partkey AS id, CAST(CASE WHEN p_partkey % 3 = 0 THEN p_partkey / 3 + 1 ELSE -1 END AS INTEGER) AS level FROM part WHERE p_partkey % 3 = 0")
+def j17_long_chain(spark, sf_dir):
+    """A chain through a third of all parts, beside a cycle and pages whose parents are missing."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"))
+    parent = F.when(F.col("id") % 3 == 0, F.when(F.col("id") == 0, -1).otherwise(F.col("id") - 3)).when(F.col("id") % 3 == 1, F.when(F.col("id") == 1, 4).otherwise(F.col("id") - 3)).otherwise(F.col("id") + 1_000_000)
+    root = spark.range(1).select(F.lit(-1).cast("long").alias("id"), F.lit(None).cast("long").alias("parent"))
+    tree = p.withColumn("parent", parent).unionByName(root)
+    return joins.descendants(tree, "id", "parent", -1).where("level > 0")

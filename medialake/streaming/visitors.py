@@ -49,18 +49,23 @@ class Visitor(StatefulProcessor):
         self.handle = handle
         self.seen = handle.getValueState("seen", "first long, last long")
 
+    def _end(self, last: int) -> int:
+        """The first millisecond at which a visitor last seen then is forgotten."""
+        return (last + self.horizon) // 1000 + 1
+
     def _row(self, key, first: int, last: int, expired: bool) -> pd.DataFrame:
         stamps = pd.to_datetime([first, last], unit="us")
         return pd.DataFrame({"visitor_id_hash": [key[0]], "first_seen_at": [stamps[0]], "last_seen_at": [stamps[1]], "expired": [expired]})
 
     def handleInputRows(self, key, rows, timerValues):
         times = [np.asarray(r["occurred_at"].astype("datetime64[us]"), dtype="datetime64[us]").astype(np.int64) for r in rows]  # eight bytes a sighting
-        known = self.seen.get() if self.seen.exists() else None
-        first, last = last_visit(np.concatenate(times), known and (int(known[0]), int(known[1])), self.horizon)
+        known = self.seen.get()
+        known = known and (int(known[0]), int(known[1]))
+        first, last = last_visit(np.concatenate(times), known, self.horizon)
         self.seen.update((first, last))
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old)
-        self.handle.registerTimer((last + self.horizon) // 1000 + 1)
+        if known:
+            self.handle.deleteTimer(self._end(known[1]))
+        self.handle.registerTimer(self._end(last))
         yield self._row(key, first, last, False)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
