@@ -14,6 +14,7 @@ from medialake.plans import q_analytics, serving, studies, talks
 from medialake.plans.registry import query
 from medialake.sources import readers
 from medialake.sources import tables as k
+from medialake.sources.days import DayTable
 from medialake.sources.scratch import fresh_path
 from medialake.streaming import events as stream
 
@@ -255,7 +256,7 @@ def x03_visitors(spark, sf_dir):
 def x04_expire(spark, sf_dir):
     """Two batches, one of them written twice; days before the horizon are dropped and the day it falls on is cut."""
     now = dt.datetime(2024, 1, 31, 6)
-    store = k.DayTable(spark, fresh_path(spark, "days"), "event_id string, occurred_at timestamp, event_type string", "occurred_at")
+    store = DayTable(spark, fresh_path(spark, "days"), "event_id string, occurred_at timestamp, event_type string", "occurred_at")
     rows = view(spark, sf_dir, "v_events").select("event_id", "occurred_at", "event_type")
     for part in (0, 1, 1):
         store.put(rows.where(F.col("event_id").cast("long") % 2 == part), f"b{part}")

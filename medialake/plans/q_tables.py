@@ -12,6 +12,7 @@ from medialake.operators import grams, joins
 from medialake.plans.q_catalog import _UP, _upsert_frames
 from medialake.plans.registry import query
 from medialake.sources.buckets import BucketTable
+from medialake.sources.days import DayTable
 from medialake.sources.scratch import fresh_path
 from medialake.sources.tables import Policy
 from medialake.streaming import visitors
@@ -146,3 +147,22 @@ def j17_long_chain(spark, sf_dir):
     root = spark.range(1).select(F.lit(-1).cast("long").alias("id"), F.lit(None).cast("long").alias("parent"))
     tree = p.withColumn("parent", parent).unionByName(root)
     return joins.descendants(tree, "id", "parent", -1).where("level > 0")
+
+
+@query(cte("v_events") + "SELECT event_id, occurred_at, event_type FROM v_events WHERE occurred_at >= TIMESTAMP '2024-01-11 06:00:00'")
+def x02_x04_compacted_days(spark, sf_dir):
+    """Batches, one of them sent again by another writer and dropped by its ids; closed days joined, a batch repeated after that, old days dropped."""
+    now = dt.datetime(2024, 1, 31, 6)
+    since = now - dt.timedelta(days=20)
+    store = DayTable(spark, fresh_path(spark, "days"), "event_id string, occurred_at timestamp, event_type string", "occurred_at", ident="event_id")
+    rows = view(spark, sf_dir, "v_events").select("event_id", "occurred_at", "event_type")
+    part = lambda k: rows.where(F.col("event_id").cast("long") % 3 == k)
+    for k in range(3):
+        store.put(part(k), f"b{k}")
+    sent_again = rows.where("CAST(event_id AS BIGINT) % 5 = 0")
+    store.put(sent_again.join(store.stored_before(sent_again, dt.datetime(2000, 1, 1)), "event_id", "left_anti"), "other")
+    store.compact(dt.date(2024, 1, 25))
+    store.put(part(1), "b1")
+    store.vacuum()
+    store.expire(20, now)
+    return store.read(since)

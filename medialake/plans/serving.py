@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from medialake.functions import text as x
 from medialake.functions import times as t
-from medialake.operators import aggs, filters, joins, pick
+from medialake.operators import aggs, filters, grams, joins, pick
 
 
 def analytics_dashboard(events: DataFrame, visitors: DataFrame, talks: DataFrame, studies: DataFrame, period: t.Period, tz: str = t.ZONE, content_type: str = "") -> dict[str, DataFrame]:
@@ -69,8 +69,14 @@ def catalog(gold: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def search_talks(gold: DataFrame, query: str, n: int = 20) -> DataFrame:
-    return present(aggs.newest(filters.search(gold, ["title", "preacher_name", "serie", "text_reference"], query), n))
+#: Columns that a search looks into.
+SEARCHED = ["title", "preacher_name", "serie", "text_reference"]
+
+
+def search_talks(gold: DataFrame, query: str, n: int = 20, postings: DataFrame | None = None) -> DataFrame:
+    """The newest talks with the query in a searched column; ``postings`` of these columns spare the scan."""
+    found = filters.search(gold, SEARCHED, query) if postings is None else grams.search_postings(gold, "canonical_sermon_id", SEARCHED, query, postings)
+    return present(aggs.newest(found, n))
 
 
 def study_catalog(studies: DataFrame) -> DataFrame:

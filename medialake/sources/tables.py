@@ -197,50 +197,6 @@ class Table:
         self.replace(upsert(self.read(), source, keys, policies, default))
 
 
-class DayTable:
-    """A table in partitions by the day of its time column ``at`` and by the batch that wrote them.
-
-    Nothing that is stored is written again: a batch adds partitions of its own,
-    the same batch written again replaces just these, and what is too old goes
-    by whole days. Times are those of the session's zone.
-    """
-
-    def __init__(self, spark: SparkSession, path: str, schema: str, at: str) -> None:
-        self.spark, self.path, self.schema, self.at = spark, path.rstrip("/"), schema, at
-
-    def _folder(self):
-        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        return root.getFileSystem(self.spark._jsc.hadoopConfiguration()), root
-
-    def read(self, since: dt.datetime | None = None, but: str | None = None) -> DataFrame:
-        """The rows, from a time on, without those of one batch; other days are not scanned. A table never written is empty."""
-        fs, root = self._folder()
-        empty = self.spark.createDataFrame([], self.schema)
-        if not fs.exists(root):
-            return empty
-        rows = self.spark.read.schema(f"{self.schema}, day date, batch string").parquet(self.path)
-        if since is not None:
-            rows = rows.where((F.col("day") >= F.lit(since.date())) & (F.col(self.at) >= F.lit(since)))
-        if but is not None:
-            rows = rows.where(F.col("batch") != but)
-        return rows.select(empty.columns)
-
-    def put(self, df: DataFrame, batch: str) -> None:
-        """Add the rows of a batch. They must not depend on what that batch stored before; rows without a time are refused."""
-        day = F.coalesce(F.to_date(self.at), F.raise_error(f"{self.at} is missing").cast("date"))
-        rows = df.withColumns({"day": day, "batch": F.lit(batch)})
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(self.path)
-
-    def expire(self, days: int, now: dt.datetime) -> None:
-        """Drop the days that lie wholly before the horizon; ``read(since)`` leaves out the rest of the day it falls on."""
-        fs, root = self._folder()
-        first = (now - dt.timedelta(days=days)).date().isoformat()
-        for entry in fs.listStatus(root) if fs.exists(root) else []:
-            name = entry.getPath().getName()
-            if name.startswith("day=") and name.removeprefix("day=") < first:
-                fs.delete(entry.getPath(), True)
-
-
 def replace_snapshot(frames: dict[Table, DataFrame]) -> None:
     """Replace several tables together: all versions are written before the first pointer moves."""
     staged = [(table, table.stage(df)) for table, df in frames.items()]

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from medialake.functions.text import anon_hash
 from medialake.functions.times import ZONE
 from medialake.operators.filters import admit, validate_events
-from medialake.sources.tables import DayTable, retain, touch
+from medialake.sources.days import DayTable
+from medialake.sources.tables import retain, touch
 
 BATCH_EVENTS = 50
 EVENTS = (
@@ -58,8 +59,8 @@ def known_visitors(visitors: DayTable, since: dt.datetime | None = None) -> Data
 def store_batch(events: DayTable, visitors: DayTable, days: int, writer: str, now: dt.datetime | None = None):
     """A ``foreachBatch`` sink: new events, sightings of visitors, and days that are too old removed.
 
-    A batch only adds partitions. Of what is stored it reads ids within the
-    horizon, narrowed to its own ones before anything is shuffled by size.
+    A batch only adds partitions. Which of its ids are stored already is asked of
+    the days' filters first; ids are read of those days only that may have some.
     Repeating a batch replaces its partitions, so nothing is there twice; events
     that another batch or writer stored are not added again.
     """
@@ -69,7 +70,7 @@ def store_batch(events: DayTable, visitors: DayTable, days: int, writer: str, no
         since, name = at - dt.timedelta(days=days), f"{writer}-{epoch}"
         batch = batch.persist()
         try:
-            again = events.read(since, but=name).select("event_id").join(batch.select("event_id"), "event_id", "left_semi")
+            again = events.stored_before(batch, since, but=name)
             events.put(retain(batch.dropDuplicates(["event_id"]).join(again, "event_id", "left_anti"), "occurred_at", days, at), name)
             seen = batch.select("visitor_id_hash", F.col("occurred_at").alias("at"))
             known = visitors.read(since, but=name).join(seen, "visitor_id_hash", "left_semi")
@@ -84,7 +85,7 @@ def store_batch(events: DayTable, visitors: DayTable, days: int, writer: str, no
 
 def event_tables(spark: SparkSession, root: str) -> tuple[DayTable, DayTable]:
     """The stored events and visitors below a folder."""
-    return DayTable(spark, f"{root}/events", EVENTS, "occurred_at"), DayTable(spark, f"{root}/visitors", VISITORS, "last_seen_at")
+    return DayTable(spark, f"{root}/events", EVENTS, "occurred_at", ident="event_id"), DayTable(spark, f"{root}/visitors", VISITORS, "last_seen_at")
 
 
 def ingest_events(batches: DataFrame, events: DayTable, visitors: DayTable, checkpoint: str, days: int = 180, now: dt.datetime | None = None):
