@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from medialake.bindings import cte, table, view
 from medialake.operators import grams, joins
+from medialake.plans import quality
 from medialake.plans.q_catalog import _UP, _upsert_frames
 from medialake.plans.registry import query
 from medialake.sources.buckets import BucketTable
@@ -166,3 +167,74 @@ def x02_x04_compacted_days(spark, sf_dir):
     store.vacuum()
     store.expire(20, now)
     return store.read(since)
+
+
+_NOW = dt.datetime(2024, 1, 20)
+_ALL_RULES = """, g0 AS (SELECT * EXCLUDE (preaching_date), CAST(canonical_sermon_id AS INTEGER) AS n, CAST(CAST(preaching_date AS DATE) + INTERVAL 12 YEAR AS DATE) AS d FROM v_gold),
+gold AS (SELECT *, n % 3 <> 0 AS has_path, n % 3 <> 0 AND n % 5 <> 0 AS there, CASE WHEN n % 3 <> 0 AND n % 7 <> 0 THEN duration_seconds / 60 END AS minutes FROM g0 WHERE day(d) >= 8),
+lt AS (SELECT canonical_sermon_id, len(regexp_extract_all(transcript_text, '[^\\s]+')) AS words FROM (SELECT *, row_number() OVER (PARTITION BY canonical_sermon_id ORDER BY created_at DESC, transcript_version DESC) AS r FROM v_versions) WHERE r = 1),
+wide AS (SELECT gold.*, words FROM gold LEFT JOIN lt USING (canonical_sermon_id)),
+sundays AS (SELECT CAST(unnest(generate_series(DATE '2009-01-04', DATE '2024-01-14', INTERVAL 7 DAY)) AS DATE) AS d),
+gaps AS (SELECT d, d IN (SELECT d FROM g0 WHERE day(d) < 8 AND month(d) % 2 = 0) AS excused FROM sundays WHERE d NOT IN (SELECT d FROM gold)),
+runs AS (SELECT * FROM v_runs WHERE status = 'failed' OR calculated_at < TIMESTAMP '2024-01-10'),
+m AS (
+SELECT 'total_sermons' AS metric_key, count(*) AS value FROM wide
+UNION ALL SELECT 'missing_mp3', count(*) FROM wide WHERE NOT has_path
+UNION ALL SELECT 'mp3_file_missing', count(*) FROM wide WHERE has_path AND NOT there
+UNION ALL SELECT 'mp3_without_transcript', count(*) FROM wide WHERE there AND words IS NULL
+UNION ALL SELECT 'youtube_link', count(*) FROM wide WHERE coalesce(youtube_link, '') <> ''
+UNION ALL SELECT 'wordpress_link', count(*) FROM wide WHERE coalesce(wordpress_link, '') <> ''
+UNION ALL SELECT 'no_external_source', count(*) FROM wide WHERE coalesce(youtube_link, '') = '' AND coalesce(wordpress_link, '') = ''
+UNION ALL SELECT 'missing_duration', count(*) FROM wide WHERE there AND minutes IS NULL
+UNION ALL SELECT 'suspicious_duration', count(*) FROM wide WHERE minutes < 10 OR minutes > 150
+UNION ALL SELECT 'missing_title', count(*) FROM wide WHERE trim(coalesce(title, '')) = ''
+UNION ALL SELECT 'missing_preacher', count(*) FROM wide WHERE trim(coalesce(preacher_name, '')) = ''
+UNION ALL SELECT 'missing_bible_reference', count(*) FROM wide WHERE n % 17 = 0
+UNION ALL SELECT 'missing_series', count(*) FROM wide WHERE trim(coalesce(serie, '')) = ''
+UNION ALL SELECT 'short_transcript', count(*) FROM wide WHERE words < 100
+UNION ALL SELECT 'invalid_link', count(*) FROM wide WHERE youtube_link = 'youtube.com/x'
+UNION ALL SELECT 'unreachable_link', count(*) FROM wide WHERE youtube_link = 'https://youtube.com/watch?v=x'
+UNION ALL SELECT 'silver_missing_gold', count(*) FROM g0 WHERE n % 11 <> 0 AND day(d) < 8
+UNION ALL SELECT 'orphan_media', count(*) FROM g0 WHERE n % 3 <> 0 AND n % 11 = 0
+UNION ALL SELECT 'orphan_transcripts', count(*) FROM lt WHERE canonical_sermon_id NOT IN (SELECT canonical_sermon_id FROM g0 WHERE n % 11 <> 0)
+UNION ALL SELECT 'possible_duplicates', count(*) FROM (SELECT d FROM gold GROUP BY 1 HAVING count(*) > 1)
+UNION ALL SELECT CASE WHEN excused THEN 'justified_missing_sundays' ELSE 'missing_sundays' END, count(*) FROM gaps GROUP BY 1
+UNION ALL SELECT 'failed_pipeline_runs_7d', count(*) FROM runs WHERE status = 'failed' AND calculated_at >= TIMESTAMP '2024-01-13' AND calculated_at <= TIMESTAMP '2024-01-20'
+UNION ALL SELECT 'stale_pipeline', CAST(max(calculated_at) FILTER (status = 'success') < TIMESTAMP '2024-01-12' AS INTEGER) FROM runs)
+SELECT metric_key, value, CASE WHEN metric_key NOT IN ('silver_missing_gold', 'orphan_media', 'orphan_transcripts', 'possible_duplicates', 'missing_sundays', 'justified_missing_sundays', 'failed_pipeline_runs_7d', 'stale_pipeline') THEN (SELECT count(*) FROM wide) END AS denominator FROM m"""
+
+
+def _all_rules(spark, sf_dir) -> dict[str, DataFrame]:
+    """A catalogue that breaks every rule: talks of the first week of a month never reached gold, every second of these gaps is excused."""
+    n, day = F.col("canonical_sermon_id").cast("int"), F.add_months(F.col("preaching_date").cast("date"), 144)
+    all_ = view(spark, sf_dir, "v_gold").withColumns({"n": n, "d": day, "text_reference": F.when(n % 17 == 0, " ").otherwise(F.col("text_reference"))}).withColumn("preaching_date", F.col("d").cast("string"))
+    early = F.day("d") < 8
+    media = all_.where("n % 3 <> 0").select("canonical_sermon_id", F.lit("audio").alias("asset_type"), F.concat(F.lit("/m/"), "canonical_sermon_id").alias("local_path"), F.when(F.col("n") % 7 != 0, F.col("duration_seconds")).alias("duration_seconds"))
+    return {
+        "gold": all_.where(~early).drop("n", "d"),
+        "metadata": all_.where("n % 11 <> 0").select("canonical_sermon_id", F.lit("youtube").alias("source_system"), F.col("canonical_sermon_id").alias("source_item_id"), "title", "preacher_name"),
+        "media": media,
+        "files": media.where("CAST(canonical_sermon_id AS INT) % 5 <> 0").select(F.col("local_path").alias("path"), F.lit(100).cast("long").alias("length")),
+        "texts": view(spark, sf_dir, "v_versions"),
+        "exceptions": all_.where(early & (F.month("d") % 2 == 0)).select("preaching_date", F.lit("feriado").alias("reason")).distinct(),
+        "runs": view(spark, sf_dir, "v_runs").where("status = 'failed' OR calculated_at < TIMESTAMP '2024-01-10'"),
+        "link_status": spark.createDataFrame([("https://youtube.com/watch?v=x", 404, "")], "url string, code int, error string"),
+    }
+
+
+@query(cte("v_gold", "v_versions", "v_runs") + _ALL_RULES)
+def e12_all_rules(spark, sf_dir):
+    return quality.quality_snapshot(_all_rules(spark, sf_dir), dt.date(2009, 1, 1), _NOW)[1]
+
+
+@query(
+    cte("v_gold")
+    + """, g0 AS (SELECT *, CAST(canonical_sermon_id AS INTEGER) AS n, CAST(CAST(preaching_date AS DATE) + INTERVAL 12 YEAR AS DATE) AS d FROM v_gold), gold AS (SELECT * FROM g0 WHERE day(d) >= 8)
+SELECT 'silver_missing_gold' AS metric_key, canonical_sermon_id AS entity_id, '' AS preaching_date, coalesce(title, '') AS title, coalesce(preacher_name, '') AS preacher_name, 'youtube' AS source_system, '' AS detail FROM g0 WHERE n % 11 <> 0 AND day(d) < 8
+UNION ALL SELECT 'orphan_media', canonical_sermon_id, '', '', '', '', '/m/' || canonical_sermon_id FROM g0 WHERE n % 3 <> 0 AND n % 11 = 0
+UNION ALL SELECT 'possible_duplicates', CAST(d AS VARCHAR), CAST(d AS VARCHAR), '', '', '', '["' || string_agg(canonical_sermon_id, '","' ORDER BY canonical_sermon_id) || '"]' FROM gold GROUP BY d HAVING count(*) > 1"""
+)
+def e12_set_issues(spark, sf_dir):
+    """The issues of rules that compare tables, in full."""
+    issues = quality.quality_snapshot(_all_rules(spark, sf_dir), dt.date(2009, 1, 1), _NOW)[0]
+    return issues.where("metric_key IN ('silver_missing_gold', 'orphan_media', 'possible_duplicates')").select("metric_key", "entity_id", "preaching_date", "title", "preacher_name", "source_system", "detail")

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from medialake.functions.text import is_blank, text, word_count
 from medialake.functions.times import missing_weekdays
 from medialake.functions.urls import is_checkable, is_valid_link
-from medialake.operators import aggs, joins, pick
+from medialake.operators import aggs
+from medialake.sources.scratch import stored
 
 #: Rules with whether their share of all talks is meaningful (fixed values).
 RULES = [
@@ -34,18 +35,60 @@ class Limits:
     checked_domains: tuple[str, ...] = ("youtube.com", "youtu.be")
 
 
-def wide_catalog(gold: DataFrame, sources: DataFrame, media: DataFrame, files: DataFrame, texts: DataFrame) -> DataFrame:
-    """The catalogue with its sources, audio file and latest transcript; every join is on a key with one row."""
-    key = "canonical_sermon_id"
-    listed = aggs.source_list(sources, key).withColumnRenamed("sources", "source_system")
-    audio = pick.rows_by(media.where("asset_type = 'audio'").select(key, F.col("local_path").alias("path"), F.col("duration_seconds").alias("audio_seconds")), [key], [F.col("path")])
-    newest = pick.latest(texts.select(key, "created_at", "transcript_version", "transcript_text"), [key], ["created_at", "transcript_version"])
-    spoken = newest.select(key, word_count("transcript_text").alias("words"))
-    out = gold.join(listed, key, "left").join(audio, key, "left").join(files, "path", "left").join(spoken, key, "left")
+KEY = "canonical_sermon_id"
+
+
+def talk_states(gold: DataFrame, sources: DataFrame, media: DataFrame, files: DataFrame, texts: DataFrame) -> DataFrame:
+    """One row for each talk that any table knows: its gold row, what the others have of it, and whether they do.
+
+    The tables are laid one under the other, tagged, and meet in one aggregate,
+    so each is exchanged once and what exists is read from the row. Words are
+    counted before, so texts do not travel. Audio files are joined by path.
+    """
+    served = F.struct(*[c for c in gold.columns if c != KEY])
+    shapes = {
+        "g": served,
+        "m": F.struct(F.struct("source_system", "source_item_id").alias("rank"), text("title").alias("title"), text("preacher_name").alias("preacher_name")),
+        "a": F.struct("asset_type", F.col("local_path").alias("path"), F.col("duration_seconds").cast("double").alias("seconds")),
+        "t": F.struct(F.struct("created_at", "transcript_version").alias("rank"), word_count("transcript_text").alias("words")),
+    }
+    tagged, kinds = [], {}
+    for tag, df in (("g", gold), ("m", sources), ("a", media), ("t", texts)):
+        own = df.where(~is_blank(KEY)).select(F.col(KEY).cast("string").alias(KEY), shapes[tag].alias(tag))
+        kinds[tag] = own.schema[tag].dataType
+        tagged.append((tag, own))
+    rows = None
+    for tag, own in tagged:
+        full = own.select(KEY, *[F.col(tag) if tag == other else F.lit(None).cast(kind).alias(other) for other, kind in kinds.items()])
+        rows = full if rows is None else rows.unionByName(full)
+    audio = F.when(F.col("a.asset_type") == "audio", F.struct("a.path", "a.seconds"))
+    states = rows.groupBy(KEY).agg(
+        F.first("g", ignorenulls=True).alias("g"),
+        F.count_if(F.col("g").isNotNull()).alias("n_gold"),
+        F.array_join(F.array_sort(F.collect_set(F.nullif("m.rank.source_system", F.lit("")))), ", ").alias("sources"),
+        F.min_by(F.when(F.col("m").isNotNull(), F.struct("m.title", "m.preacher_name")), "m.rank").alias("m"),
+        F.count_if(F.col("m").isNotNull()).alias("n_meta"),
+        F.max(audio).alias("audio"),
+        F.collect_list("a.path").alias("paths"),  # a talk has one asset of a kind
+        F.count_if(F.col("a").isNotNull()).alias("n_media"),
+        F.max_by("t.words", "t.rank").alias("words"),
+        F.count_if(F.col("t").isNotNull()).alias("n_texts"),
+    )
+    states = states.withColumns({"path": F.col("audio.path"), "audio_seconds": F.col("audio.seconds")}).drop("audio")
+    return states.join(files.select("path", "length"), "path", "left")
+
+
+def wide_rows(states: DataFrame) -> DataFrame:
+    """The catalogue with its sources, audio file and count of words, from :func:`talk_states`."""
+    out = states.where("n_gold > 0").select(KEY, "g.*", F.nullif("sources", F.lit("")).alias("source_system"), "path", "audio_seconds", "length", "words")
     have = [c for c in LINKS if c not in out.columns]
     return out.withColumns({c: F.lit(None).cast("string") for c in have}) if have else out
 
 
+def wide_catalog(gold: DataFrame, sources: DataFrame, media: DataFrame, files: DataFrame, texts: DataFrame) -> DataFrame:
+    return wide_rows(talk_states(gold, sources, media, files, texts))
+
+
 def _issue(metric: str | Column, detail: Column | None = None, link: Column | None = None) -> Column:
     plain = lambda c: c if c is not None else F.lit("")
     return F.struct(F.lit(metric).alias("metric_key") if isinstance(metric, str) else metric.alias("metric_key"), plain(detail).alias("detail"), plain(link).alias("link"))
@@ -99,14 +142,16 @@ def _shaped(df: DataFrame, metric: str | Column, entity: Column, **given: Column
     return df.select(*[columns.get(c, F.lit("")).cast("string").alias(c) for c in ISSUE])
 
 
-def set_issues(gold: DataFrame, meta: DataFrame, media: DataFrame, texts: DataFrame) -> DataFrame:
-    key = "canonical_sermon_id"
-    lost = joins.missing_downstream(meta, gold, key, ["source_system", "source_item_id"])
+def set_issues(states: DataFrame) -> DataFrame:
+    """What one table has of a talk and another lacks, read from :func:`talk_states`; dates with several talks."""
+    served = states.where("n_gold > 0").select(KEY, "g.preaching_date")
+    lost = states.where("n_meta > 0 AND n_gold = 0")
+    media = states.where("n_meta = 0 AND n_media > 0").select(KEY, F.explode_outer("paths").alias("path"))
     parts = [
-        _shaped(lost, "silver_missing_gold", F.col(key), title=text("title"), preacher_name=text("preacher_name"), source_system=F.col("sources")),
-        _shaped(joins.orphans(media, meta, key), "orphan_media", F.col(key), detail=text("local_path")),
-        _shaped(joins.orphans(texts.select(key).distinct(), meta, key), "orphan_transcripts", F.col(key)),
-        _shaped(aggs.duplicate_keys(gold, "preaching_date", key), "possible_duplicates", F.col("preaching_date"), preaching_date=F.col("preaching_date"), detail=F.col("ids")),
+        _shaped(lost, "silver_missing_gold", F.col(KEY), title=F.col("m.title"), preacher_name=F.col("m.preacher_name"), source_system=F.col("sources")),
+        _shaped(media, "orphan_media", F.col(KEY), detail=text("path")),
+        _shaped(states.where("n_meta = 0 AND n_texts > 0"), "orphan_transcripts", F.col(KEY)),
+        _shaped(aggs.duplicate_keys(served, "preaching_date", KEY), "possible_duplicates", F.col("preaching_date"), preaching_date=F.col("preaching_date"), detail=F.col("ids")),
     ]
     out = parts[0]
     for p in parts[1:]:
@@ -132,13 +177,14 @@ def quality_snapshot(tables: dict[str, DataFrame], start: dt.date, now: dt.datet
     ``tables``: gold, metadata, media, files, texts, exceptions, runs, link_status.
     Issue ids are hashes of rule, entity and detail, so a repeated run gives the same.
     """
-    wide = wide_catalog(tables["gold"], tables["metadata"], tables["media"], tables["files"], tables["texts"])
+    states = stored(talk_states(tables["gold"], tables["metadata"], tables["media"], tables["files"], tables["texts"]), "talks")  # all rules read it
+    wide = wide_rows(states)
     issues = (
         row_issues(wide, limits)
         .unionByName(unreachable(wide, tables["link_status"], limits))
-        .unionByName(set_issues(tables["gold"], tables["metadata"], tables["media"], tables["texts"]))
-        .unionByName(calendar_issues(tables["gold"], tables["exceptions"], start, now.date(), limits))
+        .unionByName(set_issues(states))
+        .unionByName(calendar_issues(wide, tables["exceptions"], start, now.date(), limits))
         .unionByName(run_issues(tables["runs"], now))
     )
     issues = issues.withColumn("issue_id", F.sha2(F.concat_ws("\x1f", *[text(c) for c in ("metric_key", "entity_id", "detail", "link")]), 256))
-    return issues, aggs.metric_rows(issues, RULES, tables["gold"])
+    return issues, aggs.metric_rows(issues, RULES, wide)
