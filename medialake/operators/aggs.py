@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from medialake.functions.text import book_name, book_position, is_blank, testament, text
 from medialake.functions.times import local_date, pct
+from medialake.sources.scratch import stored
 
 PLAY, DONE, LOAD, PROGRESS = "audio_play", "audio_complete", "download", "audio_progress"
 
@@ -220,6 +221,15 @@ def order_issues(issues: DataFrame) -> DataFrame:
     return issues.orderBy(F.desc_nulls_last("preaching_date"), F.lower(text("title")), "entity_id")
 
 
+def placed(ordered: DataFrame) -> DataFrame:
+    """An ordered frame with every row's ``place`` from 1, counted within the sorted ranges and moved by what the ranges before hold."""
+    rows = stored(ordered.withColumn("at", F.monotonically_increasing_id()), "placed")
+    part, within = F.shiftright("at", 33), F.col("at").bitwiseAND((1 << 33) - 1)
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    base = rows.groupBy(part.alias("part")).agg(F.count("*").alias("n")).select("part", before.alias("base"))  # a row a range
+    return rows.withColumn("part", part).join(base, "part").withColumn("place", F.col("base") + within + 1).drop("at", "part", "base")
+
+
 def tail(df: DataFrame, n: int, ts: str, tie: str) -> DataFrame:
     """The last ``n`` rows, oldest first."""
     return df.orderBy(F.desc(ts), F.desc(tie)).limit(n).orderBy(ts, tie)

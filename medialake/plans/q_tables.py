@@ -8,14 +8,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from medialake.bindings import cte, table, view
-from medialake.operators import grams, joins
-from medialake.plans import quality
+from medialake.operators import aggs, grams, joins
+from medialake.plans import quality, serving
 from medialake.plans.q_catalog import _UP, _upsert_frames
 from medialake.plans.registry import query
+from medialake.sources import readers
 from medialake.sources.buckets import BucketTable
 from medialake.sources.days import DayTable
 from medialake.sources.scratch import fresh_path
-from medialake.sources.tables import Policy
+from medialake.sources.tables import CSV_COLUMNS, Policy, export_csv
 from medialake.streaming import visitors
 
 _CUSTOMER = "k long, name string, serie string, bal double"
@@ -238,3 +239,67 @@ def e12_set_issues(spark, sf_dir):
     """The issues of rules that compare tables, in full."""
     issues = quality.quality_snapshot(_all_rules(spark, sf_dir), dt.date(2009, 1, 1), _NOW)[0]
     return issues.where("metric_key IN ('silver_missing_gold', 'orphan_media', 'possible_duplicates')").select("metric_key", "entity_id", "preaching_date", "title", "preacher_name", "source_system", "detail")
+
+
+_CELLS = "CASE p_partkey % 4 WHEN 0 THEN '=' || p_name WHEN 1 THEN '-' || p_name WHEN 2 THEN 'a \"b\", ' || p_name ELSE p_name END"
+
+
+@query(
+    f"""SELECT '2020-01-0' || (p_partkey % 9 + 1) AS preaching_date, CASE WHEN p_partkey % 4 < 2 THEN '''' ELSE '' END || {_CELLS} AS title, p_brand AS preacher_name, 'youtube' AS source_system, 'missing_title' AS metric_key, CAST(p_partkey AS VARCHAR) AS entity_id,
+  CASE WHEN p_partkey % 5 = 0 THEN '' ELSE '''@' || p_type END AS detail, 'https://example.org/' || p_partkey AS link FROM part"""
+)
+def k16_export_csv(spark, sf_dir):
+    """Issues written as CSV and read back: guarded cells, quotes and commas, missing details."""
+    p = table(spark, sf_dir, "part")
+    n = F.col("p_partkey")
+    title = F.when(n % 4 == 0, F.concat(F.lit("="), "p_name")).when(n % 4 == 1, F.concat(F.lit("-"), "p_name")).when(n % 4 == 2, F.concat(F.lit('a "b", '), "p_name")).otherwise(F.col("p_name"))
+    issues = p.select(
+        F.concat(F.lit("2020-01-0"), (n % 9 + 1).cast("string")).alias("preaching_date"), title.alias("title"), F.col("p_brand").alias("preacher_name"), F.lit("youtube").alias("source_system"), F.lit("missing_title").alias("metric_key"),
+        n.cast("string").alias("entity_id"), F.when(n % 5 != 0, F.concat(F.lit("@"), "p_type")).alias("detail"), F.concat(F.lit("https://example.org/"), n.cast("string")).alias("link"),
+    )
+    path = fresh_path(spark, "csv")
+    export_csv(issues, path)
+    back = spark.read.option("header", True).schema(", ".join(f"{c} string" for c in CSV_COLUMNS)).csv(path)
+    return back.select(*[F.coalesce(c, F.lit("")).alias(c) for c in CSV_COLUMNS])
+
+
+@query("SELECT entity_id, CAST(row_number() OVER (ORDER BY preaching_date DESC NULLS LAST, lower(title), entity_id) AS BIGINT) AS place FROM (SELECT CAST(o_orderkey AS VARCHAR) AS entity_id, CASE WHEN o_orderkey % 7 <> 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS preaching_date, CASE WHEN o_orderkey % 2 = 0 THEN upper(o_orderpriority) ELSE o_orderpriority END AS title FROM orders)")
+def o06_issue_order(spark, sf_dir):
+    """All issues with their place in the list; places are counted in the sorted partitions and moved by those before."""
+    n = F.col("o_orderkey")
+    issues = table(spark, sf_dir, "orders").select(n.cast("string").alias("entity_id"), F.when(n % 7 != 0, F.date_format("o_orderdate", "yyyy-MM-dd")).alias("preaching_date"), F.when(n % 2 == 0, F.upper("o_orderpriority")).otherwise(F.col("o_orderpriority")).alias("title"))
+    return aggs.placed(aggs.order_issues(issues)).select("entity_id", "place")
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS playlist_id, CAST(row_number() OVER (ORDER BY lower(title), CAST(p_partkey AS VARCHAR)) AS BIGINT) AS place FROM (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'Estudo ' || p_name WHEN 1 THEN 'CTB ' || p_name ELSE 'Culto ' || p_name END AS title FROM part) WHERE p_partkey % 3 <> 2")
+def s11_playlists(spark, sf_dir):
+    """Landed pages of playlists: the study ones, by folded title."""
+    n = F.col("p_partkey")
+    title = F.concat(F.when(n % 3 == 0, "Estudo ").when(n % 3 == 1, "CTB ").otherwise("Culto "), "p_name")
+    item = F.struct(n.cast("string").alias("playlist_id"), title.alias("title"))
+    pages = table(spark, sf_dir, "part").groupBy(F.floor(n / 50)).agg(F.collect_list(item).alias("items"))
+    return aggs.placed(readers.flatten_pages(pages, "playlists")).select("playlist_id", "place")
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS video_id, CASE WHEN p_partkey % 5 = 0 THEN '' ELSE p_name END AS title, 'PT' || p_size || 'M' AS duration FROM part WHERE p_partkey % 4 <> 0")
+def s11_details(spark, sf_dir):
+    """Landed pages of video details; items without an id are dropped, a missing title is empty."""
+    n = F.col("p_partkey")
+    item = F.struct(F.when(n % 4 == 0, " ").otherwise(n.cast("string")).alias("video_id"), F.when(n % 5 != 0, F.col("p_name")).alias("title"), F.concat(F.lit("PT"), "p_size", F.lit("M")).alias("duration"))
+    return readers.flatten_pages(table(spark, sf_dir, "part").groupBy(F.floor(n / 50)).agg(F.collect_list(item).alias("items")), "details")
+
+
+@query(
+    "WITH own AS (SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN 'audio' WHEN 1 THEN 'pdf' ELSE 'link' END AS kind, o_orderpriority AS label FROM orders WHERE o_custkey = (SELECT min(o_custkey) FROM orders))"
+    " SELECT CAST(o_custkey AS VARCHAR) AS study_id, c_name AS title, id AS resource, kind, label FROM own, (SELECT min(o_custkey) AS o_custkey FROM orders) JOIN customer ON c_custkey = o_custkey"
+)
+def e17_study_detail(spark, sf_dir):
+    """One study in full: its record and its resources by group."""
+    o, n = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    kind = F.when(n % 3 == 0, "audio").when(n % 3 == 1, "pdf").otherwise("external_link")
+    resources = o.select(F.col("o_custkey").cast("string").alias("study_id"), n.cast("int").alias("position"), F.concat("o_orderpriority", F.lit(" [0123456789ab]")).alias("label"), F.concat(F.lit("https://example.org/"), n).alias("canonical_url"), kind.alias("resource_type"), F.lit("").alias("mime_type"), F.lit("").alias("download_link"), F.lit(60.0).alias("duration_seconds"))
+    known = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("study_id"), F.col("c_name").alias("title"))
+    one = str(o.agg(F.min("o_custkey")).first()[0])
+    detail = serving.study_detail(known, resources, one).select("study_id", "title", F.explode("groups").alias("g")).select("study_id", "title", "g.grp", F.explode("g.items").alias("i"))
+    shown = F.create_map(*[F.lit(v) for v in ("audio", "audio", "documents", "pdf", "external_link", "link")])
+    return detail.select("study_id", "title", F.col("i.position").cast("long").alias("resource"), F.coalesce(shown[F.col("grp")], F.col("grp")).alias("kind"), F.col("i.label").alias("label"))
