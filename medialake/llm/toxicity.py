@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column, free_name, row_slices, texts
+from .common import column, free_name, row_slices, stored, texts
 
 #: Labelled rows of either class that the lexicon and the model are fitted on.
 SAMPLE_ROWS = 5000
@@ -417,7 +417,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, **columns)
     Only one short vector per sampled row reaches the driver. Without toxic
     rows the lexicon is empty and every text gets the same low score.
     """
-    sample = labelled_sample(docs, labels, rows=rows, **columns)
+    sample = stored(labelled_sample(docs, labels, rows=rows, **columns), "toxicity-sample")  # several passes over a few rows, not over all texts
     lexicon = learn_lexicon(sample)
     if not lexicon.words and not lexicon.stems:
         return Model(lexicon, PRIOR)
