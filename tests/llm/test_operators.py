@@ -427,6 +427,21 @@ def test_secrets_that_the_patterns_miss(spark):
     assert secret_scan.scan(docs, scanner, ["text"]).columns[0] == "text"
 
 
+def test_secrets_of_shapes_that_no_label_has(spark):
+    """Labels of one shape only; keys of other alphabets and lengths are found, and of clean candidates at most one in a hundred is taken."""
+    rng = random.Random(16)
+    some = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    alnum = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    harmless = lambda: rng.choice([f"+1-555-{rng.randrange(10**6, 10**7)}", f"{rng.randrange(2000, 2030)}-0{rng.randrange(1, 10)}-1{rng.randrange(10)}", f"mail{rng.randrange(99)}.example.com", f"10.{rng.randrange(255)}.{rng.randrange(255)}.12"])
+    rows = [(i, f"some plain text {harmless()} and {harmless()} then {some('0123456789abcdef', 40)} so {harmless()} ends", "en", "m", 1) for i in range(400)]
+    scanner = secret_scan.train_scanner(spark.createDataFrame(rows, SCHEMA))
+    planted = [f"a word {form()} behind it" for form in (lambda: "ghp_" + some(alnum, 36), lambda: "sk_live_" + some(alnum, 24), lambda: "AIza" + some(alnum + "-_", 35), lambda: some(alnum, 20)) for _ in range(50)]
+    found = [any(kind == "learned" for kind, *_ in spans) for spans in scanner.find(planted)]
+    assert all(sum(found[k : k + 50]) >= 45 for k in range(0, 200, 50))
+    assert sum(map(len, scanner.find([f"plain text {harmless()} here" for _ in range(300)]))) <= 3
+    assert all(len(secret_scan.shapes(t)) == len(set(secret_scan.shapes(t))) == 8 for t in ("a", "b" * 300))
+
+
 def brute_components(rows):
     sets = {}
     for i, t, *_ in rows:
