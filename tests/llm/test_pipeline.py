@@ -1,5 +1,7 @@
 """The corpus pipeline: stages keep the columns and what they decide takes effect."""
 
+import pytest
+
 import corpus_pipeline
 from medialake.llm.queries import ORACLE, QUERIES
 
@@ -26,5 +28,33 @@ def test_near_duplicates_from_four_fifths(spark):
 
 
 def test_queries_are_registered():
-    assert [n.split("_")[0] for n in QUERIES] == [f"op{k}" for k in range(1, 11)]
+    assert [n.split("_")[0] for n in QUERIES] == [f"op{k}" for k in range(1, 14)]
     assert set(ORACLE) <= set(QUERIES)
+
+
+def _odd(spark, sf_small):
+    """Documents with null and repeated ids, null, empty and long texts, ties, and columns that operators use names of."""
+    some = spark.read.parquet(f"{sf_small}/documents.parquet").orderBy("doc_id").limit(60).collect()
+    rows = [tuple(r) for r in some]
+    text = some[0].text
+    rows += [(None, text, "en", "s", 1), (None, None, None, None, None), (9001, None, "en", "s", 0), (9002, "", "en", "s", 0), (9003, " \t\n", "en", "s", 3), (9004, "word " * 40_000, "en", "s", 200_000), rows[1], rows[1], (9005, rows[1][1], "en", "s", 1), (9006, rows[1][1], "en", "s", 1)]
+    names = "doc_id long, text string, lang string, source string, n_chars long, toxic int, score double, item_id long, component_id long, kept boolean, __text string, y int"
+    return spark.createDataFrame([(*r, 1, 0.5, 2, 3, True, "clash", 4) for r in rows], names)
+
+
+@pytest.mark.parametrize("stage", [name for name, _ in corpus_pipeline.STAGES])
+def test_stages_on_odd_rows(spark, sf_small, stage):
+    """No stage stumbles over odd rows or names; all but the last keep the columns, and an empty table stays empty."""
+    docs = _odd(spark, sf_small).repartition(3)
+    function = dict(corpus_pipeline.STAGES)[stage]
+    out = function(spark, docs, sf_small)
+    got = out.collect()
+    ids = [r.doc_id for r in got]
+    if stage != corpus_pipeline.STAGES[-1][0]:
+        assert out.columns == docs.columns and {r["__text"] for r in got} == {"clash"}
+        assert {9001, 9002, 9003} <= set(ids) and None in ids
+    else:
+        assert len(got) == docs.count()
+    if stage == "near_duplicates":
+        assert 9005 not in ids and 9006 not in ids and ids.count(1) == 3
+    assert function(spark, docs.limit(0), sf_small).count() == 0
