@@ -113,3 +113,21 @@ def e06_study_bronze(spark, sf_dir):
     )
     shaped = studies.shape_study_bronze(playlists, items, videos, "1995-01-01")
     return shaped.select("playlist_id", "study_type", "oldest_video_date", F.posexplode("videos").alias("place", "v")).select("playlist_id", "study_type", "oldest_video_date", "place", "v.video_id", "v.effective_date")
+
+
+@query(
+    "SELECT 'wordpress:pfd:' || p_partkey AS study_key, 'r' || (p_partkey // 100) || ':pfd:' || p_partkey AS source_item_id, 'pfd' AS study_type, CAST(2000 + p_partkey % 20 AS VARCHAR) AS study_date, 'https://example.org/r' || (p_partkey // 100) AS source_url,"
+    " 'https://example.org/wp-content/uploads/' || (2000 + p_partkey % 20) || '/05/PFD-' || p_partkey || '.pdf' AS canonical_url FROM part WHERE p_partkey > 0"
+)
+def e04_numbered_studies(spark, sf_dir):
+    """Weekly root pages that link a hundred numbered files each, some twice: every number is a study of its own, dated by the year it was put up."""
+    p = table(spark, sf_dir, "part").where("p_partkey > 0")
+    key = F.col("p_partkey").cast("string")
+    file = F.concat(F.lit("https://example.org/wp-content/uploads/"), (F.col("p_partkey") % 20 + 2000).cast("string"), F.lit("/05/PFD-"), key, F.lit(".pdf"))
+    anchor = F.concat(F.lit('<a href="'), file, F.lit('">PFD '), key, F.lit("</a>"))
+    group = F.floor(F.col("p_partkey") / 100).cast("string")
+    pages = p.groupBy(group.alias("g")).agg(F.array_join(F.array_sort(F.collect_list(F.struct("p_partkey", F.when(F.col("p_partkey") % 3 == 0, F.concat(anchor, anchor)).otherwise(anchor).alias("a"))))["a"], " ").alias("content"))
+    none = F.lit("")
+    fields = {"post_id": F.concat(F.lit("r"), "g"), "title": F.lit("Semanais"), "slug": F.lit("semanais"), "link": F.concat(F.lit("https://example.org/r"), "g"), "content": F.col("content"), "post_date": F.lit("2000-01-01 00:00:00"), "status": F.lit("publish"), "post_parent": none, "post_type": F.lit("page"), "attachment_url": none, "mime_type": none}
+    found, resources = studies.discover_studies(pages.select(*[c.alias(n) for n, c in fields.items()]), {"semanais": "weekly"}, "semanais")
+    return found.join(resources.select("study_key", "canonical_url"), "study_key").select("study_key", "source_item_id", "study_type", "study_date", "source_url", "canonical_url")
