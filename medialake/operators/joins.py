@@ -9,7 +9,7 @@ from medialake.functions.similar import first_alike
 from medialake.functions.text import is_blank, text
 from medialake.functions.urls import canonical_url, query_value
 from medialake.operators.pick import latest, rows_by
-from medialake.sources.scratch import stored
+from medialake.sources.scratch import fresh_path, stored
 
 
 def with_parent(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:
