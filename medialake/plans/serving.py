@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from medialake.functions import text as x
@@ -79,13 +79,37 @@ def search_talks(gold: DataFrame, query: str, n: int = 20, postings: DataFrame |
     return present(aggs.newest(found, n))
 
 
-def study_catalog(studies: DataFrame) -> DataFrame:
-    """The four types in their order, also those without studies, with name, count, and years from the newest on with their studies."""
+def _study_rows(studies: DataFrame) -> DataFrame:
+    """Studies with the year they are shown under, ``back`` to order the years by, and what orders the studies of a year."""
     year = F.substring(x.text("study_date"), 1, 4)
     place = x.study_place("study_type", "title", "study_date")
     item = F.struct(place.alias("ord"), x.text("title").alias("title"), "study_id", "study_date", F.col("resource_count").alias("resources"))
-    rows = studies.withColumns({"year": x.first_filled(year, F.lit("Sem data")), "back": -F.coalesce(year.try_cast("int"), F.lit(0))})
-    groups = rows.groupBy("study_type", "back", "year").agg(F.array_sort(F.collect_list(item)).alias("studies"))
+    return studies.select("study_type", x.first_filled(year, F.lit("Sem data")).alias("year"), (-F.coalesce(year.try_cast("int"), F.lit(0))).alias("back"), item.alias("item"))
+
+
+def study_listing(studies: DataFrame) -> DataFrame:
+    """The catalogue as a row a study, for any number of studies: its type with name and count, its year and study with their places from 0.
+
+    Studies are sorted in ranges and numbered through; what the groups before
+    hold, a row each, turns that into places within a year. No group is gathered.
+    """
+    group = ["study_type", "back", "year"]
+    rows = _study_rows(studies).where(F.col("study_type").isin(*x.STUDY_TYPES))
+    ordered = aggs.placed(rows.orderBy(*group, "item"))
+    of_type = Window.partitionBy("study_type")
+    starts = ordered.groupBy(*group).agg(F.min("place").alias("__start"), F.count("*").alias("__n"))
+    starts = starts.withColumns({"count": F.sum("__n").over(of_type), "year_place": F.row_number().over(of_type.orderBy("back", "year")) - 1}).drop("__n")
+    types = studies.sparkSession.createDataFrame(list(x.STUDY_TYPES.items()), "study_type string, label string")
+    shown = ordered.join(starts, group).join(types, "study_type")
+    return shown.select("study_type", "label", "count", "year_place", "year", (F.col("place") - F.col("__start")).cast("int").alias("place"), "item.title", "item.study_id", "item.study_date", "item.resources")
+
+
+def study_catalog(studies: DataFrame) -> DataFrame:
+    """The four types in their order, also those without studies, with name, count, and years from the newest on with their studies.
+
+    A type is one row with all its studies, as a page shows them; :func:`study_listing` has no such row.
+    """
+    groups = _study_rows(studies).groupBy("study_type", "back", "year").agg(F.array_sort(F.collect_list("item")).alias("studies"))
     nested = groups.groupBy("study_type").agg(F.sum(F.size("studies")).alias("__n"), F.array_sort(F.collect_list(F.struct("back", "year", "studies"))).alias("years"))
     types = studies.sparkSession.createDataFrame(list(x.STUDY_TYPES.items()), "study_type string, label string")
     shown = types.join(nested, "study_type", "left").select("study_type", "label", F.coalesce("__n", F.lit(0)).alias("count"), "years")
