@@ -141,14 +141,17 @@ def f05_search_postings(spark, sf_dir):
     return out
 
 
+def chained(ids: DataFrame) -> DataFrame:
+    """Ids with a parent: every third in a chain from the root -1, every third behind a cycle, the others below ids that no table has."""
+    parent = F.when(F.col("id") % 3 == 0, F.when(F.col("id") == 0, -1).otherwise(F.col("id") - 3)).when(F.col("id") % 3 == 1, F.when(F.col("id") == 1, 4).otherwise(F.col("id") - 3)).otherwise(-F.col("id"))
+    root = ids.sparkSession.range(1).select(F.lit(-1).cast("long").alias("id"), F.lit(None).cast("long").alias("parent"))
+    return ids.withColumn("parent", parent).unionByName(root)
+
+
 @query("SELECT p_partkey AS id, CAST(CASE WHEN p_partkey % 3 = 0 THEN p_partkey / 3 + 1 ELSE -1 END AS INTEGER) AS level FROM part WHERE p_partkey % 3 = 0")
 def j17_long_chain(spark, sf_dir):
     """A chain through a third of all parts, beside a cycle and pages whose parents are missing."""
-    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"))
-    parent = F.when(F.col("id") % 3 == 0, F.when(F.col("id") == 0, -1).otherwise(F.col("id") - 3)).when(F.col("id") % 3 == 1, F.when(F.col("id") == 1, 4).otherwise(F.col("id") - 3)).otherwise(F.col("id") + 1_000_000)
-    root = spark.range(1).select(F.lit(-1).cast("long").alias("id"), F.lit(None).cast("long").alias("parent"))
-    tree = p.withColumn("parent", parent).unionByName(root)
-    return joins.descendants(tree, "id", "parent", -1).where("level > 0")
+    return joins.descendants(chained(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"))), "id", "parent", -1).where("level > 0")
 
 
 @query(cte("v_events") + "SELECT event_id, occurred_at, event_type FROM v_events WHERE occurred_at >= TIMESTAMP '2024-01-11 06:00:00'")

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from medialake.plans import serving
+from medialake.plans import q_tables, serving
 
 
 def test_study_listing(spark):
@@ -15,3 +15,10 @@ def test_study_listing(spark):
     assert listing.schema.names == nested.schema.names and sorted(listing.collect(), key=repr) == sorted(nested.collect(), key=repr)
     assert "collect_list" not in listing._jdf.queryExecution().toString()
     assert serving.study_listing(studies.limit(0)).count() == 0
+
+
+def test_chain_over_a_million_ids(spark):
+    """No page without a parent finds one, however many ids there are."""
+    ids = spark.range(3_000_000)
+    lost = q_tables.chained(ids).where("id % 3 = 2")
+    assert lost.count() == 1_000_000 and lost.join(ids.select(F.col("id").alias("parent")), "parent", "left_semi").isEmpty()
