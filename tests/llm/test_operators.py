@@ -427,6 +427,14 @@ def test_secrets_that_the_patterns_miss(spark):
     assert secret_scan.scan(docs, scanner, ["text"]).columns[0] == "text"
 
 
+def test_secrets_of_any_document_are_learned(spark):
+    """Many documents, with secrets in a few of them that a hash of the ids leaves out of every second."""
+    docs = spark.range(50_000).withColumnRenamed("id", "doc_id").withColumn("place", F.pmod(F.xxhash64("doc_id"), F.lit(2)))
+    secret = F.concat(F.lit("password="), F.substring(F.md5(F.col("doc_id").cast("string")), 1, 20))
+    docs = docs.withColumn("text", F.when((F.col("place") == 1) & (F.col("doc_id") % 500 == 0), secret).otherwise(F.concat(F.lit("call 555-0"), F.col("doc_id") % 1000)))
+    assert secret_scan.train_scanner(docs.drop("place")).network is not None
+
+
 def test_secrets_of_shapes_that_no_label_has(spark):
     """Labels of one shape only; keys of other alphabets and lengths are found, and of clean candidates at most one in a hundred is taken."""
     rng = random.Random(16)
