@@ -1,7 +1,9 @@
 """Jobs that once held too much in one place, or fitted only small tables."""
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from medialake.functions import markup
 from medialake.plans import q_tables, serving
 
 
@@ -22,3 +24,11 @@ def test_chain_over_a_million_ids(spark):
     ids = spark.range(3_000_000)
     lost = q_tables.chained(ids).where("id % 3 = 2")
     assert lost.count() == 1_000_000 and lost.join(ids.select(F.col("id").alias("parent")), "parent", "left_semi").isEmpty()
+
+
+def test_pages_are_taken_apart_in_slices():
+    """No more pages than a slice stand beside each other as Python objects; results are those of single pages."""
+    pages = [None if k % 50 == 3 else f"<a href='//e.org/{k}'>{k}<a href=x>" for k in range(2 * markup.SLICE + 5)]
+    got = markup._walked.func(pa.array(pages, pa.string())).to_pylist()
+    assert got == [None if p is None else markup.walk(p) for p in pages]
+    assert markup._walked.func(pa.array([], pa.string())).to_pylist() == []
