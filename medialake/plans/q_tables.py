@@ -16,6 +16,7 @@ from medialake.sources import readers
 from medialake.sources.buckets import BucketTable
 from medialake.sources.days import DayTable
 from medialake.sources.scratch import fresh_path
+from medialake.sources.scratch import stored as scratch_stored
 from medialake.sources.tables import CSV_COLUMNS, Policy, export_csv
 from medialake.streaming import visitors
 
@@ -132,7 +133,7 @@ _FOUND = " OR ".join(f"lower(coalesce({c}, '')) LIKE '%' || lower(q) || '%'" for
 @query(cte("v_gold") + f"SELECT q, canonical_sermon_id FROM v_gold, (VALUES {', '.join(f'({a!r})' for a in _ASKED)}) x(q) WHERE {_FOUND}")
 def f05_search_postings(spark, sf_dir):
     """Questions through stored postings of the whole catalogue: frequent and rare parts, a single letter, a wildcard, nothing to find."""
-    g = view(spark, sf_dir, "v_gold").select("canonical_sermon_id", *_SEARCHED)
+    g = scratch_stored(view(spark, sf_dir, "v_gold").select("canonical_sermon_id", *_SEARCHED), "catalogue")  # postings and every question read it
     stored = grams.store_postings(g, "canonical_sermon_id", _SEARCHED, fresh_path(spark, "postings"))
     found = [grams.search_postings(g, "canonical_sermon_id", _SEARCHED, a, stored).select(F.lit(a).alias("q"), "canonical_sermon_id") for a in _ASKED]
     out = found[0]

@@ -42,3 +42,9 @@ def test_pages_are_taken_apart_in_slices():
     got = markup._walked.func(pa.array(pages, pa.string())).to_pylist()
     assert got == [None if p is None else markup.walk(p) for p in pages]
     assert markup._walked.func(pa.array([], pa.string())).to_pylist() == []
+
+
+def test_searches_read_the_stored_catalogue(spark, sf_small):
+    """The tables behind the catalogue are joined once, not again for every question."""
+    found = q_tables.f05_search_postings(spark, sf_small)
+    assert not any(f.endswith("orders.parquet") for f in found.inputFiles())
