@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from medialake.functions.similar import first_alike
-from medialake.functions.text import is_blank, text
+from medialake.functions.text import is_blank, let, text
 from medialake.functions.urls import canonical_url, query_value
 from medialake.operators.pick import latest, rows_by
 from medialake.sources.scratch import fresh_path, stored
@@ -95,9 +95,9 @@ def match_books(titles: DataFrame, books: DataFrame, key: str, title: str, alike
     """
     if books.count() > 100:
         raise ValueError("more than 100 books")
-    listed = books.agg(F.array_sort(F.collect_list(F.struct("position", "folded", "book"))).alias("__books"))
+    listed = books.agg(F.array_sort(F.collect_list(F.struct("position", "folded", "book", F.concat(F.lit(" "), "folded", F.lit(" ")).alias("word")))).alias("__books"))
     words = F.concat(F.lit(" "), F.regexp_replace(F.col(title), "[^a-z0-9]+", " "), F.lit(" "))
-    held = F.filter("__books", lambda b: words.contains(F.concat(F.lit(" "), b["folded"], F.lit(" "))))
+    held = let(words, lambda w: F.filter("__books", lambda b: w.contains(b["word"])))  # a title is taken apart once, not for each book
     found = titles.crossJoin(F.broadcast(listed)).withColumn("__first", F.get(held, F.lit(0)))  # one row
     if alike:
         before = F.filter("__books", lambda b: F.col(title).contains(b["folded"]) & (F.col("__first").isNull() | (b["position"] < F.col("__first.position"))))

@@ -12,6 +12,7 @@ from medialake.functions import times as t
 from medialake.functions import urls as u
 from medialake.operators import joins, pick
 from medialake.operators.filters import published
+from medialake.sources.scratch import stored
 from medialake.sources.tables import Policy, upsert
 
 METADATA = ("canonical_sermon_id", "source_system", "source_item_id", "preaching_date", "title", "preacher_name", "text_reference", "serie", "processed_at")
@@ -118,11 +119,9 @@ def extract_reference(df: DataFrame, title: str, books: DataFrame, name: str = "
     ``books(position, folded, book)`` has one row per book.
     """
     keyed = df.withColumn("__folded", x.fold(numbered(x.clean_title(title))))
-    distinct = keyed.select("__folded").distinct()
-    found = joins.match_books(distinct, books, "__folded", "__folded", alike=True).where("book IS NOT NULL")
+    found = joins.match_books(keyed, books, "__folded", "__folded", alike=True)
     rest = F.substring(F.col("__folded"), F.instr("__folded", F.col("folded")) + F.length("folded"), F.length("__folded"))
-    shown = F.concat(F.col("book"), place_in_book(rest))
-    return keyed.join(found.select("__folded", shown.alias(name)), "__folded", "left").withColumn(name, x.text(name)).drop("__folded")
+    return found.withColumn(name, x.text(F.concat(F.col("book"), place_in_book(rest)))).drop("__folded", "book", "folded")
 
 
 def load_posts(items: DataFrame, aliases: DataFrame, books: DataFrame, now: dt.datetime, max_date: str, category: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -130,11 +129,13 @@ def load_posts(items: DataFrame, aliases: DataFrame, books: DataFrame, now: dt.d
     terms = items.withColumns({"categories": x.terms_by_domain("category", "category"), "tags": x.terms_by_domain("category", "post_tag"), "post_day": x.to_iso_date("post_date")})
     out = published(terms, max_date, category, date="post_day")
     audio = x.first_audio_url("content")
-    rows = out.withColumn("audio", audio).withColumns({"__f": x.file_info("audio"), "__head": x.title_head("title")})
-    rows = rows.withColumns({"preaching_date": x.first_filled("__f.date", x.first_br_date("title", False), "post_day"), "serie": x.series_from_terms("tags", "categories")}).where("preaching_date <> ''")
-    rows = extract_reference(rows, "title", books)
-    rows = resolve_alias(rows, aliases, [F.col("__f.speaker"), x.speaker_from_html("content")], by_first_word=True)
-    one = pick.rows_by(rows.select("preaching_date", "post_date", "link", "__head", "preacher_name", "text_reference", "serie", "audio"), ["preaching_date"], [F.col("post_date"), F.col("link")])
+    rows = out.withColumn("audio", audio).withColumns({"__f": x.file_info("audio"), "__said": x.speaker_from_html("content")})
+    rows = rows.withColumn("preaching_date", x.first_filled("__f.date", x.first_br_date("title", False), "post_day")).where("preaching_date <> ''")
+    rows = rows.select("preaching_date", "post_date", "link", "title", "audio", "tags", "categories", F.col("__f.speaker").alias("__named"), "__said")
+    one = pick.rows_by(rows, ["preaching_date"], [F.col("post_date"), F.col("link")])  # titles and names are read of posts that count
+    one = extract_reference(one.withColumns({"__head": x.title_head("title"), "serie": x.series_from_terms("tags", "categories")}), "title", books)
+    one = resolve_alias(one, aliases, [F.col("__named"), F.col("__said")], by_first_word=True)
+    one = stored(one.select("preaching_date", "post_date", "link", "__head", "preacher_name", "text_reference", "serie", "audio"), "posts")  # read twice below
     meta = one.select(
         F.col("preaching_date").alias("canonical_sermon_id"), F.lit("wordpress").alias("source_system"), F.col("link").alias("source_item_id"), "preaching_date",
         F.col("__head").alias("title"), "preacher_name", "text_reference", "serie", F.lit(now).alias("processed_at"),

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from medialake.functions import markup
 from medialake.functions import text as x
-from medialake.plans import q_tables, serving
+from medialake.operators import joins
+from medialake.plans import q_sources, q_tables, serving
 
 
 def test_study_listing(spark):
@@ -48,3 +49,18 @@ def test_searches_read_the_stored_catalogue(spark, sf_small):
     """The tables behind the catalogue are joined once, not again for every question."""
     found = q_tables.f05_search_postings(spark, sf_small)
     assert not any(f.endswith("orders.parquet") for f in found.inputFiles())
+
+
+def test_titles_are_taken_apart_once_for_all_books(spark):
+    """A title's words are made outside the look at the books."""
+    books = spark.createDataFrame([(i, b, b.title()) for i, b in enumerate(x.CANON)], "position int, folded string, book string")
+    want = {"fe - 1 joao 3": "Joao", "fe - 1 pedro": "1 Pedro", "rute e genesis": "Genesis", "jonasx jo": "Jo", "amos-joel": "Joel", "genesisx rute": "Genesis", "rutexx": None, "": None, None: None}
+    found = joins.match_books(spark.createDataFrame([(t,) for t in want], "t string"), books, "t", "t", alike=True)
+    assert {r.t: r.book for r in found.collect()} == want
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[^a-z0-9]+") == 1 and "Contains(concat(" not in plan
+
+
+def test_posts_are_read_once(spark, sf_small):
+    """The rows of talks and of their media come from one stored table."""
+    assert not any(f.endswith("orders.parquet") for f in q_sources.e02_load_posts(spark, sf_small).inputFiles())
