@@ -136,9 +136,10 @@ def source_list(df: DataFrame, key: str, source: str = "source_system", separato
     return df.where(~is_blank(source)).groupBy(key).agg(F.array_join(F.array_sort(F.collect_set(source)), separator).alias("sources"))
 
 
-def duplicate_keys(df: DataFrame, key: str, ident: str) -> DataFrame:
-    """Keys with several ids, as a sorted JSON list. Ids are made distinct first, so a key's set holds ids, not rows."""
-    return df.select(key, ident).distinct().groupBy(key).agg(F.to_json(F.array_sort(F.collect_list(ident))).alias("ids"), F.count("*").alias("n")).where("n > 1")
+def duplicate_keys(df: DataFrame, key: str, ident: str, unique: bool = False) -> DataFrame:
+    """Keys with several ids, as a sorted JSON list. Ids are made distinct first, unless they are, so a key's set holds ids, not rows."""
+    rows = df.select(key, ident) if unique else df.select(key, ident).distinct()
+    return rows.groupBy(key).agg(F.to_json(F.array_sort(F.collect_list(ident))).alias("ids"), F.count("*").alias("n")).where("n > 1")
 
 
 def metric_rows(issues: DataFrame, rules: list[tuple[str, bool]], total: DataFrame) -> DataFrame:

@@ -36,6 +36,8 @@ class Limits:
 
 
 KEY = "canonical_sermon_id"
+#: Rows of all tables that a task aggregates, about.
+TASK_ROWS = 250_000
 
 
 def talk_states(gold: DataFrame, sources: DataFrame, media: DataFrame, files: DataFrame, texts: DataFrame) -> DataFrame:
@@ -43,13 +45,20 @@ def talk_states(gold: DataFrame, sources: DataFrame, media: DataFrame, files: Da
 
     The tables are laid one under the other, tagged, and meet in one aggregate,
     so each is exchanged once and what exists is read from the row. Words are
-    counted before, so texts do not travel. Audio files are joined by path.
+    counted before, so texts do not travel. Audio files are joined to the narrow
+    media rows by path, so talks are exchanged by key only; a task aggregates
+    about :data:`TASK_ROWS` of the rows, however many there are.
     """
+    parts = sum(df.count() for df in (gold, sources, media, texts)) // TASK_ROWS
+    parts = parts and max(parts, gold.sparkSession.sparkContext.defaultParallelism)
+    dealt = lambda df, key: df.repartition(parts, key) if parts else df
+    sized = dealt(files.select("path", "length"), "path").groupBy("path").agg(F.max("length").alias("length"))
+    media = dealt(media.withColumnRenamed("local_path", "path"), "path").join(sized, "path", "left")
     served = F.struct(*[c for c in gold.columns if c != KEY])
     shapes = {
         "g": served,
         "m": F.struct(F.struct("source_system", "source_item_id").alias("rank"), text("title").alias("title"), text("preacher_name").alias("preacher_name")),
-        "a": F.struct("asset_type", F.col("local_path").alias("path"), F.col("duration_seconds").cast("double").alias("seconds")),
+        "a": F.struct("asset_type", "path", F.col("duration_seconds").cast("double").alias("seconds"), "length"),
         "t": F.struct(F.struct("created_at", "transcript_version").alias("rank"), word_count("transcript_text").alias("words")),
     }
     tagged, kinds = [], {}
@@ -61,8 +70,8 @@ def talk_states(gold: DataFrame, sources: DataFrame, media: DataFrame, files: Da
     for tag, own in tagged:
         full = own.select(KEY, *[F.col(tag) if tag == other else F.lit(None).cast(kind).alias(other) for other, kind in kinds.items()])
         rows = full if rows is None else rows.unionByName(full)
-    audio = F.when(F.col("a.asset_type") == "audio", F.struct("a.path", "a.seconds"))
-    states = rows.groupBy(KEY).agg(
+    audio = F.when(F.col("a.asset_type") == "audio", F.struct("a.path", "a.seconds", "a.length"))
+    states = dealt(rows, KEY).groupBy(KEY).agg(
         F.first("g", ignorenulls=True).alias("g"),
         F.count_if(F.col("g").isNotNull()).alias("n_gold"),
         F.array_join(F.array_sort(F.collect_set(F.nullif("m.rank.source_system", F.lit("")))), ", ").alias("sources"),
@@ -74,8 +83,7 @@ def talk_states(gold: DataFrame, sources: DataFrame, media: DataFrame, files: Da
         F.max_by("t.words", "t.rank").alias("words"),
         F.count_if(F.col("t").isNotNull()).alias("n_texts"),
     )
-    states = states.withColumns({"path": F.col("audio.path"), "audio_seconds": F.col("audio.seconds")}).drop("audio")
-    return states.join(files.select("path", "length"), "path", "left")
+    return states.withColumns({"path": F.col("audio.path"), "audio_seconds": F.col("audio.seconds"), "length": F.col("audio.length")}).drop("audio")
 
 
 def wide_rows(states: DataFrame) -> DataFrame:
@@ -129,11 +137,14 @@ def row_issues(wide: DataFrame, limits: Limits) -> DataFrame:
 
 
 def unreachable(wide: DataFrame, status: DataFrame, limits: Limits) -> DataFrame:
-    """Checkable links whose probe failed, from ``status(url, code, error)``; 401, 403 and 429 are no failures."""
+    """Checkable links whose probe failed, from ``status(url, code, error)``; 401, 403 and 429 are no failures.
+
+    Many talks may have one address, so links stream past the failed ones and are not sorted by it.
+    """
     links = wide.select("canonical_sermon_id", "preaching_date", "title", "preacher_name", "source_system", F.inline(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("url")) for c in LINKS])))
     links = links.where(is_checkable("url", limits.checked_domains) & F.lower("url").rlike("^https?://"))
     bad = status.where(~is_blank("error") | ((F.col("code") >= 400) & ~F.col("code").isin(401, 403, 429)))
-    rows = links.join(bad, "url").select(F.lit("unreachable_link").alias("metric_key"), F.col("canonical_sermon_id").alias("entity_id"), "preaching_date", "title", "preacher_name", "source_system", F.coalesce(F.nullif("error", F.lit("")), F.concat(F.lit("HTTP "), F.col("code").cast("string"))).alias("detail"), F.col("url").alias("link"))
+    rows = links.join(bad.hint("shuffle_hash"), "url").select(F.lit("unreachable_link").alias("metric_key"), F.col("canonical_sermon_id").alias("entity_id"), "preaching_date", "title", "preacher_name", "source_system", F.coalesce(F.nullif("error", F.lit("")), F.concat(F.lit("HTTP "), F.col("code").cast("string"))).alias("detail"), F.col("url").alias("link"))
     return rows.select(*ISSUE)
 
 
@@ -151,7 +162,7 @@ def set_issues(states: DataFrame) -> DataFrame:
         _shaped(lost, "silver_missing_gold", F.col(KEY), title=F.col("m.title"), preacher_name=F.col("m.preacher_name"), source_system=F.col("sources")),
         _shaped(media, "orphan_media", F.col(KEY), detail=text("path")),
         _shaped(states.where("n_meta = 0 AND n_texts > 0"), "orphan_transcripts", F.col(KEY)),
-        _shaped(aggs.duplicate_keys(served, "preaching_date", KEY), "possible_duplicates", F.col("preaching_date"), preaching_date=F.col("preaching_date"), detail=F.col("ids")),
+        _shaped(aggs.duplicate_keys(served, "preaching_date", KEY, unique=True), "possible_duplicates", F.col("preaching_date"), preaching_date=F.col("preaching_date"), detail=F.col("ids")),
     ]
     out = parts[0]
     for p in parts[1:]:
