@@ -5,6 +5,7 @@ import datetime as dt
 import random
 
 import numpy as np
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from medialake.sources.scratch import fresh_path
@@ -87,3 +88,23 @@ def test_many_visitors_in_several_batches(spark):
     end = max(max(t) for t in times.values()) - 4 * DAY
     want = {who: islands(t, 4 * DAY) for who, t in times.items() if max(t) >= end}
     assert {k: x for k, x in state(table).items() if x[1] >= end} == want
+
+
+def test_no_frame_for_each_visitor(spark):
+    """The state takes and gives rows, with times as numbers; a sighting that changes nothing writes nothing."""
+    done = []
+
+    class Seen:
+        get = staticmethod(lambda: (5, 9))
+        update = staticmethod(lambda value: done.append(("update", value)))
+
+    class Timers:
+        registerTimer = staticmethod(lambda at: done.append(("register", at)))
+        deleteTimer = staticmethod(lambda at: done.append(("delete", at)))
+
+    visitor = v.Visitor(1)
+    visitor.seen, visitor.handle = Seen, Timers
+    (row,) = visitor.handleInputRows(("a",), iter([Row(at=7), Row(at=9)]), None)
+    assert row.asDict() == {"visitor_id_hash": "a", "first": 5, "last": 9, "expired": False} and done == []
+    (row,) = visitor.handleInputRows(("a",), iter([Row(at=11)]), None)
+    assert (row.first, row.last) == (5, 11) and [d[0] for d in done] == ["update", "delete", "register"]
